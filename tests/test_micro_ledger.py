@@ -1,0 +1,221 @@
+"""Golden results on the hand-made ledger."""
+
+import pytest
+
+import finstat
+from finstat import Ledger
+from tests.conftest import ENTRIES, LINES, make_ledger, ordered, rows
+
+
+@pytest.fixture(scope="module", params=["lines", "rollup"])
+def amounts(request, micro):
+    """Summed reports run on the lines and on a staged rollup."""
+    return None if request.param == "lines" else finstat.staged_rollup(micro)
+
+
+def test_line_count_ignores_status(micro):
+    assert rows(finstat.line_count(micro, 2016)) == [(20,)]
+    assert rows(finstat.line_count(micro, 1990)) == [(0,)]
+
+
+def test_section_totals_keep_cancelled_entries(micro):
+    assert ordered(rows(finstat.section_totals(micro, 2016))) == [
+        ("OTHER EXPENSES", 1, 2, 40.0, 10.0),
+        ("REVENUE", 0, 4, None, 2108.0),
+    ]
+
+
+def test_pl_by_year(micro, amounts):
+    assert ordered(rows(finstat.pl_by_year(micro, amounts=amounts))) == [
+        ("OTHER EXPENSES", 2015, 20.0),
+        ("OTHER EXPENSES", 2016, 50.0),
+        ("REVENUE", 2015, 60.0),
+        ("REVENUE", 2016, 108.0),
+        ("REVENUE", 2017, 500.0),
+    ]
+
+
+def test_pl_one_year(micro, amounts):
+    assert rows(finstat.pl_one_year(micro, 2016, amounts=amounts)) == [("REVENUE", 108.0), ("OTHER EXPENSES", 50.0)]
+
+
+@pytest.mark.parametrize("section_filter", ["id", "nonblank"])
+def test_pl_yoy(micro, amounts, section_filter):
+    result = finstat.pl_yoy(micro, 2016, section_filter=section_filter, amounts=amounts)
+    assert rows(result) == [("REVENUE", 108.0, 60.0, 44.44), ("OTHER EXPENSES", 50.0, 20.0, 60.0)]
+
+
+def test_pl_yoy_lists_sections_of_other_years(micro, amounts):
+    assert rows(finstat.pl_yoy(micro, 2030, amounts=amounts)) == [
+        ("REVENUE", None, None, None),
+        ("OTHER EXPENSES", None, None, None),
+    ]
+
+
+def test_pl_yoy_options(micro, amounts):
+    textbook = finstat.pl_yoy(micro, 2016, base="previous", amounts=amounts)
+    assert rows(textbook) == [("REVENUE", 108.0, 60.0, 80.0), ("OTHER EXPENSES", 50.0, 20.0, 150.0)]
+    netted = finstat.pl_yoy(micro, 2016, netting=True, amounts=amounts)
+    assert rows(netted)[1] == ("OTHER EXPENSES", 30.0, 20.0, 33.33)
+    with pytest.raises(ValueError):
+        finstat.pl_yoy(micro, 2016, base="next")
+    with pytest.raises(ValueError):
+        finstat.pl_yoy(micro, 2016, section_filter="colour")
+
+
+def test_section_crosstab(micro, amounts):
+    assert ordered(rows(finstat.section_crosstab(micro, 2016, amounts=amounts))) == [
+        ("", "CURRENT ASSETS", 2),
+        ("", "CURRENT LIABILITIES", 2),
+        ("", "EQUITY", 1),
+        ("", "FIXED ASSETS", 1),
+        ("", "LONG TERM LIABILITIES", 1),
+        ("OTHER EXPENSES", "", 2),
+        ("REVENUE", "", 1),
+        ("REVENUE", "EQUITY", 1),
+    ]
+
+
+def test_master_lines(micro):
+    result = finstat.master_lines(micro, 2016)
+    assert len(result.columns) == 12
+    by_line = {row.line_item: row for row in result.collect()}
+    assert sorted(by_line) == [*range(1, 11), 13]
+    assert by_line[10].statement_section == "REVENUE"
+    assert by_line[10].statement_section_id == 4
+    assert by_line[8].asDict() == {
+        "statement_section": "FIXED ASSETS",
+        "account": "Plant",
+        "account_id": 102,
+        "account_code": "A-200",
+        "line_item": 8,
+        "postable": 1,
+        "journal_entry": "E1",
+        "journal_entry_code": "JE-1",
+        "statement_section_id": 2,
+        "is_balance_sheet_section": 1,
+        "debit": 70.0,
+        "credit": 20.0,
+    }
+
+
+def test_section_names(micro):
+    names = [row[0] for row in rows(finstat.section_names(micro))]
+    assert len(names) == 13
+    assert "" in names
+
+
+def test_master_classified(micro):
+    result = finstat.master_classified(micro, 2016).collect()
+    # Balance-sheet lines first, then by section, entry code, and line.
+    assert [row.line_item for row in result] == [1, 5, 8, 6, 7, 9, 10, 13, 2, 3, 4]
+    figures = {row.line_item: (row.assets, row.liabilities, row.equity) for row in result}
+    assert {item: figure for item, figure in figures.items() if any(figure)} == {
+        1: (100.0, 0.0, 0.0),
+        5: (-30.0, 0.0, 0.0),
+        6: (0.0, -5.0, 0.0),
+        7: (0.0, 25.0, 0.0),
+        2: (0.0, 0.0, 100.0),
+        3: (0.0, 0.0, -40.0),
+        4: (0.0, 0.0, 10.0),
+        10: (0.0, 0.0, 8.0),
+    }
+
+
+def test_bs_by_account(micro, amounts):
+    assert ordered(rows(finstat.bs_by_account(micro, 2016, amounts=amounts))) == [
+        ("A-100", "CURRENT ASSETS", 70.0, 0.0, 0.0),
+        ("A-200", "FIXED ASSETS", 0.0, 0.0, 0.0),
+        ("E-100", "EQUITY", 0.0, 0.0, 0.0),
+        ("E-200", "REVENUE", 0.0, 0.0, 8.0),
+        ("L-100", "CURRENT LIABILITIES", 0.0, 20.0, 0.0),
+        ("L-200", "LONG TERM LIABILITIES", 0.0, 0.0, 0.0),
+    ]
+
+
+def test_accounting_equation(micro, amounts):
+    assert rows(finstat.accounting_equation(micro, 2016, amounts=amounts)) == [(70.0, "=", 20.0, "+", 78.0)]
+    assert rows(finstat.accounting_equation(micro, 1990, amounts=amounts)) == [(None, "=", None, "+", None)]
+
+
+def test_equation_holds_on_balanced_lines(spark):
+    balanced = make_ledger(spark, lines=LINES[:2])
+    assert rows(finstat.accounting_equation(balanced, 2016)) == [(100.0, "=", 0.0, "+", 100.0)]
+
+
+def test_bs_yoy(micro, amounts):
+    assert rows(finstat.bs_yoy(micro, 2016, amounts=amounts)) == [
+        ("CURRENT ASSETS", 100.0, 60.0, 40.0),
+        ("CURRENT LIABILITIES", 20.0, 0.0, 100.0),
+        ("EQUITY", 0.0, 0.0, None),
+        ("FIXED ASSETS", 0.0, 0.0, None),
+        ("LONG TERM LIABILITIES", 0.0, 0.0, None),
+        ("REVENUE", 8.0, 0.0, 100.0),
+    ]
+
+
+def test_bs_yoy_asset_credits_option(micro, amounts):
+    result = rows(finstat.bs_yoy(micro, 2016, asset_credits=True, amounts=amounts))
+    assert result[0] == ("CURRENT ASSETS", 70.0, 60.0, 14.29)
+
+
+def test_ignore_case_option(spark, micro):
+    sections = [(n, name.lower(), flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
+    lower = make_ledger(spark, sections=sections)
+    assert rows(finstat.accounting_equation(lower, 2016)) == [(0.0, "=", 0.0, "+", 0.0)]
+    assert rows(finstat.accounting_equation(lower, 2016, ignore_case=True)) == [(70.0, "=", 20.0, "+", 78.0)]
+
+
+def test_blank_section_name(spark, micro):
+    """A name of blanks is a section by id and by name, but not under padding."""
+    sections = [(n, "  " if n == 6 else name, flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
+    blank = make_ledger(spark, sections=sections)
+    assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016))] == ["  ", "OTHER EXPENSES"]
+    assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016, section_filter="name"))] == ["  ", "OTHER EXPENSES"]
+    assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016, section_filter="nonblank"))] == ["OTHER EXPENSES"]
+
+
+def test_entries_without_a_date(spark):
+    """They count to no year, yet their section is listed in the two-year report."""
+    entries = [(*entry[:3], None, *entry[4:]) if entry[0] == 1 else entry for entry in ENTRIES]
+    undated = make_ledger(spark, entries=entries)
+    for amounts in (None, finstat.staged_rollup(undated)):
+        names = [row[0] for row in rows(finstat.bs_yoy(undated, 2016, amounts=amounts))]
+        assert "FIXED ASSETS" in names
+        assert rows(finstat.accounting_equation(undated, 2016, amounts=amounts)) == [(None, "=", None, "+", None)]
+
+
+@pytest.mark.parametrize("fy", [2016, "2016"])
+def test_financial_statements(micro, fy):
+    parts = finstat.financial_statements(micro, fy)
+    assert rows(parts.profit_loss) == rows(finstat.pl_yoy(micro, 2016, section_filter="nonblank"))
+    assert rows(parts.balance_sheet) == rows(finstat.bs_yoy(micro, 2016))
+    assert rows(parts.equation) == [(70.0, "=", 20.0, "+", 78.0)]
+
+
+@pytest.mark.parametrize("fy", [None, 2016.0, True])
+def test_fiscal_year_must_be_a_year(micro, fy):
+    with pytest.raises(TypeError):
+        finstat.financial_statements(micro, fy)
+
+
+@pytest.mark.parametrize("fy", [0, -1, 9999, 123456])
+def test_far_years_are_empty(micro, fy):
+    assert rows(finstat.line_count(micro, fy)) == [(0,)]
+    assert rows(finstat.accounting_equation(micro, fy)) == [(None, "=", None, "+", None)]
+
+
+def test_left_joins_do_not_multiply_lines(micro):
+    from finstat.operators import joins
+
+    joined = joins.with_both_sections(joins.with_entries(micro.lines, micro), micro)
+    assert joined.count() == len(LINES)
+
+
+def test_a_duplicate_account_multiplies_as_a_left_join_does(spark):
+    """The early count per account must not hide a key that is not unique."""
+    twice = make_ledger(spark)
+    twice = Ledger(twice.lines, twice.entries, twice.accounts.union(twice.accounts.filter("account_id = 106")), twice.sections)
+    # Lines 2 and 18-23 post to the doubled account in 2016.
+    assert rows(finstat.line_count(twice, 2016)) == [(27,)]
+    assert rows(finstat.pl_one_year(twice, 2016))[0] == ("REVENUE", 208.0)
