@@ -1,9 +1,11 @@
 """Postings as additive amounts, and their totals per account.
 
-An *amounts* frame has one row per posting with the columns
-``account_id, fiscal_year, n_lines, debit, credit, lone_debit, lone_credit``.
-Sums of such rows are such rows again, and every measure is linear in them, so a
-statement runs unchanged on single postings or on the stored account-year rollup.
+An *amounts* frame has the columns
+``account_id, fiscal_year, n_lines, debit, credit, lone_debit, lone_credit``
+and comes in two forms: one row per posting with money in whole cents (bigint),
+or rows that are totals of postings with money as decimal, such as the stored
+account-year rollup. Every measure is linear in them, so a statement is one
+formula for both.
 
 Statements first total the amounts per account and join the dimensions to those
 totals. That keeps the fact out of every join but the one with its header: a hot
@@ -13,59 +15,97 @@ may outgrow a broadcast without the fact being shuffled again.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finstat.functions.measures import gross, lone_credit, lone_debit, net
 from finstat.functions.predicates import fiscal_year
 from finstat.operators.joins import posted_lines
+from finstat.schema import MONEY_SUM
 from finstat.sources.ledger import Ledger
 
 KEYS = ("account_id", "fiscal_year")
 SUMS = ("n_lines", "debit", "credit", "lone_debit", "lone_credit")
 
+_LOW_BITS = 20
+
+
+def cents(money: Column) -> Column:
+    return (money * 100).cast("long")
+
 
 def as_amounts(rows: DataFrame) -> DataFrame:
-    """Lines joined to their entries, as an amounts frame."""
-    debit, credit = F.col("debit"), F.col("credit")
+    """Lines joined to their entries, as an amounts frame of single postings."""
+    debit, credit = cents(F.col("debit")), cents(F.col("credit"))
     return rows.select(
         "account_id",
         F.year("entry_date").alias("fiscal_year"),
         F.lit(1).cast("long").alias("n_lines"),
-        debit,
-        credit,
+        debit.alias("debit"),
+        credit.alias("credit"),
         lone_debit(debit, credit).alias("lone_debit"),
         lone_credit(debit, credit).alias("lone_credit"),
     )
 
 
-def amounts_of(book: Ledger, fy: int | None = None, amounts: DataFrame | None = None) -> DataFrame:
-    """The amounts of one year or of all, from a stored rollup if one is given."""
+def amounts_of(
+    book: Ledger, fy: int | None = None, amounts: DataFrame | None = None, accounts: DataFrame | None = None
+) -> DataFrame:
+    """The amounts of one year or of all, from a stored rollup if one is given.
+
+    ``accounts`` names the ids a report can use; postings of others may be left out.
+    """
     if amounts is None:
-        return as_amounts(posted_lines(book, fy))
+        return as_amounts(posted_lines(book, fy, accounts=accounts))
     return amounts if fy is None else amounts.filter(F.col("fiscal_year") == fiscal_year(fy))
 
 
-def per_account(amounts: DataFrame, *totals: Column, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
-    return amounts.groupBy(*keys).agg(*totals)
+def sum_cents(column: Column) -> Column:
+    """The exact sum of whole cents, as decimal money.
+
+    Summing the high and the low bits as two bigints is several times cheaper
+    than a decimal sum, whose buffer does not fit a machine word. The low parts
+    cannot overflow below 2**43 rows per group, nor the high parts below a total
+    of 9e22 units of money.
+    """
+    low = F.sum(column.bitwiseAND((1 << _LOW_BITS) - 1))
+    high = F.sum(F.shiftright(column, _LOW_BITS)).cast("decimal(19,0)")
+    return ((high * (1 << _LOW_BITS) + low) * Decimal("0.01")).cast(MONEY_SUM)
+
+
+def per_account(amounts: DataFrame, measures: dict[str, Column], keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
+    """The measures summed per account: counts as bigint, money as decimal."""
+    in_cents = amounts.schema["debit"].dataType == T.LongType()
+    sums = []
+    for name, column in measures.items():
+        add = sum_cents if in_cents and name != "n_lines" else F.sum
+        sums.append(add(column).alias(name))
+    return amounts.groupBy(*keys).agg(*sums)
+
+
+def plain(*names: str) -> dict[str, Column]:
+    return {name: F.col(name) for name in names}
 
 
 def total(column: str) -> Column:
     return F.sum(column).alias(column)
 
 
-def pl_totals(year: int | None = None, prefix: str = "") -> list[Column]:
-    """Gross and net totals, optionally of one year only; NULL when no posting qualifies."""
+def pl_measures(year: int | None = None, prefix: str = "") -> dict[str, Column]:
+    """Gross and net, optionally of one year only; NULL for a posting that does not qualify."""
     debit, credit = F.col("debit"), F.col("credit")
-    measures = {"gross": gross(debit, credit), "net": net(debit, credit)}
-    return [F.sum(_in(year, column)).alias(prefix + name) for name, column in measures.items()]
+    return {
+        prefix + "gross": _in(year, gross(debit, credit)),
+        prefix + "net": _in(year, net(debit, credit)),
+    }
 
 
-def lone_totals(year: int | None = None, prefix: str = "") -> list[Column]:
-    """Totals of the lone sides, optionally of one year only; 0 when no posting qualifies."""
-    return [
-        F.sum(_in(year, F.col(name), F.lit(0))).alias(prefix + name) for name in ("lone_debit", "lone_credit")
-    ]
+def lone_measures(year: int | None = None, prefix: str = "") -> dict[str, Column]:
+    """The lone sides, optionally of one year only; 0 for a posting that does not qualify."""
+    return {prefix + name: _in(year, F.col(name), F.lit(0)) for name in ("lone_debit", "lone_credit")}
 
 
 def _in(year: int | None, column: Column, otherwise: Column | None = None) -> Column:

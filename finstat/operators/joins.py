@@ -2,8 +2,9 @@
 
 All are left joins on one key, as the semantics ask. Where a later filter rejects
 the NULLs of an unmatched row, Catalyst turns them into inner joins by itself.
-No join carries a broadcast hint: Spark broadcasts a side only while its size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it beyond.
+Spark broadcasts a side only while its size is under
+``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it beyond. The one
+explicit broadcast, in ``keep_accounts``, counts the side first.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finstat.functions.predicates import in_year, posted
+from finstat.functions.predicates import has_section, in_year, on_balance_sheet, posted
 from finstat.sources.ledger import Ledger
 
+# Account ids up to this number are broadcast, as a hash table of some 50 MB.
+MAX_BROADCAST_ACCOUNTS = 1_000_000
+
 
 def with_entries(lines: DataFrame, book: Ledger) -> DataFrame:
     return lines.join(book.entries, "journal_entry_id", "left")
@@ -51,13 +55,40 @@ def aligned_name() -> Column:
 
 def with_both_sections(frame: DataFrame, book: Ledger) -> DataFrame:
     """Both section roles and the aligned ``name``; for any frame with an ``account_id``."""
-    chart = with_bs_section(with_pl_section(with_accounts(frame, book), book), book)
-    return chart.withColumn("name", aligned_name())
+    joined = with_bs_section(with_pl_section(with_accounts(frame, book), book), book)
+    return joined.withColumn("name", aligned_name())
+
+
+def chart(book: Ledger) -> DataFrame:
+    """Accounts with both section roles and the aligned ``name``."""
+    return with_bs_section(with_pl_section(book.accounts, book), book).withColumn("name", aligned_name())
+
+
+def pl_accounts(book: Ledger, section_filter: str = "id") -> DataFrame:
+    return with_pl_section(book.accounts, book).filter(has_section(section_filter)).select("account_id")
+
+
+def bs_accounts(book: Ledger) -> DataFrame:
+    return with_bs_section(book.accounts, book).filter(on_balance_sheet()).select("account_id")
+
+
+def keep_accounts(lines: DataFrame, book: Ledger, accounts: DataFrame | None) -> DataFrame:
+    """Drop the lines of other accounts before they are shuffled to their entries.
+
+    The report drops them anyway once it knows their section, so this only saves
+    work. It pays while the ids fit a broadcast; beyond that it would itself be a
+    shuffle of all lines on the account, and they are left alone.
+    """
+    if accounts is None or book.account_count > MAX_BROADCAST_ACCOUNTS:
+        return lines
+    return lines.join(F.broadcast(accounts), "account_id", "left_semi")
 
 
-def posted_lines(book: Ledger, fy: int | None = None, check_cancelled: bool = True) -> DataFrame:
+def posted_lines(
+    book: Ledger, fy: int | None = None, check_cancelled: bool = True, accounts: DataFrame | None = None
+) -> DataFrame:
     """Lines of entries that count, of one year or of all."""
-    rows = with_entries(book.lines, book).filter(posted(check_cancelled))
+    rows = with_entries(keep_accounts(book.lines, book, accounts), book).filter(posted(check_cancelled))
     return rows if fy is None else rows.filter(in_year("entry_date", fy))
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from finstat import schema
-from finstat.operators.amounts import KEYS, SUMS, amounts_of, per_account, total
+from finstat.operators.amounts import KEYS, SUMS, amounts_of, per_account, plain
 from finstat.session import staging_path
 from finstat.sources.ledger import Ledger
 
 
 def rollup(book: Ledger) -> DataFrame:
-    """One amounts row per (account, year) that has posted lines."""
-    return per_account(amounts_of(book), *[total(name) for name in SUMS], keys=KEYS)
+    """The totals of each (account, year) that has posted lines."""
+    return per_account(amounts_of(book), plain(*SUMS), keys=KEYS)
 
 
 def save_rollup(amounts: DataFrame, path: str) -> None:

@@ -23,9 +23,11 @@ from finstat.functions.measures import (
     yoy_pct,
 )
 from finstat.functions.predicates import fiscal_year, has_any_section, has_section, in_year, on_balance_sheet
-from finstat.operators.amounts import amounts_of, as_amounts, lone_totals, per_account, pl_totals, total
+from finstat.operators.amounts import amounts_of, as_amounts, lone_measures, per_account, pl_measures, plain, total
 from finstat.operators.joins import (
+    bs_accounts,
     master,
+    pl_accounts,
     posted_lines,
     with_accounts,
     with_both_sections,
@@ -48,14 +50,14 @@ def line_count(book: Ledger, fy: int) -> DataFrame:
     rows = as_amounts(with_entries(book.lines, book).filter(in_year("entry_date", fy)))
     # Counted per account first; the dimension joins would still multiply the
     # count if an account or section key were not unique.
-    joined = _with_pl(per_account(rows, total("n_lines")), book)
+    joined = _with_pl(per_account(rows, plain("n_lines")), book)
     return joined.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n"))
 
 
 def section_totals(book: Ledger, fy: int) -> DataFrame:
     """Lines, debits and credits per P&L section in a year. Cancelled entries stay in."""
-    rows = as_amounts(posted_lines(book, fy, check_cancelled=False))
-    totals = per_account(rows, total("n_lines"), total("debit"), total("credit"))
+    rows = as_amounts(posted_lines(book, fy, check_cancelled=False, accounts=pl_accounts(book)))
+    totals = per_account(rows, plain("n_lines", "debit", "credit"))
     return (
         _with_pl(totals, book)
         .filter(has_section())
@@ -66,7 +68,7 @@ def section_totals(book: Ledger, fy: int) -> DataFrame:
 
 def section_crosstab(book: Ledger, fy: int, amounts: DataFrame | None = None) -> DataFrame:
     """Lines per (P&L section, B/S section) in a year, for accounts with either."""
-    totals = per_account(amounts_of(book, fy, amounts), total("n_lines"))
+    totals = per_account(amounts_of(book, fy, amounts), plain("n_lines"))
     return with_both_sections(totals, book).filter(has_any_section()).groupBy("pl_section", "bs_section").agg(total("n_lines"))
 
 
@@ -80,7 +82,8 @@ def section_names(book: Ledger) -> DataFrame:
 
 def pl_by_year(book: Ledger, netting: bool = False, amounts: DataFrame | None = None) -> DataFrame:
     """P&L amount per section and year, for all years."""
-    totals = per_account(amounts_of(book, None, amounts), *pl_totals(), keys=("account_id", "fiscal_year"))
+    postings = amounts_of(book, None, amounts, pl_accounts(book, "name"))
+    totals = per_account(postings, pl_measures(), keys=("account_id", "fiscal_year"))
     return (
         _with_pl(totals, book)
         .filter(has_section("name"))
@@ -91,7 +94,7 @@ def pl_by_year(book: Ledger, netting: bool = False, amounts: DataFrame | None =
 
 def pl_one_year(book: Ledger, fy: int, netting: bool = False, amounts: DataFrame | None = None) -> DataFrame:
     """P&L amount per section for a year, in statement order."""
-    totals = per_account(amounts_of(book, fy, amounts), *pl_totals())
+    totals = per_account(amounts_of(book, fy, amounts, pl_accounts(book)), pl_measures())
     per_section = (
         _with_pl(totals, book)
         .filter(has_section())
@@ -115,7 +118,8 @@ def pl_yoy(
     a year without lines gives NULL.
     """
     fy = fiscal_year(fy)
-    totals = per_account(amounts_of(book, None, amounts), *pl_totals(fy, "query_"), *pl_totals(fy - 1, "previous_"))
+    measures = pl_measures(fy, "query_") | pl_measures(fy - 1, "previous_")
+    totals = per_account(amounts_of(book, None, amounts, pl_accounts(book, section_filter)), measures)
     per_section = (
         _with_pl(totals, book)
         .filter(has_section(section_filter))
@@ -204,7 +208,7 @@ def bs_by_account(
     book: Ledger, fy: int, ignore_case: bool = False, amounts: DataFrame | None = None
 ) -> DataFrame:
     """Assets, liabilities and equity of a year per account code and section name."""
-    totals = per_account(amounts_of(book, fy, amounts), *lone_totals())
+    totals = per_account(amounts_of(book, fy, amounts, bs_accounts(book)), lone_measures())
     return (
         with_both_sections(totals, book)
         .filter(on_balance_sheet())
@@ -217,7 +221,7 @@ def accounting_equation(
     book: Ledger, fy: int, ignore_case: bool = False, amounts: DataFrame | None = None
 ) -> DataFrame:
     """Assets = liabilities + equity of a year, in one row. P&L accounts count to equity."""
-    totals = per_account(amounts_of(book, fy, amounts), *lone_totals())
+    totals = per_account(amounts_of(book, fy, amounts), lone_measures())
     sums = with_both_sections(totals, book).agg(*_side_sums(ignore_case))
     return sums.select("assets", F.lit("=").alias("eq"), "liabilities", F.lit("+").alias("plus"), "equity")
 
@@ -235,7 +239,8 @@ def bs_yoy(
     A name with lines in any year is listed; a year without lines gives 0.
     """
     fy = fiscal_year(fy)
-    totals = per_account(amounts_of(book, None, amounts), *lone_totals(fy, "query_"), *lone_totals(fy - 1, "previous_"))
+    measures = lone_measures(fy, "query_") | lone_measures(fy - 1, "previous_")
+    totals = per_account(amounts_of(book, None, amounts, bs_accounts(book)), measures)
 
     def amount(prefix: str) -> Column:
         debit, credit = F.col(prefix + "lone_debit"), F.col(prefix + "lone_credit")

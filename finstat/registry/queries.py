@@ -26,6 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # and one without lines of its own (FIXTURES.md section 2).
 YEAR, FIRST_YEAR, EMPTY_YEAR = 2000, 1995, 2002
 
+# On a loaded ledger, and from (session, folder) as the driver calls them.
+REPORTS: dict[str, Callable[[Ledger], DataFrame]] = {}
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,6 +39,7 @@ def register(key: str, oracle_text: str):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             return function(tpch.load_ledger(spark, sf_dir))
 
+        REPORTS[key] = function
         QUERIES[key] = query
         ORACLES[key] = oracle_text
         return function
@@ -53,17 +56,6 @@ def _with_referenced_sections(book: Ledger) -> Ledger:
     return Ledger(book.lines, book.entries, book.accounts, sections)
 
 
-def _account_chart(book: Ledger) -> DataFrame:
-    """Accounts with both section roles and the aligned name."""
-    chart = J.with_bs_section(J.with_pl_section(book.accounts, book), book)
-    return chart.withColumn("name", J.aligned_name())
-
-
-def _all_lines(book: Ledger) -> DataFrame:
-    """Every line with entry, account, sections and name; no filter."""
-    return J.with_both_sections(J.with_entries(book.lines, book), book)
-
-
 # --- reports ----------------------------------------------------------------
 
 for _fy, _suffix in ((YEAR, ""), (FIRST_YEAR, "_1995"), (EMPTY_YEAR, "_2002")):
@@ -180,7 +172,7 @@ def project_alias(book: Ledger) -> DataFrame:
     ),
 )
 def literal_columns(book: Ledger) -> DataFrame:
-    totals = A.per_account(book.lines, A.total("debit"), A.total("credit"))
+    totals = book.lines.groupBy("account_id").agg(A.total("debit"), A.total("credit"))
     sums = J.with_accounts(totals, book).groupBy("account_code").agg(A.total("debit"), A.total("credit"))
     return sums.select(
         "account_code",
@@ -196,7 +188,7 @@ def literal_columns(book: Ledger) -> DataFrame:
 
 @register("op_section_name", sql("SELECT account_id, pl_section, bs_section, name FROM chart", "chart"))
 def section_name(book: Ledger) -> DataFrame:
-    return _account_chart(book).select("account_id", "pl_section", "bs_section", "name")
+    return J.chart(book).select("account_id", "pl_section", "bs_section", "name")
 
 
 # --- filters ----------------------------------------------------------------
@@ -250,7 +242,7 @@ register("op_filter_nonblank_padded", sql(_SECTION_COLUMNS + "rtrim(pl_section)
     ),
 )
 def filter_or(book: Ledger) -> DataFrame:
-    return _account_chart(book).filter(P.has_any_section()).select("account_id", "pl_section_id", "bs_section_id")
+    return J.chart(book).filter(P.has_any_section()).select("account_id", "pl_section_id", "bs_section_id")
 
 
 @register(
@@ -279,7 +271,7 @@ def outer_filter(book: Ledger) -> DataFrame:
 def filter_in(book: Ledger) -> DataFrame:
     (name,) = _c("name")
     kinds = {"is_asset": ASSET_SECTIONS, "is_liability": LIABILITY_SECTIONS, "is_equity": EQUITY_SECTIONS}
-    counts = A.per_account(book.lines, F.count(F.lit(1)).alias("n"))
+    counts = book.lines.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
     rows = J.with_both_sections(counts, book).filter(name.isin(*ASSET_SECTIONS, *LIABILITY_SECTIONS, *EQUITY_SECTIONS))
     return rows.groupBy("name", *[M.named(name, names).alias(k) for k, names in kinds.items()]).agg(A.total("n"))
 
@@ -314,7 +306,7 @@ def filter_null(book: Ledger) -> DataFrame:
     ),
 )
 def pivot_years(book: Ledger) -> DataFrame:
-    totals = A.per_account(A.amounts_of(book), *A.pl_totals(YEAR, "query_"), *A.pl_totals(YEAR - 1, "previous_"))
+    totals = A.per_account(A.amounts_of(book), A.pl_measures(YEAR, "query_") | A.pl_measures(YEAR - 1, "previous_"))
     return totals.select("account_id", *[M.money(F.col(c)).alias(c) for c in ("query_net", "previous_net")])
 
 
@@ -361,7 +353,7 @@ def left_join_pl(book: Ledger) -> DataFrame:
     sql("SELECT account_id, pl_section_id, pl_section, bs_section_id, bs_section FROM chart", "chart"),
 )
 def join_role_playing(book: Ledger) -> DataFrame:
-    return _account_chart(book).select("account_id", "pl_section_id", "pl_section", "bs_section_id", "bs_section")
+    return J.chart(book).select("account_id", "pl_section_id", "pl_section", "bs_section_id", "bs_section")
 
 
 @register(
@@ -428,7 +420,7 @@ def sum_case_zero(book: Ledger) -> DataFrame:
     ),
 )
 def ratio(book: Ledger) -> DataFrame:
-    totals = A.per_account(book.lines, A.total("debit"), A.total("credit"))
+    totals = book.lines.groupBy("account_id").agg(A.total("debit"), A.total("credit"))
     sums = J.with_accounts(totals, book).groupBy("account_code").agg(A.total("debit"), A.total("credit"))
     return sums.select("account_code", M.yoy_pct(*_c("credit", "debit")).alias("margin_pct"))
 
@@ -452,7 +444,7 @@ def group_alias(book: Ledger) -> DataFrame:
 
 @register("op_group_computed", sql("SELECT name, count(*) AS n FROM chart GROUP BY 1", "chart"))
 def group_computed(book: Ledger) -> DataFrame:
-    return _account_chart(book).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return J.chart(book).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -466,7 +458,7 @@ def group_hidden_key(book: Ledger) -> DataFrame:
 
 @register("op_group_null_key", sql("SELECT pl_section, bs_section, count(*) AS n FROM book GROUP BY 1, 2", "book"))
 def group_null_key(book: Ledger) -> DataFrame:
-    counts = A.per_account(book.lines, F.count(F.lit(1)).alias("n"))
+    counts = book.lines.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
     return J.with_both_sections(counts, book).groupBy("pl_section", "bs_section").agg(A.total("n"))
 
 
@@ -513,7 +505,7 @@ def sort_hidden_key(book: Ledger) -> DataFrame:
 )
 def sort_multi(book: Ledger) -> DataFrame:
     keys = (F.desc("is_balance_sheet_section"), F.asc("bs_section_id"), F.asc("account_code"))
-    return _account_chart(book).orderBy(*keys, "account_id").select("account_id", "account_code", "name")
+    return J.chart(book).orderBy(*keys, "account_id").select("account_id", "account_code", "name")
 
 
 # --- expressions ------------------------------------------------------------
@@ -615,9 +607,7 @@ def growth(book: Ledger) -> DataFrame:
     def balance(prefix: str):
         return F.sum(F.col(prefix + "lone_debit") - F.col(prefix + "lone_credit"))
 
-    totals = A.per_account(
-        A.amounts_of(book), *A.lone_totals(YEAR, "query_"), *A.lone_totals(YEAR - 1, "previous_")
-    )
+    totals = A.per_account(A.amounts_of(book), A.lone_measures(YEAR, "query_") | A.lone_measures(YEAR - 1, "previous_"))
     by_code = J.with_accounts(totals, book).groupBy("account_code")
     sums = by_code.agg(balance("query_").alias("query"), balance("previous_").alias("previous"))
     query, previous = _c("query", "previous")

@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 # What the plans count on. AQE sizes the shuffles and splits a hot key of the
-# line-entry join; the other settings are its Spark defaults, stated.
+# line-entry join (Spark defaults, stated). It also saves that join its sort where
+# every partition of the entries is small enough to hash; larger ones are merged.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }

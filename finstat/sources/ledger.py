@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ class Ledger:
     accounts: DataFrame
     sections: DataFrame
 
+    @cached_property
+    def account_count(self) -> int:
+        """Size of the chart of accounts; from Parquet or ORC this reads file footers only."""
+        return self.accounts.count()
+
 
 def conform(frame: DataFrame, fields: T.StructType) -> DataFrame:
     """Select the schema's columns in the schema's types.

@@ -1,0 +1,63 @@
+"""Every registered query against its SQL twin in DuckDB."""
+
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from tests.conftest import TESTDATA
+
+SF = "sf0.01"
+
+
+@pytest.fixture(scope="module")
+def con():
+    connection = duckdb.connect()
+    for table in ("part", "orders", "lineitem"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TESTDATA}/{SF}/{table}.parquet'")
+    return connection
+
+
+def comparable(columns, data):
+    """Rows with columns by name, in one order whatever engine they come from."""
+    places = [columns.index(name) for name in sorted(columns)]
+    picked = [tuple(row[place] for place in places) for row in data]
+    return sorted(picked, key=lambda row: tuple((value is not None, "" if value is None else value) for value in row))
+
+
+def same(left, right):
+    if isinstance(left, float) and isinstance(right, float):
+        return math.isclose(left, right, rel_tol=0, abs_tol=1e-9)
+    return left == right
+
+
+@pytest.mark.parametrize("key", entry.queries())
+def test_query_equals_its_sql(spark, con, key):
+    frame = entry.queries()[key](spark, f"{TESTDATA}/{SF}")
+    cursor = con.execute(entry.oracle_sql()[key])
+    names = [column[0] for column in cursor.description]
+    assert sorted(frame.columns) == sorted(names)
+    actual = comparable(frame.columns, frame.collect())
+    expected = comparable(names, cursor.fetchall())
+    assert len(actual) == len(expected)
+    wrong = [(a, e) for a, e in zip(actual, expected) if not all(map(same, a, e))]
+    assert not wrong, wrong[:5]
+
+
+def test_reports_with_an_order_agree_in_order(spark, con):
+    for key in ("r04_pl_one_year", "r05_pl_yoy", "r12_bs_yoy"):
+        frame = entry.queries()[key](spark, f"{TESTDATA}/{SF}")
+        cursor = con.execute(entry.oracle_sql()[key])
+        place = [column[0] for column in cursor.description].index(frame.columns[0])
+        assert [row[0] for row in frame.collect()] == [row[place] for row in cursor.fetchall()]
+
+
+def test_every_key_has_its_sql():
+    assert entry.queries().keys() == entry.oracle_sql().keys()
+
+
+def test_entry(spark):
+    frame = entry.entry(spark)
+    assert frame.columns == ["statement_section", "query_year", "previous_year", "yoy_growth_pct"]
+    assert frame.count() == 7

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 
 import finstat
+from finstat.operators import joins
 from finstat.sources import tpch
 from tests import bruteforce
 from tests.conftest import make_ledger, ordered, rows
@@ -54,8 +55,10 @@ IN_ORDER = {"pl_one_year", "pl_yoy", "bs_yoy"}
 FROM_ROLLUP = {"pl_one_year", "pl_yoy", "section_crosstab", "bs_by_account", "accounting_equation", "bs_yoy"}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_reports_equal_bruteforce(spark, seed):
+@pytest.mark.parametrize("seed, broadcast", [(1, True), (2, True), (3, False)])
+def test_reports_equal_bruteforce(spark, seed, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(joins, "MAX_BROADCAST_ACCOUNTS", 0)
     data = random_ledger(seed)
     book, expected = make_ledger(spark, *data), bruteforce.Book(*data)
     stored = finstat.staged_rollup(book)

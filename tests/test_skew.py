@@ -1,0 +1,69 @@
+"""One entry and one account that hold a third of all lines each."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import finstat
+from finstat.sources import tpch
+from tests.conftest import TESTDATA, rows
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """The generated lines with a third moved to one entry, and another third to one account."""
+    book = tpch.load_ledger(spark, f"{TESTDATA}/sf0.01")
+    hot_entry = book.entries.filter(
+        "debit_credit_balanced = 1 AND user_id != 0 AND cancelled = 0 AND closing_type = 0 AND year(entry_date) = 2000"
+    ).agg(F.min("journal_entry_id")).first()[0]
+    third = F.abs(F.xxhash64("journal_entry_id", "account_id", "line_item", "debit", "credit")) % 3
+    lines = book.lines.repartition(16).withColumn("third", third)
+    lines = lines.withColumn("journal_entry_id", F.when(F.col("third") == 0, hot_entry).otherwise(F.col("journal_entry_id")))
+    lines = lines.withColumn("account_id", F.when(F.col("third") == 1, 6).otherwise(F.col("account_id"))).drop("third")
+    path = str(tmp_path_factory.mktemp("skew") / "lines")
+    lines.write.parquet(path)
+    return finstat.Ledger(spark.read.parquet(path), book.entries, book.accounts, book.sections)
+
+
+@pytest.fixture
+def cluster_like(conf):
+    """Sort-merge joins only, and skew thresholds scaled down to the test data."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="40000",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20000",
+        spark__sql__shuffle__partitions="16",
+    )
+
+
+def final_plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("report", ["pl_yoy", "bs_yoy", "accounting_equation", "master_lines"])
+def test_hot_entry_is_split(skewed, cluster_like, report):
+    frame = getattr(finstat, report)(skewed, 2000)
+    frame.collect()
+    assert "skew=true" in final_plan(frame)
+
+
+def test_results_are_whole_under_skew(skewed, conf):
+    reports = ("pl_yoy", "bs_yoy", "accounting_equation", "bs_by_account", "section_crosstab")
+    plain = {name: sorted(map(repr, rows(getattr(finstat, name)(skewed, 2000)))) for name in reports}
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="40000",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20000",
+    )
+    for name in reports:
+        assert sorted(map(repr, rows(getattr(finstat, name)(skewed, 2000)))) == plain[name]
+
+
+def test_sort_spreads_the_hot_entry(skewed, conf):
+    """Lines of the hot entry tie on the report's keys; the tie-break lets the sort spread them."""
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+    result = finstat.master_classified(skewed, 2000)
+    sizes = [row[0] for row in rows(result.groupBy(F.spark_partition_id()).count().select("count"))]
+    assert len(sizes) == 8
+    assert max(sizes) < 2.5 * sum(sizes) / len(sizes)
