@@ -3,7 +3,9 @@ import sys
 from decimal import Decimal
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -108,12 +110,20 @@ LINES = [
 ]
 
 
+def local_frame(spark, data, fields):
+    """A frame of a known, small size (through Arrow), so that plans broadcast it as they would a small table."""
+    columns = list(zip(*data)) or [()] * len(fields)
+    target = to_arrow_schema(fields)
+    arrays = [pa.array(column, field.type) for column, field in zip(columns, target)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=target), fields)
+
+
 def make_ledger(spark, lines=LINES, entries=ENTRIES, accounts=ACCOUNTS, sections=tpch.SECTION_ROWS):
     return Ledger(
-        lines=spark.createDataFrame(lines, schema.LINES),
-        entries=spark.createDataFrame(entries, schema.ENTRIES),
-        accounts=spark.createDataFrame(accounts, schema.ACCOUNTS),
-        sections=spark.createDataFrame(list(sections), schema.SECTIONS),
+        lines=local_frame(spark, lines, schema.LINES),
+        entries=local_frame(spark, entries, schema.ENTRIES),
+        accounts=local_frame(spark, accounts, schema.ACCOUNTS),
+        sections=local_frame(spark, sections, schema.SECTIONS),
     )
 
 
