@@ -1,0 +1,115 @@
+"""The measures on their own: exact sums, exact rounding, sign rules."""
+
+import random
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from finstat.functions import measures as M
+from finstat.functions import predicates as P
+from finstat.operators.amounts import cents, sum_cents
+from finstat.schema import ASSET_SECTIONS, EQUITY_SECTIONS, LIABILITY_SECTIONS, MONEY
+from tests.conftest import amount, local_frame, rows
+
+PAIR = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("a", MONEY), T.StructField("b", MONEY)])
+
+
+def random_money(rng):
+    digits = rng.choice([1, 3, 6, 10, 17])
+    return Decimal(rng.randrange(-(10**digits), 10**digits + 1)).scaleb(-2)
+
+
+def test_sum_of_cents_is_exact(spark):
+    rng = random.Random(5)
+    limit = Decimal("9999999999999999.99")
+    data = [(n % 7, random_money(rng) if rng.random() < 0.9 else None, None) for n in range(5_000)]
+    data += [(8, limit, None)] * 40 + [(9, -limit, None)] * 40 + [(10, None, None)] * 3
+    expected = defaultdict(list)
+    for key, value, _ in data:
+        expected[key].append(value)
+    frame = local_frame(spark, data, PAIR).repartition(5)
+    sums = dict(rows(frame.groupBy("key").agg(sum_cents(cents(F.col("a"))))))
+    for key, values in expected.items():
+        known = [value for value in values if value is not None]
+        with localcontext(prec=60):
+            assert sums[key] == (sum(known) if known else None)
+
+
+def test_percent_rounds_halves_away_from_zero(spark):
+    rng = random.Random(6)
+    data = [(0, random_money(rng), random_money(rng)) for _ in range(5_000)]
+    # Quotients that end in a 5 at the third decimal.
+    data += [(0, amount(sign * base), amount(sign * base - Decimal(n) / 100)) for sign in (1, -1) for base in (400, 80) for n in range(500)]
+    data = [(key, a, b) for key, a, b in data if a is None or abs(a) < 10**10]
+    frame = local_frame(spark, data, PAIR)
+    result = rows(frame.select("a", "b", M.yoy_pct(F.col("a"), F.col("b")), M.yoy_pct(F.col("a"), F.col("b"), "previous")))
+    for a, b, on_current, on_previous in result:
+        for base, actual in ((a, on_current), (b, on_previous)):
+            if base == 0:
+                assert actual is None
+                continue
+            with localcontext(prec=60):
+                exact = ((a - b) * 100 / base).quantize(Decimal("0.01"), ROUND_HALF_UP)
+            assert actual == pytest.approx(float(exact), rel=1e-13, abs=1e-9), (a, b)
+
+
+def test_percent_of_null(spark):
+    frame = local_frame(spark, [(0, amount(1), None), (0, None, amount(1)), (0, None, None), (0, amount(0), amount(1))], PAIR)
+    assert [row[0] for row in rows(frame.select(M.yoy_pct(F.col("a"), F.col("b"))))] == [None] * 4
+
+
+SIDES = [(amount(7), None), (None, amount(3)), (amount(7), amount(3)), (None, None)]
+
+
+@pytest.mark.parametrize(
+    "flag, netting, expected",
+    [
+        (1, False, [7, 3, 10, 0]),
+        (1, True, [7, -3, 4, 0]),
+        (0, False, [-7, 3, -4, 0]),
+        (0, True, [-7, 3, -4, 0]),
+        (None, False, [None] * 4),
+        (2, False, [None] * 4),
+    ],
+)
+def test_pl_amount(spark, flag, netting, expected):
+    frame = local_frame(spark, [(flag, debit, credit) for debit, credit in SIDES], PAIR)
+    signed = M.pl_amount(F.col("a"), F.col("b"), F.col("key"), netting)
+    assert [row[0] for row in rows(frame.select(M.money(signed)))] == expected
+
+
+def test_lone_sides(spark):
+    frame = local_frame(spark, [(0, debit, credit) for debit, credit in SIDES], PAIR)
+    lone = [M.money(side(F.col("a"), F.col("b"))) for side in (M.lone_debit, M.lone_credit)]
+    assert rows(frame.select(*lone)) == [(7.0, 0.0), (0.0, 3.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def test_every_section_counts_to_one_side(spark):
+    names = [*ASSET_SECTIONS, *LIABILITY_SECTIONS, *EQUITY_SECTIONS, "LONG TERM LIABILITIES", "", None]
+    frame = spark.createDataFrame([(name,) for name in names], "name string")
+    debit, credit = F.lit(5), F.lit(2)
+    measures = [m(F.col("name"), debit, credit) for m in (M.asset_amount, M.liability_amount, M.equity_amount, M.bs_amount)]
+    expected = (
+        [(3, 0, 0, 5)] * len(ASSET_SECTIONS)
+        + [(0, -3, 0, -3)] * len(LIABILITY_SECTIONS)
+        + [(0, 0, -3, -3)] * len(EQUITY_SECTIONS)
+        + [(0, 0, 0, 0)] * 3
+    )
+    assert rows(frame.select(*measures)) == expected
+
+
+@pytest.mark.parametrize("name, by_name, nonblank", [("A", True, True), ("", False, False), (" ", True, False), (None, False, False)])
+def test_has_section_by_name(spark, name, by_name, nonblank):
+    frame = spark.createDataFrame([(1, name)], "pl_section_id int, pl_section string")
+    assert frame.filter(P.has_section("name")).count() == by_name
+    assert frame.filter(P.has_section("nonblank")).count() == nonblank
+
+
+def test_either_section_outweighs_an_unknown_one(spark):
+    data = [(1, None, True), (None, 1, True), (0, 1, True), (0, 0, False), (None, 0, False), (None, None, False)]
+    frame = spark.createDataFrame(data, "pl_section_id int, bs_section_id int, kept boolean")
+    assert all(row.kept for row in frame.filter(P.has_any_section()).collect())
+    assert frame.filter(P.has_any_section()).count() == 3
