@@ -15,6 +15,7 @@ may outgrow a broadcast without the fact being shuffled again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -52,11 +53,14 @@ def as_amounts(rows: DataFrame) -> DataFrame:
 
 
 def amounts_of(
-    book: Ledger, fy: int | None = None, amounts: DataFrame | None = None, accounts: DataFrame | None = None
+    book: Ledger,
+    fy: int | None = None,
+    amounts: DataFrame | None = None,
+    accounts: Callable[[Ledger], DataFrame] | None = None,
 ) -> DataFrame:
     """The amounts of one year or of all, from a stored rollup if one is given.
 
-    ``accounts`` names the ids a report can use; postings of others may be left out.
+    ``accounts`` gives the ids a report can use; postings of others may be left out.
     """
     if amounts is None:
         return as_amounts(posted_lines(book, fy, accounts=accounts))

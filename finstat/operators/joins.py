@@ -9,6 +9,8 @@ explicit broadcast, in ``keep_accounts``, counts the side first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +74,9 @@ def bs_accounts(book: Ledger) -> DataFrame:
     return with_bs_section(book.accounts, book).filter(on_balance_sheet()).select("account_id")
 
 
-def keep_accounts(lines: DataFrame, book: Ledger, accounts: DataFrame | None) -> DataFrame:
+def keep_accounts(
+    lines: DataFrame, book: Ledger, accounts: Callable[[Ledger], DataFrame] | None
+) -> DataFrame:
     """Drop the lines of other accounts before they are shuffled to their entries.
 
     The report drops them anyway once it knows their section, so this only saves
@@ -81,11 +85,14 @@ def keep_accounts(lines: DataFrame, book: Ledger, accounts: DataFrame | None) ->
     """
     if accounts is None or book.account_count > MAX_BROADCAST_ACCOUNTS:
         return lines
-    return lines.join(F.broadcast(accounts), "account_id", "left_semi")
+    return lines.join(F.broadcast(accounts(book)), "account_id", "left_semi")
 
 
 def posted_lines(
-    book: Ledger, fy: int | None = None, check_cancelled: bool = True, accounts: DataFrame | None = None
+    book: Ledger,
+    fy: int | None = None,
+    check_cancelled: bool = True,
+    accounts: Callable[[Ledger], DataFrame] | None = None,
 ) -> DataFrame:
     """Lines of entries that count, of one year or of all."""
     rows = with_entries(keep_accounts(book.lines, book, accounts), book).filter(posted(check_cancelled))

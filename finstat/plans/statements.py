@@ -7,6 +7,7 @@ the result is the same. Reports without that argument need rows a rollup lacks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def line_count(book: Ledger, fy: int) -> DataFrame:
 
 def section_totals(book: Ledger, fy: int) -> DataFrame:
     """Lines, debits and credits per P&L section in a year. Cancelled entries stay in."""
-    rows = as_amounts(posted_lines(book, fy, check_cancelled=False, accounts=pl_accounts(book)))
+    rows = as_amounts(posted_lines(book, fy, check_cancelled=False, accounts=pl_accounts))
     totals = per_account(rows, plain("n_lines", "debit", "credit"))
     return (
         _with_pl(totals, book)
@@ -82,7 +83,7 @@ def section_names(book: Ledger) -> DataFrame:
 
 def pl_by_year(book: Ledger, netting: bool = False, amounts: DataFrame | None = None) -> DataFrame:
     """P&L amount per section and year, for all years."""
-    postings = amounts_of(book, None, amounts, pl_accounts(book, "name"))
+    postings = amounts_of(book, None, amounts, partial(pl_accounts, section_filter="name"))
     totals = per_account(postings, pl_measures(), keys=("account_id", "fiscal_year"))
     return (
         _with_pl(totals, book)
@@ -94,7 +95,7 @@ def pl_by_year(book: Ledger, netting: bool = False, amounts: DataFrame | None =
 
 def pl_one_year(book: Ledger, fy: int, netting: bool = False, amounts: DataFrame | None = None) -> DataFrame:
     """P&L amount per section for a year, in statement order."""
-    totals = per_account(amounts_of(book, fy, amounts, pl_accounts(book)), pl_measures())
+    totals = per_account(amounts_of(book, fy, amounts, pl_accounts), pl_measures())
     per_section = (
         _with_pl(totals, book)
         .filter(has_section())
@@ -119,7 +120,8 @@ def pl_yoy(
     """
     fy = fiscal_year(fy)
     measures = pl_measures(fy, "query_") | pl_measures(fy - 1, "previous_")
-    totals = per_account(amounts_of(book, None, amounts, pl_accounts(book, section_filter)), measures)
+    postings = amounts_of(book, None, amounts, partial(pl_accounts, section_filter=section_filter))
+    totals = per_account(postings, measures)
     per_section = (
         _with_pl(totals, book)
         .filter(has_section(section_filter))
@@ -208,7 +210,7 @@ def bs_by_account(
     book: Ledger, fy: int, ignore_case: bool = False, amounts: DataFrame | None = None
 ) -> DataFrame:
     """Assets, liabilities and equity of a year per account code and section name."""
-    totals = per_account(amounts_of(book, fy, amounts, bs_accounts(book)), lone_measures())
+    totals = per_account(amounts_of(book, fy, amounts, bs_accounts), lone_measures())
     return (
         with_both_sections(totals, book)
         .filter(on_balance_sheet())
@@ -240,7 +242,7 @@ def bs_yoy(
     """
     fy = fiscal_year(fy)
     measures = lone_measures(fy, "query_") | lone_measures(fy - 1, "previous_")
-    totals = per_account(amounts_of(book, None, amounts, bs_accounts(book)), measures)
+    totals = per_account(amounts_of(book, None, amounts, bs_accounts), measures)
 
     def amount(prefix: str) -> Column:
         debit, credit = F.col(prefix + "lone_debit"), F.col(prefix + "lone_credit")
