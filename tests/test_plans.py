@@ -8,6 +8,7 @@ import finstat
 from finstat.operators import joins
 from finstat.plans import statements
 from finstat.sources import tpch
+from finstat.sources.ledger import TABLES
 from tests.conftest import TESTDATA
 
 
@@ -132,3 +133,27 @@ def test_statements_read_the_stored_rollup_only(book):
 def test_sort_cuts_through_an_entry(big):
     exchange = re.search(r"Exchange rangepartitioning\((.*?)\), ENSURE", plan(finstat.master_classified(big, 2000))).group(1)
     assert "line_item" in exchange and "account_id" in exchange
+
+
+def test_status_flags_reach_the_scan_of_a_stored_ledger(spark, micro, tmp_path):
+    """Conforming a table casts its columns; casts to their own type must not block pushdown."""
+    for role, (table, _) in TABLES.items():
+        getattr(micro, role).write.parquet(str(tmp_path / table))
+    text = formatted(finstat.pl_one_year(finstat.from_parquet(spark, str(tmp_path)), 2016))
+    pushed = next(line for line in text.splitlines() if "PushedFilters" in line and "debit_credit_balanced" in line)
+    for condition in (
+        "EqualTo(debit_credit_balanced,1)",
+        "Not(EqualTo(user_id,0))",
+        "EqualTo(closing_type,0)",
+        "EqualTo(cancelled,0)",
+        "GreaterThanOrEqual(entry_date,2016-01-01)",
+        "LessThan(entry_date,2017-01-01)",
+    ):
+        assert condition in pushed
+
+
+@pytest.mark.parametrize("name", SUMMED)
+def test_aggregates_stay_in_generated_code(big, name):
+    """Hash aggregates all through: no sort-based or object-based ones."""
+    text = plan(SUMMED[name](big))
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
