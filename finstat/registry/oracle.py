@@ -267,3 +267,17 @@ def financial_statements(fy: int) -> str:
         SELECT 'equation', side, amount, NULL, NULL
         FROM ({accounting_equation(fy)}) e,
             LATERAL (VALUES ('assets', assets), ('liabilities', liabilities), ('equity', equity)) AS v(side, amount)"""
+
+
+def rollup() -> str:
+    sides = ("debit", "credit", "lone_debit", "lone_credit")
+    return sql(
+        f"""SELECT account_id, entry_year AS fiscal_year, count(*) AS n_lines,
+            {", ".join(double(f"sum({side})", side) for side in sides)}
+        FROM (SELECT account_id, entry_year, debit, credit,
+                CASE WHEN credit IS NULL THEN coalesce(debit, 0) ELSE 0 END AS lone_debit,
+                CASE WHEN debit IS NULL THEN coalesce(credit, 0) ELSE 0 END AS lone_credit
+              FROM posted) t
+        GROUP BY 1, 2""",
+        "posted",
+    )

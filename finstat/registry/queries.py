@@ -14,6 +14,7 @@ from finstat.functions import predicates as P
 from finstat.operators import amounts as A
 from finstat.operators import joins as J
 from finstat.plans import statements as S
+from finstat.plans.rollup import rollup
 from finstat.registry import oracle
 from finstat.registry.oracle import double, sql
 from finstat.schema import ASSET_SECTIONS, EQUITY_SECTIONS, LIABILITY_SECTIONS
@@ -110,6 +111,12 @@ def statements_as_rows(book: Ledger, amounts: DataFrame | None = None) -> DataFr
     return reduce(DataFrame.unionByName, rows)
 
 
+@register("rollup_account_year", oracle.rollup())
+def rollup_rows(book: Ledger) -> DataFrame:
+    sides = ("debit", "credit", "lone_debit", "lone_credit")
+    return rollup(book).select("account_id", "fiscal_year", "n_lines", *[M.money(F.col(s)).alias(s) for s in sides])
+
+
 # --- scans and derived table ------------------------------------------------
 
 

@@ -67,3 +67,13 @@ def test_sort_spreads_the_hot_entry(skewed, conf):
     sizes = [row[0] for row in rows(result.groupBy(F.spark_partition_id()).count().select("count"))]
     assert len(sizes) == 8
     assert max(sizes) < 2.5 * sum(sizes) / len(sizes)
+
+
+def test_a_big_year_of_the_rollup_is_written_by_several_tasks(skewed, conf, tmp_path):
+    conf(spark__sql__adaptive__advisoryPartitionSizeInBytes="10000", spark__sql__shuffle__partitions="8")
+    conf(spark__sql__adaptive__coalescePartitions__minPartitionSize="1000")
+    path = tmp_path / "rollup"
+    finstat.save_rollup(finstat.rollup(skewed), str(path))
+    files = {year.name: len(list(year.glob("*.parquet"))) for year in path.glob("fiscal_year=*")}
+    assert len(files) == 7
+    assert max(files.values()) > 1
