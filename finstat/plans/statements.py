@@ -70,7 +70,8 @@ def section_totals(book: Ledger, fy: int) -> DataFrame:
 def section_crosstab(book: Ledger, fy: int, amounts: DataFrame | None = None) -> DataFrame:
     """Lines per (P&L section, B/S section) in a year, for accounts with either."""
     totals = per_account(amounts_of(book, fy, amounts), plain("n_lines"))
-    return with_both_sections(totals, book).filter(has_any_section()).groupBy("pl_section", "bs_section").agg(total("n_lines"))
+    rows = with_both_sections(totals, book).filter(has_any_section())
+    return rows.groupBy("pl_section", "bs_section").agg(total("n_lines"))
 
 
 def section_names(book: Ledger) -> DataFrame:

@@ -96,9 +96,13 @@ def statements_as_rows(book: Ledger, amounts: DataFrame | None = None) -> DataFr
     parts = S.financial_statements(book, YEAR, amounts)
     figures = ("query_year", "previous_year", "yoy_growth_pct")
     no_figure = F.lit(None).cast("double")
-    sides = F.array(*[F.struct(F.lit(s).alias("item"), F.col(s).alias("amount")) for s in ("assets", "liabilities", "equity")])
+    sides = F.array(
+        *[F.struct(F.lit(side).alias("item"), F.col(side).alias("amount")) for side in ("assets", "liabilities", "equity")]
+    )
     rows = [
-        parts.profit_loss.select(F.lit("profit and loss").alias("statement"), F.col("statement_section").alias("item"), *figures),
+        parts.profit_loss.select(
+            F.lit("profit and loss").alias("statement"), F.col("statement_section").alias("item"), *figures
+        ),
         parts.balance_sheet.select(F.lit("balance sheet").alias("statement"), F.col("name").alias("item"), *figures),
         parts.equation.select(F.inline(sides)).select(
             F.lit("equation").alias("statement"),

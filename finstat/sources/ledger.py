@@ -67,17 +67,17 @@ def from_parquet(spark: SparkSession, folder: str) -> Ledger:
     return from_files(spark, folder, "parquet")
 
 
-def from_files(spark: SparkSession, folder: str, source: str, suffix: str = "", **options) -> Ledger:
+def from_files(spark: SparkSession, folder: str, source: str, **options) -> Ledger:
     """Read the four tables with any of Spark's file sources (orc, json, csv ...).
 
-    The schema is always given, never inferred: inference would read the fact twice.
+    CSV and JSON get the schema: inferring it would read the fact twice.
     """
     frames = {}
     for role, (table, fields) in TABLES.items():
         reader = spark.read.format(source).options(**options)
         if source in ("csv", "json"):
             reader = reader.schema(fields)
-        frames[role] = reader.load(f"{folder.rstrip('/')}/{table}{suffix}")
+        frames[role] = reader.load(f"{folder.rstrip('/')}/{table}")
     return ledger(**frames)
 
 

@@ -23,6 +23,8 @@ def spark(tmp_path_factory):
         8,
         **{
             "spark.checkpoint.dir": str(folder / "shared"),
+            # The test ledgers are a few rows; one task per core to scan them is all overhead.
+            "spark.sql.leafNodeDefaultParallelism": "2",
             "spark.sql.warehouse.dir": str(folder / "warehouse"),
             "spark.driver.extraJavaOptions": f"-Dderby.system.home={folder}",
         },

@@ -18,7 +18,10 @@ def write(book, folder, source, **options):
         getattr(book, role).write.format(source).options(**options).save(f"{folder}/{table}")
 
 
-@pytest.mark.parametrize("source, options", [("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"emptyValue": "", "nullValue": "NULL"})])
+@pytest.mark.parametrize(
+    "source, options",
+    [("parquet", {}), ("orc", {}), ("json", {}), ("csv", {"emptyValue": "", "nullValue": "NULL"})],
+)
 def test_files(spark, micro, tmp_path, source, options):
     write(micro, tmp_path, source, **options)
     book = finstat.from_files(spark, str(tmp_path), source, **options)
@@ -33,8 +36,9 @@ def test_parquet_with_foreign_types(spark, micro, tmp_path):
     )
     entries = micro.entries.withColumn("entry_date", F.col("entry_date").cast("timestamp"))
     entries = entries.withColumn("cancelled", F.col("cancelled").cast("smallint"))
-    for name, frame in (("journal_entry_line_item", lines), ("journal_entry", entries), ("account", micro.accounts), ("statement_section", micro.sections)):
-        frame.write.parquet(str(tmp_path / name))
+    frames = {"lines": lines, "entries": entries, "accounts": micro.accounts, "sections": micro.sections}
+    for role, (table, _) in TABLES.items():
+        frames[role].write.parquet(str(tmp_path / table))
     book = finstat.from_parquet(spark, str(tmp_path))
     assert book.lines.schema["debit"].dataType == schema.MONEY
     assert rows(finstat.accounting_equation(book, 2016)) == [(70.0, "=", 20.0, "+", 78.0)]
