@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -44,17 +46,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a temporary folder. A cluster
-    session does not: its executors would not see the driver's disk.
+    Without that setting a local session uses one under the system's temporary folder. A
+    cluster session does not: its executors would not see the driver's disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="finstat-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(tempfile.gettempdir(), "checkpoints", "finstat")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
