@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finstat.llm import exact, histogram, mixing, simhash
+from finstat.llm import exact, histogram, mixing, pieces, simhash, toxicity, warc
 from finstat.llm.common import read_table
 
 
@@ -14,14 +14,22 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
     return lambda spark, sf_dir: operator(read_table(spark, sf_dir, table))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op6(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_warc": _over("pages", warc.op1),
     "op3_simhash": _over("documents", simhash.op3),
     "op4_sharding": _over("documents", histogram.op4),
+    "op6_toxicity": op6,
+    "op8_sentencepiece": _over("documents", pieces.op8),
     "op9_mixing": _over("documents", mixing.op9),
     "op10_exact_dedup": _over("documents", exact.op10),
 }
 
 SQL = {
+    "op1_warc": warc.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact.SQL,
 }
