@@ -64,6 +64,19 @@ def _key(table: pa.Table, keys: list[str], row: int) -> tuple:
     return tuple(table.column(key)[row].as_py() for key in keys)
 
 
+def merged(batches: Iterable[pa.RecordBatch], least: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``least`` rows: sending many small ones is slow."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def spanning_edges(n: int, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Those of the pairs among 0..n-1 that join two parts not joined before."""
     parent = list(range(n))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finstat.llm import exact, histogram, mixing, pieces, simhash, toxicity, warc
+from finstat.llm import exact, histogram, lattice, mixing, pieces, simhash, toxicity, warc
 from finstat.llm.common import read_table
 
 
@@ -20,6 +20,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": _over("pages", warc.op1),
+    "op2_embedding_dedup": _over("embeddings", lattice.op2),
     "op3_simhash": _over("documents", simhash.op3),
     "op4_sharding": _over("documents", histogram.op4),
     "op6_toxicity": op6,
@@ -30,6 +31,7 @@ QUERIES = {
 
 SQL = {
     "op1_warc": warc.SQL,
+    "op2_embedding_dedup": lattice.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact.SQL,
 }

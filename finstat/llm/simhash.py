@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finstat.llm.common import components, or_empty, sorted_runs, spanning_edges, staged
+from finstat.llm.common import components, merged, or_empty, sorted_runs, spanning_edges, staged
 
 BITS = 64
 PIECE = 200_000  # shingles hashed at a time, which bounds the memory of a long text
@@ -124,7 +124,7 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     placed = rows.select("shard", "fp", "rep").repartition("shard").sortWithinPartitions("shard")
-    return placed.mapInArrow(search, "a long, b long")
+    return placed.mapInArrow(lambda batches: merged(search(batches)), "a long, b long")
 
 
 def link_prints(prints: DataFrame, radius: int = 3, shard_rows: int = 1024) -> DataFrame:
