@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finstat.llm import exact, histogram, lattice, mixing, pieces, simhash, toxicity, warc
+from finstat.llm import exact, histogram, lattice, licenses, mixing, pieces, simhash, toxicity, warc
 from finstat.llm.common import read_table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op2_embedding_dedup": _over("embeddings", lattice.op2),
     "op3_simhash": _over("documents", simhash.op3),
     "op4_sharding": _over("documents", histogram.op4),
+    "op5_license_scan": _over("documents", licenses.op5),
     "op6_toxicity": op6,
     "op8_sentencepiece": _over("documents", pieces.op8),
     "op9_mixing": _over("documents", mixing.op9),
@@ -32,6 +33,7 @@ QUERIES = {
 SQL = {
     "op1_warc": warc.SQL,
     "op2_embedding_dedup": lattice.SQL,
+    "op5_license_scan": licenses.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact.SQL,
 }
