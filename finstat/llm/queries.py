@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finstat.llm import exact, histogram, lattice, licenses, mixing, pieces, simhash, toxicity, warc
+from finstat.llm import exact, histogram, lattice, licenses, mixing, pieces, simhash, toxicity, warc, windows
 from finstat.llm.common import read_table
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op4_sharding": _over("documents", histogram.op4),
     "op5_license_scan": _over("documents", licenses.op5),
     "op6_toxicity": op6,
+    "op7_substring_dedup": _over("documents", windows.op7),
     "op8_sentencepiece": _over("documents", pieces.op8),
     "op9_mixing": _over("documents", mixing.op9),
     "op10_exact_dedup": _over("documents", exact.op10),
