@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finstat.session import staging_path
@@ -31,6 +31,25 @@ def or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def mark(text_col: str) -> Column:
+    """Together with the id, what tells rows apart: rows with one id and one text are one."""
+    return F.xxhash64(or_empty(text_col))
+
+
+def take_rows(docs: DataFrame, takes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``takes`` (id, mark, copies) names, each ``copies`` times.
+
+    ``takes`` has a pair of id and mark once; so repeated rows come out ``copies`` times in all.
+    Rows are exchanged once, by the join; the count of repeated ones uses its partitioning.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), mark(text_col).alias("mark"))
+    named = takes.select(F.col("id").alias("take_id"), F.col("mark").alias("take_mark"), "copies")
+    joined = own.join(named, F.col("id").eqNullSafe(F.col("take_id")) & (F.col("mark") == F.col("take_mark")))
+    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy("copies"))
+    first = joined.withColumn("nth", nth).filter("nth = 1 AND copies > 0")
+    return first.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key, from batches in which equal keys lie together.
 

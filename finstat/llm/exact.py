@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finstat.llm.common import or_empty, staged
+from finstat.llm.common import or_empty, staged, take_rows
 
 DIGEST = ["sha", "n_bytes", "check"]
 
@@ -52,7 +52,7 @@ def merge_runs(runs: DataFrame, keep: str = "smallest", fan_in: int = 16) -> Dat
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 16
 ) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
+    """One row per document: id, keep_id, group_size, kept, text_sha256, mark (a hash of the text).
 
     Of equal whole texts the row with the smallest (or largest) id is kept.
     - A null text counts as empty.
@@ -69,15 +69,23 @@ def exact_groups(
         "group_size",
         F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
         F.col("sha").alias("text_sha256"),
+        F.col("check").alias("mark"),
     ).select(
         "id",
         "keep_id",
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         "text_sha256",
+        "mark",
     )
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows that ``exact_groups`` keeps, with all their columns."""
+    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select("id", "mark", F.lit(1).alias("copies"))
+    return take_rows(docs, kept, id_col, text_col)
+
+
 SQL = """
 SELECT doc_id,
        max(doc_id) OVER g AS keep_id,
@@ -92,4 +100,4 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def op10(documents: DataFrame) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    return exact_groups(documents, keep="largest").withColumnRenamed("id", "doc_id")
+    return exact_groups(documents, keep="largest").drop("mark").withColumnRenamed("id", "doc_id")

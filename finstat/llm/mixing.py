@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstat.llm.common import WORD, or_empty, staged
+from finstat.llm.common import WORD, mark, or_empty, staged, take_rows
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -49,7 +49,7 @@ def mix_sources(
     source_col: str = "source",
     seed: int = 0,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken.
+    """One row per document: id, mark (a hash of the text), source, size, source_size, target, copies, taken.
 
     Each document of a source is taken as many whole times as the target holds the
     source; what is left of the target is an unequal-probability sample over the
@@ -73,6 +73,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             F.regexp_count(or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
             uniform(F.col(id_col), seed).alias("u"),
+            mark(text_col).alias("mark"),
         ),
         "sizes",
     )
@@ -107,10 +108,17 @@ def mix_sources(
     middle = (F.col("start") + F.col("before")).cast("double") + F.col("size") / F.lit(2.0)
     copies = F.col("whole") + F.when(middle <= F.col("rest"), 1).otherwise(0)
     return placed.withColumn("copies", copies).select(
-        "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_copies: int = 3, **columns) -> DataFrame:
+    """The rows of the mix with all their columns, each as often as it is taken."""
+    mix = mix_sources(docs, weights, max_copies, **columns)
+    takes = mix.groupBy("id", "mark").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    return take_rows(docs, takes, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
+
+
 SQL = r"""
 WITH rows AS (
   SELECT doc_id, source,

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finstat.llm.common import components, merged, or_empty, sorted_runs, spanning_edges, staged
+from finstat.llm.common import components, mark, merged, or_empty, sorted_runs, spanning_edges, staged, take_rows
 
 BITS = 64
 PIECE = 200_000  # shingles hashed at a time, which bounds the memory of a long text
@@ -38,15 +38,17 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """One row (id, fp) per document."""
+    """One row (id, mark, fp) per document."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(text.as_py(), words) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["id", "fp"])
+            prints = [fingerprint(text.as_py(), words) for text in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "fp"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), or_empty(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(hashed, "id long, fp long")
+    text = or_empty(text_col).cast("binary").alias("text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), mark(text_col).alias("mark"), text)
+    return texts.mapInArrow(hashed, "id long, mark long, fp long")
 
 
 class BKTree:
@@ -159,7 +161,7 @@ def simhash_components(
     radius: int = 3,
     shard_rows: int = 1024,
 ) -> DataFrame:
-    """One row per document: id, fp, component_id (the smallest id reachable by links).
+    """One row per document: id, mark (a hash of the text), fp, component_id (the smallest id reachable by links).
 
     Copies share a fingerprint and are reduced to their smallest id before anything
     is linked, so a group of copies costs one node.
@@ -175,7 +177,19 @@ def simhash_components(
     classes = reps.join(nodes, reps["rep"] == nodes["node"], "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(classes, F.col("fp") == F.col("class_fp")).select("id", "fp", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("class_fp")).select("id", "mark", "fp", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id.
+
+    Of rows that share this id, the one whose text has the smallest hash; without any id, one row per fingerprint.
+    """
+    linked = simhash_components(docs, id_col, text_col, words, radius).filter("component_id IS NULL OR id = component_id")
+    one = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = linked.groupBy("component_id", one.alias("fp")).agg(F.min("mark").alias("mark"))
+    takes = kept.select(F.col("component_id").alias("id"), "mark", F.lit(1).alias("copies")).distinct()
+    return take_rows(docs, takes, id_col, text_col)
 
 
 def as_hex(fp: Column) -> Column:

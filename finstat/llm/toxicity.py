@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finstat.llm.common import or_empty
 
@@ -285,13 +286,15 @@ def _tail(toxic: int, clean: int, share: float) -> float:
     return math.exp(min(0.0, log + toxic * math.log(share) + clean * math.log(max(1 - share, 1e-12)))) * (clean + 1)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, score in 0..1.
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The rows with their score in 0..1; no row is moved.
 
     Whole texts are read, whatever their length. Null and empty texts have the score of a document
     without evidence. Null ids and repeated rows keep their rows; an empty table gives no rows.
-    Other columns are not read, whatever their names.
+    A column that is already named like the score is replaced.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col])
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -312,8 +315,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             scores = []
-            for text in batch.column(1):
-                tokens = text.as_py().lower().split()
+            for text in batch.column(place):
+                tokens = (text.as_py() or "").lower().split()
                 rest = 1 - model.prior
                 for token in sorted(set(tokens)):
                     value = cache.get(token)
@@ -328,10 +331,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for letters in spelled_out(tokens):
                     rest *= _clean(viterbi(spaced(letters), language).split(), weights)
                 scores.append(1 - rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+            columns = [*batch.columns, pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, score_col])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), or_empty(text_col).alias("text"))
-    return texts.mapInArrow(run, "id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def _clean(words: Iterable[str], weights: dict[str, float]) -> float:
@@ -345,11 +348,17 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def clean_documents(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The documents whose score is below the limit, learned from all labels."""
+    kept = with_score(documents, fit(documents, labels), score_col="toxicity_score").filter(F.col("toxicity_score") < limit)
+    return kept.select(*documents.columns)
+
+
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(documents, labels.filter(~held_out()))
-    return score(documents, model).select(
-        F.col("id").alias("doc_id"),
-        held_out("id").alias("held_out"),
+    return with_score(documents.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out().alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
