@@ -1,0 +1,77 @@
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from finstat.llm.histogram import histogram_shards, op4, splitters
+from tests.llm.conftest import MESSY, prose
+
+
+def shard_bytes(rows):
+    out = defaultdict(int)
+    for r in rows:
+        out[r.shard] += r.size
+    return out
+
+
+def check_slots(rows):
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_are_near_equal_and_slots_gapless(make_docs):
+    texts = [(i, prose(1 + i * 13 % 60, i)) for i in range(1500)]
+    texts += [(2000 + i, "a hot text of which there are many") for i in range(700)]
+    rows = op4(make_docs(texts)).collect()
+    assert len(rows) == 2200
+    sizes = shard_bytes(rows)
+    assert set(sizes) == set(range(24))
+    mean, largest = sum(sizes.values()) / 24, max(r.size for r in rows)
+    assert max(abs(s - mean) for s in sizes.values()) <= 2 * max(largest, 0.01 * mean)
+    check_slots(rows)
+    by_id = dict(texts)
+    assert all(r.size == len(by_id[r.doc_id].encode()) + 8 for r in rows)
+    assert all(r.text_crc32 == zlib.crc32(by_id[r.doc_id].encode()) for r in rows)
+    # Copies lie in shards next to each other; all others stand whole.
+    hot = {r.shard for r in rows if r.doc_id >= 2000}
+    assert hot == set(range(min(hot), max(hot) + 1))
+
+
+def test_splitters_equal_brute_force(spark):
+    keys = [(f"{i * 2654435761 % (1 << 32):08x}", 1 + i * i % 50) for i in range(800)]
+    frame = spark.createDataFrame(keys, "key string, size long")
+    cuts = splitters(frame, 7, tolerance=0.0)
+    total, below, best = sum(s for _, s in keys), 0, {i: (float("inf"), 0) for i in range(1, 7)}
+    for _, size in [("", 0), *sorted(keys)]:
+        below += size
+        for i in best:
+            best[i] = min(best[i], (abs(below - total * i / 7), below))
+    for i, cut in enumerate(cuts, 1):
+        got = sum(s for k, s in keys if k < cut)
+        assert abs(got - total * i / 7) == pytest.approx(best[i][0])
+
+
+def test_one_key_that_cannot_be_cut(spark):
+    frame = spark.createDataFrame([(1, 5)] * 50, "k long, v long")
+    rows = histogram_shards(frame, 4, F.lit(1), ["k"]).collect()
+    assert len({r.shard for r in rows}) == 1
+    check_slots(rows)
+
+
+def test_messy_rows(messy):
+    rows = op4(messy).collect()
+    assert len(rows) == len(MESSY)
+    check_slots(rows)
+    assert {r.size for r in rows if r.doc_id in (3, 4)} == {8}
+    assert {r.text_crc32 for r in rows if r.doc_id in (3, 4)} == {0}
+    assert op4(messy.limit(0)).collect() == []
+
+
+def test_shards_do_not_depend_on_partitioning(make_docs):
+    docs = make_docs([(i, prose(1 + i % 40, i)) for i in range(400)])
+    pick = ["doc_id", "shard", "slot"]
+    a, b = (sorted(map(tuple, op4(d).select(*pick).collect())) for d in (docs, docs.repartition(11)))
+    assert a == b
