@@ -98,7 +98,7 @@ class Normalizer:
                 del out[-len(self.space) :]
                 end = source[len(out)]
                 source = [*source[: len(out)], end]
-        return bytes(out), np.array(source, dtype=np.int32)
+        return bytes(out), np.array(source if out else [0], dtype=np.int32)
 
 
 def _char(first: int) -> int:

@@ -39,9 +39,9 @@ LEET = {
     "¡": "i",
     "*": "aeiou",
 }
-# Costs of the channel, in nats: a letter written as a sign, a sign between letters that
-# means nothing, a sign that stands for itself, a letter repeated once too often.
-SIGN, DROP, LITERAL, REPEAT = 0.7, 1.0, 6.0, 0.4
+# Costs of the channel, in nats: a letter written as a sign; a sign between letters that means
+# nothing, if it could be a letter and if not; a sign that stands for itself; a letter repeated once too often.
+SIGN, DROP, SEPARATOR, LITERAL, REPEAT = 0.7, 2.5, 0.7, 6.0, 0.4
 
 # Classes of characters that the language model tells apart: a..z with their accents
 # folded, other letters, and a boundary for everything else.
@@ -119,7 +119,7 @@ def lattice(token: str) -> list[Step]:
             continue
         spelled = [(letter, SIGN + REPEAT * (length - 1)) for letter in LEET.get(char, "")]
         spelled += [(letter * length, SIGN * length) for letter in LEET.get(char, "") if length > 1]
-        steps.append([*spelled, ("", DROP), (" ", LITERAL)])
+        steps.append([*spelled, ("", DROP if spelled else SEPARATOR), (" ", LITERAL)])
     return steps
 
 
@@ -213,8 +213,8 @@ def spelled_out(tokens: list[str], least: int = 3) -> Iterator[list[str]]:
 @dataclass(frozen=True)
 class Model:
     language: np.ndarray
-    weights: dict[str, float]  # the chance that a document with this feature is toxic
-    prior: float  # the chance for a document without any
+    weights: dict[str, float]  # log of how much more often a feature stands in toxic documents than in clean ones
+    base: float  # log odds of a document without any
 
 
 def fit(
@@ -267,16 +267,26 @@ def fit(
     whole = counts.filter("feature = ''").first()
     n_clean, n_toxic = (whole["clean"], whole["toxic"]) if whole else (0, 0)
     if not n_toxic:
-        return Model(language, {}, 0.0)
+        return Model(language, {}, -20.0)
     share = n_toxic / (n_clean + n_toxic)
-    telling = counts.filter(f"feature <> '' AND toxic >= 3 AND toxic * {n_clean} > 10 * clean * {n_toxic}")
+    telling = counts.filter(f"feature <> '' AND toxic >= 3 AND toxic * {n_clean} > 5 * clean * {n_toxic}")
     rows = telling.orderBy(F.desc("toxic"), "clean", "feature").limit(max_features).collect()
-    weights = {}
-    for feature, clean, toxic in rows:
-        if _tail(toxic, clean, share) < significance:
-            odds = (toxic / n_toxic) / ((clean + 0.5) / max(n_clean, 1)) * share / max(1 - share, 1e-9)
-            weights[feature] = odds / (1 + odds)
-    return Model(language, weights, min(0.4, share / 10))
+    weights: dict[str, float] = {}
+    explained: dict[str, tuple[int, int]] = {}
+    # Longer features first: a beginning counts for what the most telling longer one does not explain.
+    for feature, clean, toxic in sorted(rows, key=lambda row: (-len(row[0].rstrip("-")), row[0].endswith("-"), row[0])):
+        most = explained.get(feature, (0, 0))
+        if clean > most[1]:
+            toxic, clean = toxic - most[0], clean - most[1]
+        if toxic <= 0 or _tail(toxic, clean, share) >= significance:
+            continue
+        weight = math.log((toxic / n_toxic) / ((clean + 0.5) / (n_clean + 1)))
+        if weight > 0:
+            weights[feature] = weight
+            for shorter in features(feature.rstrip("-")):
+                if shorter != feature:
+                    explained[shorter] = max(explained.get(shorter, (0, 0)), (toxic, clean))
+    return Model(language, weights, math.log(share / 10 / (1 - share / 10)))
 
 
 def _tail(toxic: int, clean: int, share: float) -> float:
@@ -300,48 +310,45 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
         cache: dict[str, float] = {}
         weights, language = model.weights, model.language
 
-        def clean(token: str) -> float:
-            """The chance that a token is clean.
+        def weigh(token: str) -> float:
+            """What a token adds to the log odds.
 
             Doubled letters are mostly spelling: they are decoded only where one letter each would
             make a telling word, as no other reading could change the score.
             """
-            value = _clean(restore(token, language).split(), weights)
-            if value == 1 and DOUBLED.search(token):
+            value = evidence(restore(token, language).split(), weights)
+            if not value and DOUBLED.search(token):
                 core = token.strip(EDGES)
-                if _clean([DOUBLED.sub(r"\1", core)], weights) < 1:
-                    return _clean(viterbi(lattice(core), language).split(), weights)
+                if evidence([DOUBLED.sub(r"\1", core)], weights):
+                    return evidence(viterbi(lattice(core), language).split(), weights)
             return value
 
         for batch in batches:
             scores = []
             for text in batch.column(place):
                 tokens = (text.as_py() or "").lower().split()
-                rest = 1 - model.prior
+                total = model.base
                 for token in sorted(set(tokens)):
                     value = cache.get(token)
                     if value is None:
-                        value = clean(token)
+                        value = weigh(token)
                         if len(cache) > 200_000:
                             cache.clear()
                         if len(token) <= 64:
                             cache[token] = value
-                    if value < 1:
-                        rest *= value
+                    total += value
                 for letters in spelled_out(tokens):
-                    rest *= _clean(viterbi(spaced(letters), language).split(), weights)
-                scores.append(1 - rest)
+                    total += evidence(viterbi(spaced(letters), language).split(), weights)
+                scores.append(1 / (1 + math.exp(-total)))
             columns = [*batch.columns, pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
-def _clean(words: Iterable[str], weights: dict[str, float]) -> float:
-    value = 1.0
-    for word in words:
-        value *= 1 - max(weights.get(f, 0.0) for f in features(word))
-    return value
+def evidence(words: Iterable[str], weights: dict[str, float]) -> float:
+    """The log odds that the words add, each by its most telling feature."""
+    return sum(max(weights.get(f, 0.0) for f in features(word)) for word in words)
 
 
 def held_out(id_col: str = "doc_id"):
