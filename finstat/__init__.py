@@ -1,6 +1,6 @@
 """Financial statements from a double-entry ledger, on Spark."""
 
-from finstat.plans.rollup import load_rollup, rollup, save_rollup, staged_rollup
+from finstat.plans.rollup import load_rollup, refresh_rollup, rollup, save_rollup
 from finstat.plans.statements import (
     Statements,
     accounting_equation,
@@ -17,7 +17,7 @@ from finstat.plans.statements import (
     section_names,
     section_totals,
 )
-from finstat.sources import Ledger, from_files, from_parquet, from_tables, ledger, register_views
+from finstat.sources import Ledger, from_files, from_parquet, from_tables, ledger, load_ledger, register_views, save_ledger
 
 __all__ = [
     "Ledger",
@@ -31,17 +31,19 @@ __all__ = [
     "from_tables",
     "ledger",
     "line_count",
+    "load_ledger",
     "load_rollup",
     "master_classified",
     "master_lines",
     "pl_by_year",
     "pl_one_year",
     "pl_yoy",
+    "refresh_rollup",
     "register_views",
     "rollup",
+    "save_ledger",
     "save_rollup",
     "section_crosstab",
     "section_names",
     "section_totals",
-    "staged_rollup",
 ]

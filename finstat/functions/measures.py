@@ -53,29 +53,23 @@ def lone_credit(debit: Column, credit: Column) -> Column:
     return F.when(debit.isNull(), or_zero(credit)).otherwise(0)
 
 
-def named(name: Column, names: tuple[str, ...], ignore_case: bool = False) -> Column:
-    return (F.upper(F.rtrim(name)) if ignore_case else name).isin(*names)
+# The side measures take the key of a section name (predicates.name_key), lone debits and lone
+# credits: a posting with both sides filled counts to no side of the balance sheet.
 
 
-# The side measures take lone debits and lone credits: a posting with both
-# sides filled counts to no side of the balance sheet.
+def asset_amount(key: Column, debit: Column, credit: Column) -> Column:
+    return F.when(key.isin(*ASSET_SECTIONS), debit - credit).otherwise(0)
 
 
-def asset_amount(name: Column, debit: Column, credit: Column, ignore_case: bool = False) -> Column:
-    return F.when(named(name, ASSET_SECTIONS, ignore_case), debit - credit).otherwise(0)
+def liability_amount(key: Column, debit: Column, credit: Column) -> Column:
+    return F.when(key.isin(*LIABILITY_SECTIONS), credit - debit).otherwise(0)
 
 
-def liability_amount(name: Column, debit: Column, credit: Column, ignore_case: bool = False) -> Column:
-    return F.when(named(name, LIABILITY_SECTIONS, ignore_case), credit - debit).otherwise(0)
+def equity_amount(key: Column, debit: Column, credit: Column) -> Column:
+    return F.when(key.isin(*EQUITY_SECTIONS), credit - debit).otherwise(0)
 
 
-def equity_amount(name: Column, debit: Column, credit: Column, ignore_case: bool = False) -> Column:
-    return F.when(named(name, EQUITY_SECTIONS, ignore_case), credit - debit).otherwise(0)
-
-
-def bs_amount(
-    name: Column, debit: Column, credit: Column, asset_credits: bool = False, ignore_case: bool = False
-) -> Column:
+def bs_amount(key: Column, debit: Column, credit: Column, asset_credits: bool = False) -> Column:
     """One amount per balance-sheet section, whatever its side.
 
     The two-year balance sheet leaves credits on assets out (unlike
@@ -83,14 +77,14 @@ def bs_amount(
     """
     asset = debit - credit if asset_credits else debit
     return (
-        F.when(named(name, ASSET_SECTIONS, ignore_case), asset)
-        .when(named(name, LIABILITY_SECTIONS + EQUITY_SECTIONS, ignore_case), credit - debit)
+        F.when(key.isin(*ASSET_SECTIONS), asset)
+        .when(key.isin(*LIABILITY_SECTIONS, *EQUITY_SECTIONS), credit - debit)
         .otherwise(0)
     )
 
 
 def yoy_pct(current: Column, previous: Column, base: str = "current") -> Column:
-    """% change between two amounts; NULL when either is NULL or the base is 0.
+    """% change between two amounts as reported; NULL when either is NULL or the base is 0.
 
     The default base is the *current* year; ``base='previous'`` is the textbook form.
     Both operands of the division are whole cents, so it is the only inexact step
@@ -99,6 +93,6 @@ def yoy_pct(current: Column, previous: Column, base: str = "current") -> Column:
     bases = {"current": current, "previous": previous}
     if base not in bases:
         raise ValueError(f"unknown base {base!r}")
-    change = ((current - previous) * 10_000).cast("double")
-    cents = (bases[base] * 100).cast("double")
+    change = ((F.round(current, 2) - F.round(previous, 2)) * 10_000).cast("double")
+    cents = (F.round(bases[base], 2) * 100).cast("double")
     return F.round(change / F.nullif(cents, F.lit(0.0)), 2)

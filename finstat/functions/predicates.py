@@ -32,19 +32,27 @@ def posted(check_cancelled: bool = True) -> Column:
     return live & (F.col("cancelled") == 0) if check_cancelled else live
 
 
+def name_key(name: Column, exact: bool = False) -> Column:
+    """What section names match and group by: the one rule for all of them.
+
+    Case and trailing blanks make no difference, unless names are exact.
+    """
+    return name if exact else F.upper(F.rtrim(name))
+
+
 def has_section(section_filter: str = "id", role: str = "pl") -> Column:
     """Whether an account has a section in a role.
 
     ``id``: the section id is not the sentinel 0. ``name``: the name is not empty.
-    ``nonblank``: the name is not empty or blank, as under a padded collation.
+    ``nonblank``: the name is not blank; this differs from ``name`` only where names are exact.
     """
-    name = F.col(f"{role}_section")
+    key = F.col(f"{role}_key")
     if section_filter == "id":
         return F.col(f"{role}_section_id") != 0
     if section_filter == "name":
-        return name != ""
+        return key != ""
     if section_filter == "nonblank":
-        return F.rtrim(name) != ""
+        return F.rtrim(key) != ""
     raise ValueError(f"unknown section filter {section_filter!r}")
 
 

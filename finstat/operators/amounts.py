@@ -2,9 +2,9 @@
 
 An *amounts* frame has the columns
 ``account_id, fiscal_year, n_lines, debit, credit, lone_debit, lone_credit``
-and comes in two forms: one row per posting with money in whole cents (bigint),
-or rows that are totals of postings with money as decimal, such as the stored
-account-year rollup. Every measure is linear in them, so a statement is one
+and comes in two forms: one row per posting with money in whole units of its scale
+(bigint; cents for two decimals), or rows with money as decimal, such as the stored
+account-year rollup. Amounts too long for a bigint are decimals in single postings, too. Every measure is linear in them, so a statement is one
 formula for both.
 
 Statements first total the amounts per account and join the dimensions to those
@@ -15,7 +15,6 @@ may outgrow a broadcast without the fact being shuffled again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -26,26 +25,32 @@ from finstat.functions.measures import gross, lone_credit, lone_debit, net
 from finstat.functions.predicates import fiscal_year
 from finstat.operators.joins import posted_lines
 from finstat.schema import MONEY_SUM
-from finstat.sources.ledger import Ledger
+from finstat.sources.ledger import Ledger, money_type
 
 KEYS = ("account_id", "fiscal_year")
 SUMS = ("n_lines", "debit", "credit", "lone_debit", "lone_credit")
 
 _LOW_BITS = 20
+_BIGINT_DIGITS = 18  # that always fit a bigint
 
 
-def cents(money: Column) -> Column:
-    return (money * 100).cast("long")
+def units(money: Column, scale: int) -> Column:
+    return (money * F.lit(Decimal(10**scale))).cast("long")
 
 
 def as_amounts(rows: DataFrame) -> DataFrame:
     """Lines joined to their entries, as an amounts frame of single postings."""
-    debit, credit = cents(F.col("debit")), cents(F.col("credit"))
+    debit, credit = F.col("debit"), F.col("credit")
+    kind = money_type(*(rows.schema[side].dataType for side in ("debit", "credit")))
+    if kind.precision <= _BIGINT_DIGITS:
+        debit, credit = units(debit, kind.scale), units(credit, kind.scale)
+    else:
+        debit, credit = debit.cast(MONEY_SUM), credit.cast(MONEY_SUM)
     return rows.select(
         "account_id",
         F.year("entry_date").alias("fiscal_year"),
         F.lit(1).cast("long").alias("n_lines"),
-        debit.alias("debit"),
+        debit.alias("debit", metadata={"scale": kind.scale}),
         credit.alias("credit"),
         lone_debit(debit, credit).alias("lone_debit"),
         lone_credit(debit, credit).alias("lone_credit"),
@@ -56,37 +61,38 @@ def amounts_of(
     book: Ledger,
     fy: int | None = None,
     amounts: DataFrame | None = None,
-    accounts: Callable[[Ledger], DataFrame] | None = None,
 ) -> DataFrame:
-    """The amounts of one year or of all, from a stored rollup if one is given.
-
-    ``accounts`` gives the ids a report can use; postings of others may be left out.
-    """
+    """The amounts of one year or of all, from a stored rollup if one is given."""
     if amounts is None:
-        return as_amounts(posted_lines(book, fy, accounts=accounts))
+        return as_amounts(posted_lines(book, fy))
     return amounts if fy is None else amounts.filter(F.col("fiscal_year") == fiscal_year(fy))
 
 
-def sum_cents(column: Column) -> Column:
-    """The exact sum of whole cents, as decimal money.
+def sum_units(column: Column, scale: int) -> Column:
+    """The exact sum of whole units, as decimal money.
 
     Summing the high and the low bits as two bigints is several times cheaper
     than a decimal sum, whose buffer does not fit a machine word. The low parts
-    cannot overflow below 2**43 rows per group, nor the high parts below a total
-    of 9e22 units of money.
+    cannot overflow below 2**43 rows per group, nor the high parts below a total of 9e24 units.
     """
     low = F.sum(column.bitwiseAND((1 << _LOW_BITS) - 1))
     high = F.sum(F.shiftright(column, _LOW_BITS)).cast("decimal(19,0)")
-    return ((high * (1 << _LOW_BITS) + low) * Decimal("0.01")).cast(MONEY_SUM)
+    whole = (high * F.lit(Decimal(1 << _LOW_BITS)) + low.cast("decimal(19,0)")).cast("decimal(28,0)")
+    return (whole * F.lit(Decimal(1).scaleb(-scale))).cast(MONEY_SUM)
 
 
 def per_account(amounts: DataFrame, measures: dict[str, Column], keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
     """The measures summed per account: counts as bigint, money as decimal."""
-    in_cents = amounts.schema["debit"].dataType == T.LongType()
+    debit = amounts.schema["debit"]
     sums = []
     for name, column in measures.items():
-        add = sum_cents if in_cents and name != "n_lines" else F.sum
-        sums.append(add(column).alias(name))
+        if name == "n_lines":
+            added = F.sum(column)
+        elif debit.dataType == T.LongType():
+            added = sum_units(column, debit.metadata["scale"])
+        else:
+            added = F.sum(column).cast(MONEY_SUM)
+        sums.append(added.alias(name))
     return amounts.groupBy(*keys).agg(*sums)
 
 

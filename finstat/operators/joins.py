@@ -3,23 +3,19 @@
 All are left joins on one key, as the semantics ask. Where a later filter rejects
 the NULLs of an unmatched row, Catalyst turns them into inner joins by itself.
 Spark broadcasts a side only while its size is under
-``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it beyond. The one
-explicit broadcast, in ``keep_accounts``, counts the side first.
+``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it beyond; there is no hint.
+
+Section names carry a key beside their spelling (``name_key``): names match and group by the key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finstat.functions.predicates import has_section, in_year, on_balance_sheet, posted
+from finstat.functions.predicates import fiscal_year, in_year, name_key, posted
 from finstat.sources.ledger import Ledger
 
-# Account ids up to this number are broadcast, as a hash table of some 50 MB.
-MAX_BROADCAST_ACCOUNTS = 1_000_000
-
 
 def with_entries(lines: DataFrame, book: Ledger) -> DataFrame:
     return lines.join(book.entries, "journal_entry_id", "left")
@@ -29,73 +25,60 @@ def with_accounts(frame: DataFrame, book: Ledger) -> DataFrame:
     return frame.join(book.accounts, "account_id", "left")
 
 
-def section_role(sections: DataFrame, role: str) -> DataFrame:
+def section_role(book: Ledger, role: str) -> DataFrame:
     """The section table under the column names of one of its two roles."""
-    columns = [
+    name = F.col("statement_section")
+    return book.sections.select(
         F.col("statement_section_id").alias(f"{role}_section_id"),
-        F.col("statement_section").alias(f"{role}_section"),
-    ]
-    columns.append(F.col("debit_is_positive" if role == "pl" else "is_balance_sheet_section"))
-    return sections.select(*columns)
+        name.alias(f"{role}_section"),
+        name_key(name, book.exact_names).alias(f"{role}_key"),
+        "debit_is_positive" if role == "pl" else "is_balance_sheet_section",
+    )
 
 
 def with_pl_section(frame: DataFrame, book: Ledger) -> DataFrame:
-    pl = section_role(book.sections, "pl")
+    pl = section_role(book, "pl")
     return frame.join(pl, F.col("profit_loss_section_id") == F.col("pl_section_id"), "left")
 
 
 def with_bs_section(frame: DataFrame, book: Ledger) -> DataFrame:
-    bs = section_role(book.sections, "bs")
+    bs = section_role(book, "bs")
     return frame.join(bs, F.col("balance_sheet_section_id") == F.col("bs_section_id"), "left")
 
 
-def aligned_name() -> Column:
+def _aligned(column: str) -> Column:
+    return F.when(F.col("pl_key") != "", F.col(f"pl_{column}")).otherwise(F.col(f"bs_{column}"))
+
+
+def with_aligned_name(frame: DataFrame) -> DataFrame:
     """One section name per account: the P&L one unless it is blank or unknown."""
-    pl, bs = F.col("pl_section"), F.col("bs_section")
-    return F.when(pl != "", pl).otherwise(bs)
+    return frame.withColumns({"name": _aligned("section"), "name_key": _aligned("key"), "name_id": _aligned("section_id")})
 
 
 def with_both_sections(frame: DataFrame, book: Ledger) -> DataFrame:
     """Both section roles and the aligned ``name``; for any frame with an ``account_id``."""
-    joined = with_bs_section(with_pl_section(with_accounts(frame, book), book), book)
-    return joined.withColumn("name", aligned_name())
+    return with_aligned_name(with_bs_section(with_pl_section(with_accounts(frame, book), book), book))
 
 
 def chart(book: Ledger) -> DataFrame:
     """Accounts with both section roles and the aligned ``name``."""
-    return with_bs_section(with_pl_section(book.accounts, book), book).withColumn("name", aligned_name())
-
+    return with_aligned_name(with_bs_section(with_pl_section(book.accounts, book), book))
 
-def pl_accounts(book: Ledger, section_filter: str = "id") -> DataFrame:
-    return with_pl_section(book.accounts, book).filter(has_section(section_filter)).select("account_id")
-
-
-def bs_accounts(book: Ledger) -> DataFrame:
-    return with_bs_section(book.accounts, book).filter(on_balance_sheet()).select("account_id")
-
-
-def keep_accounts(
-    lines: DataFrame, book: Ledger, accounts: Callable[[Ledger], DataFrame] | None
-) -> DataFrame:
-    """Drop the lines of other accounts before they are shuffled to their entries.
 
-    The report drops them anyway once it knows their section, so this only saves
-    work. It pays while the ids fit a broadcast; beyond that it would itself be a
-    shuffle of all lines on the account, and they are left alone.
-    """
-    if accounts is None or book.account_count > MAX_BROADCAST_ACCOUNTS:
-        return lines
-    return lines.join(F.broadcast(accounts(book)), "account_id", "left_semi")
+def lines_of(book: Ledger, fy: int | None) -> DataFrame:
+    """The lines that can belong to a year: a stored layout prunes the others, else all of them."""
+    if fy is None or book.year_column is None:
+        return book.lines
+    return book.lines.filter(F.col(book.year_column) == fiscal_year(fy))
 
 
 def posted_lines(
     book: Ledger,
     fy: int | None = None,
     check_cancelled: bool = True,
-    accounts: Callable[[Ledger], DataFrame] | None = None,
 ) -> DataFrame:
     """Lines of entries that count, of one year or of all."""
-    rows = with_entries(keep_accounts(book.lines, book, accounts), book).filter(posted(check_cancelled))
+    rows = with_entries(lines_of(book, fy), book).filter(posted(check_cancelled))
     return rows if fy is None else rows.filter(in_year("entry_date", fy))
 
 

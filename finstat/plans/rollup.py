@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from finstat import schema
+from finstat.functions.predicates import fiscal_year
 from finstat.operators.amounts import KEYS, SUMS, amounts_of, per_account, plain
-from finstat.session import staging_path
 from finstat.sources.ledger import Ledger
 
 
-def rollup(book: Ledger) -> DataFrame:
-    """The totals of each (account, year) that has posted lines."""
-    return per_account(amounts_of(book), plain(*SUMS), keys=KEYS)
+def rollup(book: Ledger, fy: int | str | None = None) -> DataFrame:
+    """The totals of each (account, year) that has posted lines, of all years or of one."""
+    fy = None if fy is None else fiscal_year(fy)
+    return per_account(amounts_of(book, fy), plain(*SUMS), keys=KEYS)
 
 
 def save_rollup(amounts: DataFrame, path: str) -> None:
@@ -24,16 +26,17 @@ def save_rollup(amounts: DataFrame, path: str) -> None:
     amounts.hint("rebalance", "fiscal_year").write.partitionBy("fiscal_year").parquet(path)
 
 
-def load_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.ROLLUP).parquet(path)
+def refresh_rollup(book: Ledger, path: str, fy: int | str) -> None:
+    """Compute one year of a stored rollup anew and put it in the place of the old one.
 
+    Only the year's folder is replaced. On a ledger that stores the year of its lines
+    (``save_ledger``) only that year's lines are read.
+    """
+    fy = fiscal_year(fy)
+    year = rollup(book, fy).drop("fiscal_year")
+    # The folder is named here, not found in the data, so a year that has lost its lines is emptied.
+    year.repartition(F.xxhash64("account_id")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/fiscal_year={fy}")
 
-def staged_rollup(book: Ledger) -> DataFrame:
-    """A rollup written to the shared folder and read back.
 
-    A written table, not a cache: a lost executor costs no second pass over the lines.
-    """
-    spark = book.lines.sparkSession
-    path = staging_path(spark, "rollup")
-    save_rollup(rollup(book), path)
-    return load_rollup(spark, path)
+def load_rollup(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.ROLLUP).parquet(path)

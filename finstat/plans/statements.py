@@ -7,7 +7,6 @@ the result is the same. Reports without that argument need rows a rollup lacks.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,22 +22,29 @@ from finstat.functions.measures import (
     money,
     yoy_pct,
 )
-from finstat.functions.predicates import fiscal_year, has_any_section, has_section, in_year, on_balance_sheet
+from finstat.functions.predicates import fiscal_year, has_any_section, has_section, in_year, name_key, on_balance_sheet
 from finstat.operators.amounts import amounts_of, as_amounts, lone_measures, per_account, pl_measures, plain, total
 from finstat.operators.joins import (
-    bs_accounts,
+    lines_of,
     master,
-    pl_accounts,
     posted_lines,
     with_accounts,
     with_both_sections,
     with_entries,
     with_pl_section,
 )
-from finstat.plans.rollup import staged_rollup
 from finstat.sources.ledger import Ledger
 
 
+def with_spelling(groups: DataFrame, book: Ledger, number: str, alias: str) -> DataFrame:
+    """Show a group's name as its section with the smallest id spells it.
+
+    The groups carry that id, not the name: a minimum of numbers keeps the aggregate a hash aggregate.
+    """
+    names = book.sections.select(F.col("statement_section_id").alias(number), F.col("statement_section").alias(alias))
+    return groups.join(names, number, "left")
+
+
 def _with_pl(totals: DataFrame, book: Ledger) -> DataFrame:
     return with_pl_section(with_accounts(totals, book), book)
 
@@ -48,7 +54,7 @@ def _with_pl(totals: DataFrame, book: Ledger) -> DataFrame:
 
 def line_count(book: Ledger, fy: int) -> DataFrame:
     """Number of ledger lines in a year, whatever the status of their entries."""
-    rows = as_amounts(with_entries(book.lines, book).filter(in_year("entry_date", fy)))
+    rows = as_amounts(with_entries(lines_of(book, fy), book).filter(in_year("entry_date", fy)))
     # Counted per account first; the dimension joins would still multiply the
     # count if an account or section key were not unique.
     joined = _with_pl(per_account(rows, plain("n_lines")), book)
@@ -57,26 +63,38 @@ def line_count(book: Ledger, fy: int) -> DataFrame:
 
 def section_totals(book: Ledger, fy: int) -> DataFrame:
     """Lines, debits and credits per P&L section in a year. Cancelled entries stay in."""
-    rows = as_amounts(posted_lines(book, fy, check_cancelled=False, accounts=pl_accounts))
+    rows = as_amounts(posted_lines(book, fy, check_cancelled=False))
     totals = per_account(rows, plain("n_lines", "debit", "credit"))
-    return (
+    sums = (
         _with_pl(totals, book)
         .filter(has_section())
-        .groupBy(F.col("pl_section").alias("statement_section"), "debit_is_positive")
-        .agg(total("n_lines"), money(F.sum("debit")).alias("debit"), money(F.sum("credit")).alias("credit"))
+        .groupBy("pl_key", "debit_is_positive")
+        .agg(
+            F.min("pl_section_id").alias("number"),
+            total("n_lines"),
+            money(F.sum("debit")).alias("debit"),
+            money(F.sum("credit")).alias("credit"),
+        )
     )
+    named = with_spelling(sums, book, "number", "statement_section")
+    return named.select("statement_section", "debit_is_positive", "n_lines", "debit", "credit")
 
 
 def section_crosstab(book: Ledger, fy: int, amounts: DataFrame | None = None) -> DataFrame:
     """Lines per (P&L section, B/S section) in a year, for accounts with either."""
     totals = per_account(amounts_of(book, fy, amounts), plain("n_lines"))
     rows = with_both_sections(totals, book).filter(has_any_section())
-    return rows.groupBy("pl_section", "bs_section").agg(total("n_lines"))
+    numbers = [F.min(f"{role}_section_id").alias(role) for role in ("pl", "bs")]
+    counts = rows.groupBy("pl_key", "bs_key").agg(*numbers, total("n_lines"))
+    named = with_spelling(with_spelling(counts, book, "pl", "pl_section"), book, "bs", "bs_section")
+    return named.select("pl_section", "bs_section", "n_lines")
 
 
 def section_names(book: Ledger) -> DataFrame:
     """Distinct section names, the empty sentinel included."""
-    return book.sections.select("statement_section").distinct()
+    key = name_key(F.col("statement_section"), book.exact_names).alias("key")
+    numbers = book.sections.groupBy(key).agg(F.min("statement_section_id").alias("number"))
+    return with_spelling(numbers, book, "number", "statement_section").select("statement_section")
 
 
 # --- profit and loss --------------------------------------------------------
@@ -84,26 +102,28 @@ def section_names(book: Ledger) -> DataFrame:
 
 def pl_by_year(book: Ledger, netting: bool = False, amounts: DataFrame | None = None) -> DataFrame:
     """P&L amount per section and year, for all years."""
-    postings = amounts_of(book, None, amounts, partial(pl_accounts, section_filter="name"))
-    totals = per_account(postings, pl_measures(), keys=("account_id", "fiscal_year"))
-    return (
+    totals = per_account(amounts_of(book, None, amounts), pl_measures(), keys=("account_id", "fiscal_year"))
+    sums = (
         _with_pl(totals, book)
         .filter(has_section("name"))
-        .groupBy(F.col("pl_section").alias("statement_section"), F.col("fiscal_year").alias("entry_year"))
-        .agg(money(F.sum(_signed(netting=netting))).alias("amount"))
+        .groupBy("pl_key", F.col("fiscal_year").alias("entry_year"))
+        .agg(F.min("pl_section_id").alias("number"), money(F.sum(_signed(netting=netting))).alias("amount"))
     )
+    named = with_spelling(sums, book, "number", "statement_section")
+    return named.select("statement_section", "entry_year", "amount")
 
 
 def pl_one_year(book: Ledger, fy: int, netting: bool = False, amounts: DataFrame | None = None) -> DataFrame:
     """P&L amount per section for a year, in statement order."""
-    totals = per_account(amounts_of(book, fy, amounts, pl_accounts), pl_measures())
+    totals = per_account(amounts_of(book, fy, amounts), pl_measures())
     per_section = (
         _with_pl(totals, book)
         .filter(has_section())
-        .groupBy("pl_section", "pl_section_id")
+        .groupBy("pl_key", "pl_section_id")
         .agg(money(F.sum(_signed(netting=netting))).alias("amount"))
     )
-    return per_section.orderBy("pl_section_id").select(F.col("pl_section").alias("statement_section"), "amount")
+    named = with_spelling(per_section, book, "pl_section_id", "statement_section")
+    return named.orderBy("pl_section_id").select("statement_section", "amount")
 
 
 def pl_yoy(
@@ -121,20 +141,18 @@ def pl_yoy(
     """
     fy = fiscal_year(fy)
     measures = pl_measures(fy, "query_") | pl_measures(fy - 1, "previous_")
-    postings = amounts_of(book, None, amounts, partial(pl_accounts, section_filter=section_filter))
-    totals = per_account(postings, measures)
+    totals = per_account(amounts_of(book, None, amounts), measures)
     per_section = (
         _with_pl(totals, book)
         .filter(has_section(section_filter))
-        .groupBy("pl_section", "pl_section_id")
+        .groupBy("pl_key", "pl_section_id")
         .agg(
             F.sum(_signed("query_", netting)).alias("query"),
             F.sum(_signed("previous_", netting)).alias("previous"),
         )
     )
-    return per_section.orderBy("pl_section_id").select(
-        F.col("pl_section").alias("statement_section"), *_two_years(base)
-    )
+    named = with_spelling(per_section, book, "pl_section_id", "statement_section")
+    return named.orderBy("pl_section_id").select("statement_section", *_two_years(base))
 
 
 def _signed(prefix: str = "", netting: bool = False) -> Column:
@@ -169,13 +187,13 @@ def master_lines(book: Ledger, fy: int) -> DataFrame:
             "journal_entry_code",
             F.col("bs_section_id").alias("statement_section_id"),
             "is_balance_sheet_section",
-            money(F.col("debit")).alias("debit"),
-            money(F.col("credit")).alias("credit"),
+            F.col("debit").cast("double").alias("debit"),
+            F.col("credit").cast("double").alias("credit"),
         )
     )
 
 
-def master_classified(book: Ledger, fy: int, ignore_case: bool = False) -> DataFrame:
+def master_classified(book: Ledger, fy: int) -> DataFrame:
     """Posted lines of a year as assets, liabilities and equity, balance-sheet lines first.
 
     Lines that tie on the report's three sort keys are ordered by line and
@@ -202,30 +220,28 @@ def master_classified(book: Ledger, fy: int, ignore_case: bool = False) -> DataF
             "journal_entry_code",
             "journal_entry",
             "line_item",
-            *[money(side).alias(label) for label, side in _sides(ignore_case).items()],
+            *[money(side).alias(label) for label, side in _sides().items()],
         )
     )
 
 
-def bs_by_account(
-    book: Ledger, fy: int, ignore_case: bool = False, amounts: DataFrame | None = None
-) -> DataFrame:
+def bs_by_account(book: Ledger, fy: int, amounts: DataFrame | None = None) -> DataFrame:
     """Assets, liabilities and equity of a year per account code and section name."""
-    totals = per_account(amounts_of(book, fy, amounts, bs_accounts), lone_measures())
-    return (
+    totals = per_account(amounts_of(book, fy, amounts), lone_measures())
+    sums = (
         with_both_sections(totals, book)
         .filter(on_balance_sheet())
-        .groupBy("account_code", "name")
-        .agg(*_side_sums(ignore_case))
+        .groupBy("account_code", "name_key")
+        .agg(F.min("name_id").alias("number"), *_side_sums())
     )
+    named = with_spelling(sums, book, "number", "name")
+    return named.select("account_code", "name", "assets", "liabilities", "equity")
 
 
-def accounting_equation(
-    book: Ledger, fy: int, ignore_case: bool = False, amounts: DataFrame | None = None
-) -> DataFrame:
+def accounting_equation(book: Ledger, fy: int, amounts: DataFrame | None = None) -> DataFrame:
     """Assets = liabilities + equity of a year, in one row. P&L accounts count to equity."""
     totals = per_account(amounts_of(book, fy, amounts), lone_measures())
-    sums = with_both_sections(totals, book).agg(*_side_sums(ignore_case))
+    sums = with_both_sections(totals, book).agg(*_side_sums())
     return sums.select("assets", F.lit("=").alias("eq"), "liabilities", F.lit("+").alias("plus"), "equity")
 
 
@@ -234,7 +250,6 @@ def bs_yoy(
     fy: int,
     base: str = "current",
     asset_credits: bool = False,
-    ignore_case: bool = False,
     amounts: DataFrame | None = None,
 ) -> DataFrame:
     """Balance sheet per section name: a year, the year before, and the % change, by name.
@@ -243,23 +258,23 @@ def bs_yoy(
     """
     fy = fiscal_year(fy)
     measures = lone_measures(fy, "query_") | lone_measures(fy - 1, "previous_")
-    totals = per_account(amounts_of(book, None, amounts, bs_accounts), measures)
+    totals = per_account(amounts_of(book, None, amounts), measures)
 
     def amount(prefix: str) -> Column:
         debit, credit = F.col(prefix + "lone_debit"), F.col(prefix + "lone_credit")
-        return F.sum(bs_amount(F.col("name"), debit, credit, asset_credits, ignore_case))
+        return F.sum(bs_amount(F.col("name_key"), debit, credit, asset_credits))
 
     per_name = (
         with_both_sections(totals, book)
         .filter(on_balance_sheet())
-        .groupBy("name")
-        .agg(amount("query_").alias("query"), amount("previous_").alias("previous"))
+        .groupBy("name_key")
+        .agg(F.min("name_id").alias("number"), amount("query_").alias("query"), amount("previous_").alias("previous"))
     )
-    return per_name.orderBy("name").select("name", *_two_years(base))
+    return with_spelling(per_name, book, "number", "name").orderBy("name_key").select("name", *_two_years(base))
 
 
-def _sides(ignore_case: bool) -> dict[str, Column]:
-    columns = (F.col("name"), F.col("lone_debit"), F.col("lone_credit"), ignore_case)
+def _sides() -> dict[str, Column]:
+    columns = (F.col("name_key"), F.col("lone_debit"), F.col("lone_credit"))
     return {
         "assets": asset_amount(*columns),
         "liabilities": liability_amount(*columns),
@@ -267,8 +282,8 @@ def _sides(ignore_case: bool) -> dict[str, Column]:
     }
 
 
-def _side_sums(ignore_case: bool) -> list[Column]:
-    return [money(F.sum(side)).alias(label) for label, side in _sides(ignore_case).items()]
+def _side_sums() -> list[Column]:
+    return [money(F.sum(side)).alias(label) for label, side in _sides().items()]
 
 
 # --- all statements of a year -----------------------------------------------
@@ -281,17 +296,23 @@ class Statements:
     equation: DataFrame
 
 
-def financial_statements(book: Ledger, fy: int | str, amounts: DataFrame | None = None) -> Statements:
+def financial_statements(
+    book: Ledger,
+    fy: int | str,
+    amounts: DataFrame | None = None,
+    section_filter: str = "nonblank",
+    base: str = "current",
+    netting: bool = False,
+    asset_credits: bool = False,
+) -> Statements:
     """P&L with change, balance sheet with change, and the accounting equation of a year.
 
-    Without ``amounts`` a rollup is staged first, so the three statements pass
-    over the lines once between them, not once each.
+    Building them runs nothing and writes nothing. Each passes over the lines, unless ``amounts``
+    gives a rollup stored before (``save_rollup``, ``load_rollup``): then no one does.
     """
     fy = fiscal_year(fy)
-    if amounts is None:
-        amounts = staged_rollup(book)
     return Statements(
-        profit_loss=pl_yoy(book, fy, section_filter="nonblank", amounts=amounts),
-        balance_sheet=bs_yoy(book, fy, amounts=amounts),
+        profit_loss=pl_yoy(book, fy, section_filter, base, netting, amounts),
+        balance_sheet=bs_yoy(book, fy, base, asset_credits, amounts),
         equation=accounting_equation(book, fy, amounts=amounts),
     )

@@ -6,7 +6,7 @@ Each query is a body over common table expressions; ``sql`` prepends the ones ne
 from __future__ import annotations
 
 from finstat.schema import ASSET_SECTIONS, EQUITY_SECTIONS, LIABILITY_SECTIONS
-from finstat.sources.tpch import section_values
+from finstat.sources.tpch import NO_ACCOUNT, NO_ENTRY, section_values
 
 
 def _names(names: tuple[str, ...]) -> str:
@@ -15,13 +15,20 @@ def _names(names: tuple[str, ...]) -> str:
 
 ASSETS, LIABILITIES, EQUITY = _names(ASSET_SECTIONS), _names(LIABILITY_SECTIONS), _names(EQUITY_SECTIONS)
 
+PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
+CHARGED = (
+    "CAST(CAST(l_extendedprice AS DECIMAL(11,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) "
+    "* (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,6))"
+)
+
 # name -> (needed CTEs, definition); FIXTURES.md section 2 gives the first four.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sections": (
         (),
         f"""SELECT CAST(id AS INTEGER) AS statement_section_id, name AS statement_section,
             CAST(flag AS INTEGER) AS debit_is_positive, CAST(sheet AS INTEGER) AS is_balance_sheet_section
-        FROM (VALUES {section_values()}) AS s(id, name, flag, sheet)""",
+        FROM (VALUES {section_values()}) AS s(id, name, flag, sheet)
+        WHERE id IN (SELECT p_partkey % 16 FROM part)""",
     ),
     "accounts": (
         (),
@@ -48,7 +55,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "priced": (
         (),
-        """SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
+        f"""SELECT *, {PRICE} AS price, CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
             CASE WHEN l_returnflag = 'A' THEN 'debit'
                  WHEN l_returnflag = 'N' THEN 'credit'
                  WHEN l_linenumber = 6 THEN 'both'
@@ -58,7 +65,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "lines": (
         ("priced",),
-        """SELECT l_orderkey AS journal_entry_id, l_partkey AS account_id, l_linenumber AS line_item,
+        f"""SELECT CASE WHEN l_orderkey % {NO_ENTRY} = 13 THEN -l_orderkey ELSE l_orderkey END AS journal_entry_id,
+            CASE WHEN l_partkey % {NO_ACCOUNT} = 7 THEN -l_partkey ELSE l_partkey END AS account_id,
+            l_linenumber AS line_item,
             l_returnflag || l_linestatus AS description,
             CASE WHEN side IN ('debit', 'both') THEN price END AS debit,
             CASE side WHEN 'credit' THEN price WHEN 'both' THEN quantity END AS credit
@@ -70,7 +79,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT a.*, pl.statement_section_id AS pl_section_id, pl.statement_section AS pl_section,
             pl.debit_is_positive, bs.statement_section_id AS bs_section_id,
             bs.statement_section AS bs_section, bs.is_balance_sheet_section,
-            CASE WHEN pl.statement_section <> '' THEN pl.statement_section ELSE bs.statement_section END AS name
+            upper(rtrim(pl.statement_section)) AS pl_key, upper(rtrim(bs.statement_section)) AS bs_key,
+            CASE WHEN pl_key <> '' THEN pl.statement_section ELSE bs.statement_section END AS name,
+            CASE WHEN pl_key <> '' THEN pl_key ELSE bs_key END AS name_key,
+            CASE WHEN pl_key <> '' THEN pl_section_id ELSE bs_section_id END AS name_id
         FROM accounts a
         LEFT JOIN sections pl ON pl.statement_section_id = a.profit_loss_section_id
         LEFT JOIN sections bs ON bs.statement_section_id = a.balance_sheet_section_id""",
@@ -78,7 +90,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     # Every line with everything known about it.
     "book": (
         ("lines", "entries", "chart"),
-        """SELECT l.journal_entry_id, l.line_item, l.debit, l.credit, c.*,
+        """SELECT l.journal_entry_id, l.line_item, l.account_id, l.debit, l.credit, c.* EXCLUDE (account_id),
             e.journal_entry, e.journal_entry_code, e.entry_date, CAST(year(e.entry_date) AS INTEGER) AS entry_year,
             debit_credit_balanced = 1 AND user_id <> 0 AND closing_type = 0 AS kept,
             cancelled = 0 AS live
@@ -94,10 +106,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  WHEN 0 THEN coalesce(credit, 0) - coalesce(debit, 0) END AS pl_amount,
             CASE WHEN debit IS NOT NULL AND credit IS NOT NULL THEN 0
                  ELSE coalesce(debit, 0) - coalesce(credit, 0) END AS balance,
-            CASE WHEN name IN {ASSETS} THEN balance ELSE 0 END AS asset,
-            CASE WHEN name IN {LIABILITIES} THEN -balance ELSE 0 END AS liability,
-            CASE WHEN name IN {EQUITY} THEN -balance ELSE 0 END AS owned,
-            CASE WHEN name IN {ASSETS} THEN CASE WHEN credit IS NULL THEN balance ELSE 0 END
+            CASE WHEN name_key IN {ASSETS} THEN balance ELSE 0 END AS asset,
+            CASE WHEN name_key IN {LIABILITIES} THEN -balance ELSE 0 END AS liability,
+            CASE WHEN name_key IN {EQUITY} THEN -balance ELSE 0 END AS owned,
+            CASE WHEN name_key IN {ASSETS} THEN CASE WHEN credit IS NULL THEN balance ELSE 0 END
                  ELSE liability + owned END AS sheet_amount
         FROM book WHERE kept AND live""",
     ),
@@ -123,8 +135,18 @@ def double(expression: str, alias: str) -> str:
     return f"CAST({expression} AS DOUBLE) AS {alias}"
 
 
+def rounded(expression: str, alias: str) -> str:
+    """An amount as reported: rounded after the sum."""
+    return double(f"round({expression}, 2)", alias)
+
+
+def subcent(text: str) -> str:
+    """The same query over amounts with decimals below a cent."""
+    return text.replace(PRICE, CHARGED)
+
+
 def cents(expression: str) -> str:
-    return f"CAST(CAST({expression} AS DECIMAL(20,2)) * 100 AS HUGEINT)"
+    return f"CAST(CAST(round({expression}, 2) AS DECIMAL(20,2)) * 100 AS HUGEINT)"
 
 
 def percent(current: str, previous: str) -> str:
@@ -135,7 +157,7 @@ def percent(current: str, previous: str) -> str:
 
 
 TWO_YEARS = ", ".join(
-    [double("q", "query_year"), double("p", "previous_year"), f"{percent('q', 'p')} AS yoy_growth_pct"]
+    [rounded("q", "query_year"), rounded("p", "previous_year"), f"{percent('q', 'p')} AS yoy_growth_pct"]
 )
 
 
@@ -148,26 +170,26 @@ def line_count(fy: int) -> str:
 
 def section_totals(fy: int) -> str:
     return sql(
-        f"""SELECT pl_section AS statement_section, debit_is_positive, count(*) AS n_lines,
-            {double("sum(debit)", "debit")}, {double("sum(credit)", "credit")}
-        FROM book WHERE kept AND entry_year = {fy} AND pl_section_id <> 0 GROUP BY 1, 2""",
+        f"""SELECT arg_min(pl_section, pl_section_id) AS statement_section, debit_is_positive, count(*) AS n_lines,
+            {rounded("sum(debit)", "debit")}, {rounded("sum(credit)", "credit")}
+        FROM book WHERE kept AND entry_year = {fy} AND pl_section_id <> 0 GROUP BY pl_key, debit_is_positive""",
         "book",
     )
 
 
 def pl_by_year() -> str:
     return sql(
-        f"""SELECT pl_section AS statement_section, entry_year, {double("sum(pl_amount)", "amount")}
-        FROM posted WHERE pl_section <> '' GROUP BY 1, 2""",
+        f"""SELECT arg_min(pl_section, pl_section_id) AS statement_section, entry_year, {rounded("sum(pl_amount)", "amount")}
+        FROM posted WHERE pl_key <> '' GROUP BY pl_key, entry_year""",
         "posted",
     )
 
 
 def pl_one_year(fy: int) -> str:
     return sql(
-        f"""SELECT pl_section AS statement_section, {double("sum(pl_amount)", "amount")}
+        f"""SELECT arg_min(pl_section, pl_section_id) AS statement_section, {rounded("sum(pl_amount)", "amount")}
         FROM posted WHERE entry_year = {fy} AND pl_section_id <> 0
-        GROUP BY pl_section, pl_section_id ORDER BY pl_section_id""",
+        GROUP BY pl_key, pl_section_id ORDER BY pl_section_id""",
         "posted",
     )
 
@@ -175,10 +197,10 @@ def pl_one_year(fy: int) -> str:
 def pl_yoy(fy: int, section: str = "pl_section_id <> 0") -> str:
     return sql(
         f"""SELECT statement_section, {TWO_YEARS}
-        FROM (SELECT pl_section_id, pl_section AS statement_section,
+        FROM (SELECT pl_section_id, arg_min(pl_section, pl_section_id) AS statement_section,
                 sum(pl_amount) FILTER (WHERE entry_year = {fy}) AS q,
                 sum(pl_amount) FILTER (WHERE entry_year = {fy - 1}) AS p
-              FROM posted WHERE {section} GROUP BY 1, 2) t
+              FROM posted WHERE {section} GROUP BY pl_key, pl_section_id) t
         ORDER BY pl_section_id""",
         "posted",
     )
@@ -186,8 +208,8 @@ def pl_yoy(fy: int, section: str = "pl_section_id <> 0") -> str:
 
 def section_crosstab(fy: int) -> str:
     return sql(
-        f"""SELECT pl_section, bs_section, count(*) AS n_lines FROM posted
-        WHERE entry_year = {fy} AND (pl_section_id <> 0 OR bs_section_id <> 0) GROUP BY 1, 2""",
+        f"""SELECT arg_min(pl_section, pl_section_id) AS pl_section, arg_min(bs_section, bs_section_id) AS bs_section, count(*) AS n_lines FROM posted
+        WHERE entry_year = {fy} AND (pl_section_id <> 0 OR bs_section_id <> 0) GROUP BY pl_key, bs_key""",
         "posted",
     )
 
@@ -204,10 +226,8 @@ def master_lines(fy: int) -> str:
 
 def section_names() -> str:
     return sql(
-        """SELECT DISTINCT statement_section FROM sections
-        WHERE statement_section_id IN (SELECT profit_loss_section_id FROM accounts
-                                       UNION ALL SELECT balance_sheet_section_id FROM accounts)""",
-        "accounts",
+        """SELECT arg_min(statement_section, statement_section_id) AS statement_section FROM sections
+        GROUP BY upper(rtrim(statement_section))""",
         "sections",
     )
 
@@ -215,7 +235,7 @@ def section_names() -> str:
 def master_classified(fy: int) -> str:
     return sql(
         f"""SELECT postable, name, account, journal_entry_code, journal_entry, line_item,
-            {double("asset", "assets")}, {double("liability", "liabilities")}, {double("owned", "equity")}
+            {rounded("asset", "assets")}, {rounded("liability", "liabilities")}, {rounded("owned", "equity")}
         FROM posted WHERE entry_year = {fy} AND (pl_section_id <> 0 OR bs_section_id <> 0)
         ORDER BY is_balance_sheet_section DESC NULLS LAST, bs_section_id NULLS FIRST,
             journal_entry_code NULLS FIRST""",
@@ -224,15 +244,15 @@ def master_classified(fy: int) -> str:
 
 
 SIDE_SUMS = ", ".join(
-    double(f"sum({column})", alias)
+    rounded(f"sum({column})", alias)
     for column, alias in (("asset", "assets"), ("liability", "liabilities"), ("owned", "equity"))
 )
 
 
 def bs_by_account(fy: int) -> str:
     return sql(
-        f"""SELECT account_code, name, {SIDE_SUMS} FROM posted
-        WHERE entry_year = {fy} AND is_balance_sheet_section = 1 GROUP BY 1, 2""",
+        f"""SELECT account_code, arg_min(name, name_id) AS name, {SIDE_SUMS} FROM posted
+        WHERE entry_year = {fy} AND is_balance_sheet_section = 1 GROUP BY account_code, name_key""",
         "posted",
     )
 
@@ -248,11 +268,11 @@ def accounting_equation(fy: int) -> str:
 def bs_yoy(fy: int) -> str:
     return sql(
         f"""SELECT name, {TWO_YEARS}
-        FROM (SELECT name,
+        FROM (SELECT name_key, arg_min(name, name_id) AS name,
                 sum(CASE WHEN entry_year = {fy} THEN sheet_amount ELSE 0 END) AS q,
                 sum(CASE WHEN entry_year = {fy - 1} THEN sheet_amount ELSE 0 END) AS p
-              FROM posted WHERE is_balance_sheet_section = 1 GROUP BY 1) t
-        ORDER BY name NULLS FIRST""",
+              FROM posted WHERE is_balance_sheet_section = 1 GROUP BY name_key) t
+        ORDER BY name_key NULLS FIRST""",
         "posted",
     )
 
@@ -260,7 +280,7 @@ def bs_yoy(fy: int) -> str:
 def financial_statements(fy: int) -> str:
     """The three statements under one heading each, as rows of one table."""
     return f"""SELECT 'profit and loss' AS statement, statement_section AS item,
-            query_year, previous_year, yoy_growth_pct FROM ({pl_yoy(fy, "rtrim(pl_section) <> ''")}) pl
+            query_year, previous_year, yoy_growth_pct FROM ({pl_yoy(fy, "pl_key <> ''")}) pl
         UNION ALL
         SELECT 'balance sheet', name, query_year, previous_year, yoy_growth_pct FROM ({bs_yoy(fy)}) bs
         UNION ALL
@@ -273,7 +293,7 @@ def rollup() -> str:
     sides = ("debit", "credit", "lone_debit", "lone_credit")
     return sql(
         f"""SELECT account_id, entry_year AS fiscal_year, count(*) AS n_lines,
-            {", ".join(double(f"sum({side})", side) for side in sides)}
+            {", ".join(rounded(f"sum({side})", side) for side in sides)}
         FROM (SELECT account_id, entry_year, debit, credit,
                 CASE WHEN credit IS NULL THEN coalesce(debit, 0) ELSE 0 END AS lone_debit,
                 CASE WHEN debit IS NULL THEN coalesce(credit, 0) ELSE 0 END AS lone_credit

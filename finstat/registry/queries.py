@@ -33,16 +33,19 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(key: str, oracle_text: str):
-    """Register a function of a ledger under a key, with its SQL twin."""
+def register(key: str, oracle_text: str, subcent: bool = False):
+    """Register a function of a ledger under a key, with its SQL twin.
+
+    ``subcent``: the ledger's amounts have decimals below a cent.
+    """
 
     def wrap(function: Callable[[Ledger], DataFrame]):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(tpch.load_ledger(spark, sf_dir))
+            return function(tpch.load_ledger(spark, sf_dir, subcent))
 
         REPORTS[key] = function
         QUERIES[key] = query
-        ORACLES[key] = oracle_text
+        ORACLES[key] = oracle.subcent(oracle_text) if subcent else oracle_text
         return function
 
     return wrap
@@ -52,11 +55,6 @@ def _c(*names: str):
     return tuple(F.col(name) for name in names)
 
 
-def _with_referenced_sections(book: Ledger) -> Ledger:
-    sections = tpch.referenced_sections(book.accounts.sparkSession, book.accounts)
-    return Ledger(book.lines, book.entries, book.accounts, sections)
-
-
 # --- reports ----------------------------------------------------------------
 
 for _fy, _suffix in ((YEAR, ""), (FIRST_YEAR, "_1995"), (EMPTY_YEAR, "_2002")):
@@ -72,13 +70,17 @@ register("r02_section_totals", oracle.section_totals(YEAR))(lambda b: S.section_
 register("r03_pl_by_year", oracle.pl_by_year())(lambda b: S.pl_by_year(b))
 register("r06_section_crosstab", oracle.section_crosstab(YEAR))(lambda b: S.section_crosstab(b, YEAR))
 register("r07_master_lines", oracle.master_lines(YEAR))(lambda b: S.master_lines(b, YEAR))
-register("r08_distinct_sections", oracle.section_names())(lambda b: S.section_names(_with_referenced_sections(b)))
+register("r08_distinct_sections", oracle.section_names())(S.section_names)
 register("r09_master_classified", oracle.master_classified(YEAR))(lambda b: S.master_classified(b, YEAR))
+register("r05_pl_yoy_subcent", oracle.pl_yoy(YEAR), subcent=True)(lambda b: S.pl_yoy(b, YEAR))
+register("r11_equation_subcent", oracle.accounting_equation(YEAR), subcent=True)(
+    lambda b: S.accounting_equation(b, YEAR)
+)
 register("r10_bs_by_account", oracle.bs_by_account(YEAR))(lambda b: S.bs_by_account(b, YEAR))
 
 # --- the statements by parameter --------------------------------------------
 
-_NONBLANK = "rtrim(pl_section) <> ''"
+_NONBLANK = "pl_key <> ''"
 
 for _fy, _suffix in ((YEAR, ""), (FIRST_YEAR, "_1995")):
     register("p1_pl_yoy_param" + _suffix, oracle.pl_yoy(_fy, _NONBLANK))(
@@ -92,7 +94,7 @@ for _fy, _suffix in ((YEAR, ""), (FIRST_YEAR, "_1995")):
 
 @register("p_financial_statements", oracle.financial_statements(YEAR))
 def statements_as_rows(book: Ledger, amounts: DataFrame | None = None) -> DataFrame:
-    """All three statements from one staged rollup, as rows of one table."""
+    """All three statements, as rows of one table."""
     parts = S.financial_statements(book, YEAR, amounts)
     figures = ("query_year", "previous_year", "yoy_growth_pct")
     no_figure = F.lit(None).cast("double")
@@ -139,21 +141,14 @@ def scan_lines(book: Ledger) -> DataFrame:
 
 register("op_scan_entries", sql("SELECT * FROM entries", "entries"))(lambda b: b.entries)
 register("op_scan_accounts", sql("SELECT * FROM accounts", "accounts"))(lambda b: b.accounts)
-register(
-    "op_scan_sections",
-    sql(
-        """SELECT * FROM sections
-        WHERE statement_section_id IN (SELECT profit_loss_section_id FROM accounts
-                                       UNION ALL SELECT balance_sheet_section_id FROM accounts)""",
-        "accounts",
-        "sections",
-    ),
-)(lambda b: _with_referenced_sections(b).sections)
+register("op_scan_sections", sql("SELECT * FROM sections", "sections"))(lambda b: b.sections)
 
 
 @register("op_derived_table", sql("SELECT name, entry_date, count(*) AS n FROM posted GROUP BY 1, 2", "posted"))
 def derived_table(book: Ledger) -> DataFrame:
-    return J.master(book).groupBy("name", "entry_date").agg(F.count(F.lit(1)).alias("n"))
+    # Counted per account first: no single line is shuffled to the accounts.
+    counts = J.posted_lines(book).groupBy("account_id", "entry_date").agg(F.count(F.lit(1)).alias("n"))
+    return J.with_both_sections(counts, book).groupBy("name", "entry_date").agg(A.total("n"))
 
 
 # --- projections ------------------------------------------------------------
@@ -236,10 +231,10 @@ _SECTION_COLUMNS = "SELECT account_id, pl_section_id, pl_section FROM chart WHER
 register("op_filter_section_id", sql(_SECTION_COLUMNS + "pl_section_id <> 0", "chart"))(
     lambda b: _accounts_with(b, "id")
 )
-register("op_filter_nonblank", sql(_SECTION_COLUMNS + "pl_section <> ''", "chart"))(
+register("op_filter_nonblank", sql(_SECTION_COLUMNS + "pl_key <> ''", "chart"))(
     lambda b: _accounts_with(b, "name")
 )
-register("op_filter_nonblank_padded", sql(_SECTION_COLUMNS + "rtrim(pl_section) <> ''", "chart"))(
+register("op_filter_nonblank_padded", sql(_SECTION_COLUMNS + "pl_key <> ''", "chart"))(
     lambda b: _accounts_with(b, "nonblank")
 )
 
@@ -265,26 +260,27 @@ def filter_or(book: Ledger) -> DataFrame:
     ),
 )
 def outer_filter(book: Ledger) -> DataFrame:
-    rows = J.master(book).filter(P.on_balance_sheet())
-    return rows.groupBy("name", "is_balance_sheet_section").agg(F.count(F.lit(1)).alias("n"))
+    counts = A.per_account(A.amounts_of(book), A.plain("n_lines"))
+    rows = J.with_both_sections(counts, book).filter(P.on_balance_sheet())
+    return rows.groupBy("name", "is_balance_sheet_section").agg(F.sum("n_lines").alias("n"))
 
 
 @register(
     "op_filter_in",
     sql(
-        f"""SELECT name, name IN {oracle.ASSETS} AS is_asset, name IN {oracle.LIABILITIES} AS is_liability,
-            name IN {oracle.EQUITY} AS is_equity, count(*) AS n
-        FROM book WHERE name IN {oracle.ASSETS} OR name IN {oracle.LIABILITIES} OR name IN {oracle.EQUITY}
+        f"""SELECT name, name_key IN {oracle.ASSETS} AS is_asset, name_key IN {oracle.LIABILITIES} AS is_liability,
+            name_key IN {oracle.EQUITY} AS is_equity, count(*) AS n
+        FROM book WHERE name_key IN {oracle.ASSETS} OR name_key IN {oracle.LIABILITIES} OR name_key IN {oracle.EQUITY}
         GROUP BY 1, 2, 3, 4""",
         "book",
     ),
 )
 def filter_in(book: Ledger) -> DataFrame:
-    (name,) = _c("name")
+    (key,) = _c("name_key")
     kinds = {"is_asset": ASSET_SECTIONS, "is_liability": LIABILITY_SECTIONS, "is_equity": EQUITY_SECTIONS}
     counts = book.lines.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = J.with_both_sections(counts, book).filter(name.isin(*ASSET_SECTIONS, *LIABILITY_SECTIONS, *EQUITY_SECTIONS))
-    return rows.groupBy("name", *[M.named(name, names).alias(k) for k, names in kinds.items()]).agg(A.total("n"))
+    rows = J.with_both_sections(counts, book).filter(key.isin(*ASSET_SECTIONS, *LIABILITY_SECTIONS, *EQUITY_SECTIONS))
+    return rows.groupBy("name", *[key.isin(*names).alias(k) for k, names in kinds.items()]).agg(A.total("n"))
 
 
 @register(
@@ -342,7 +338,7 @@ def left_join_entries(book: Ledger) -> DataFrame:
 @register(
     "op_left_join_accounts",
     sql(
-        """SELECT l.journal_entry_id, l.line_item, a.account_id, a.account_code, a.postable
+        """SELECT l.journal_entry_id, l.line_item, l.account_id, a.account_code, a.postable
         FROM lines l LEFT JOIN accounts a ON a.account_id = l.account_id""",
         "lines",
         "accounts",
@@ -388,6 +384,11 @@ def count_grouped(book: Ledger) -> DataFrame:
     return J.with_entries(book.lines, book).groupBy("entry_date").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _money_sum(cents):
+    """A sum of amounts with two decimals, as reported."""
+    return M.money(A.sum_units(A.units(cents, 2), 2))
+
+
 @register(
     "op_sum",
     sql(
@@ -397,7 +398,7 @@ def count_grouped(book: Ledger) -> DataFrame:
     ),
 )
 def sum_column(book: Ledger) -> DataFrame:
-    sums = [M.money(F.sum(side)).alias(side) for side in ("debit", "credit")]
+    sums = [_money_sum(F.col(side)).alias(side) for side in ("debit", "credit")]
     return book.lines.groupBy("journal_entry_id").agg(*sums)
 
 
@@ -408,7 +409,7 @@ def sum_column(book: Ledger) -> DataFrame:
 )
 def sum_case_null(book: Ledger) -> DataFrame:
     debit, credit = _c("debit", "credit")
-    return book.lines.groupBy("account_id").agg(M.money(F.sum(F.when(debit > credit, debit))).alias("amount"))
+    return book.lines.groupBy("account_id").agg(_money_sum(F.when(debit > credit, debit)).alias("amount"))
 
 
 @register(
@@ -419,7 +420,7 @@ def sum_case_null(book: Ledger) -> DataFrame:
 def sum_case_zero(book: Ledger) -> DataFrame:
     debit, credit = _c("debit", "credit")
     picked = F.when(debit > credit, debit).otherwise(0)
-    return book.lines.groupBy("account_id").agg(M.money(F.sum(picked)).alias("amount"))
+    return book.lines.groupBy("account_id").agg(_money_sum(picked).alias("amount"))
 
 
 @register(
@@ -439,10 +440,13 @@ def ratio(book: Ledger) -> DataFrame:
 @register(
     "op_round_sum",
     sql(f"SELECT entry_year, {double('round(sum(debit), 2)', 'debit')} FROM book GROUP BY 1", "book"),
+    subcent=True,
 )
 def round_sum(book: Ledger) -> DataFrame:
-    rows = J.with_entries(book.lines, book).groupBy(F.year("entry_date").alias("entry_year"))
-    return rows.agg(F.round(F.sum("debit"), 2).cast("double").alias("debit"))
+    rows = A.as_amounts(J.with_entries(book.lines, book))
+    return A.per_account(rows, A.plain("debit"), keys=("fiscal_year",)).select(
+        F.col("fiscal_year").alias("entry_year"), M.money(F.col("debit")).alias("debit")
+    )
 
 
 @register(
@@ -484,9 +488,9 @@ def group_null_key(book: Ledger) -> DataFrame:
 def global_agg(book: Ledger) -> DataFrame:
     return J.posted_lines(book).agg(
         F.count(F.lit(1)).alias("n"),
-        M.money(F.sum("debit")).alias("debit"),
-        M.money(F.sum("credit")).alias("credit"),
-        M.money(F.sum(F.when(F.col("line_item") < 0, F.col("debit")))).alias("nothing"),
+        _money_sum(F.col("debit")).alias("debit"),
+        _money_sum(F.col("credit")).alias("credit"),
+        _money_sum(F.when(F.col("line_item") < 0, F.col("debit"))).alias("nothing"),
     )
 
 
@@ -510,7 +514,8 @@ def sort_hidden_key(book: Ledger) -> DataFrame:
     "op_sort_multi",
     sql(
         """SELECT account_id, account_code, name FROM chart
-        ORDER BY is_balance_sheet_section DESC NULLS LAST, bs_section_id NULLS FIRST, account_code NULLS FIRST""",
+        ORDER BY is_balance_sheet_section DESC NULLS LAST, bs_section_id NULLS FIRST, account_code NULLS FIRST,
+            account_id""",
         "chart",
     ),
 )
@@ -578,7 +583,7 @@ def signed_amount(book: Ledger) -> DataFrame:
 
 def _lone_sides():
     debit, credit = _c("debit", "credit")
-    return F.col("name"), M.lone_debit(debit, credit), M.lone_credit(debit, credit)
+    return F.col("name_key"), M.lone_debit(debit, credit), M.lone_credit(debit, credit)
 
 
 @register(

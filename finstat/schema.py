@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Money is held exactly: sums then do not depend on row order or partitioning.
+# Money is held exactly, at the scale it comes with: sums then do not depend on row order or
+# partitioning, and are rounded once, when they are reported.
 MONEY = T.DecimalType(18, 2)
-# The type Spark gives to sum(MONEY).
-MONEY_SUM = T.DecimalType(28, 2)
+# What amounts that are no decimals are held as: exact to a millionth, below 10**12.
+FLOAT_MONEY = T.DecimalType(18, 6)
+# Totals, of amounts of any scale up to MAX_SCALE.
+MAX_SCALE = 8
+MONEY_SUM = T.DecimalType(34, MAX_SCALE)
 
 LINES = T.StructType(
     [

@@ -18,16 +18,19 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # A report of one year needs the lines of that year's entries only. On a ledger whose lines do not
+    # store the year, a Bloom filter of the entries drops most other lines before the shuffle. Its size is
+    # bounded (runtime.bloomFilter.maxNumBits); building it scans the entries once more, which pays
+    # where the lines are read from gigabytes. Beyond some ten million entries a year it lets ever more
+    # lines through: such a ledger is better stored with save_ledger.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100GB",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
 
 
-def shuffle_partitions(shuffled_bytes: int, cores: int, target_bytes: int = 128 << 20) -> int:
-    """Partitions that keep each shuffle task near ``target_bytes``, at least one per core."""
-    return max(cores, -(-shuffled_bytes // target_bytes))
-
-
 def local_session(cores: int | str = "*", partitions: int = 8, **settings) -> SparkSession:
     """A local session for tests and the bench. On a cluster, pass in the cluster's own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("finstat")

@@ -1,3 +1,3 @@
-from finstat.sources.ledger import Ledger, from_files, from_parquet, from_tables, ledger, register_views
+from finstat.sources.ledger import Ledger, from_files, from_parquet, from_tables, ledger, load_ledger, register_views, save_ledger
 
-__all__ = ["Ledger", "from_files", "from_parquet", "from_tables", "ledger", "register_views"]
+__all__ = ["Ledger", "from_files", "from_parquet", "from_tables", "ledger", "load_ledger", "register_views", "save_ledger"]

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,24 +18,53 @@ TABLES = {
     "sections": ("statement_section", schema.SECTIONS),
 }
 
+MONEY_COLUMNS = ("debit", "credit")
+# The column of stored lines that holds the year of their entry.
+YEAR_COLUMN = "entry_year"
+
 
 @dataclass(frozen=True)
 class Ledger:
-    """Lines are the fact; the other three are its header and dimensions."""
+    """Lines are the fact; the other three are its header and dimensions.
+
+    ``exact_names``: section names match and group as they are spelled. By default case and trailing
+    blanks make no difference, as under the padded, case-blind collations of ledger databases.
+    ``year_column``: a column of the lines that holds the year of their entry (see ``load_ledger``).
+    """
 
     lines: DataFrame
     entries: DataFrame
     accounts: DataFrame
     sections: DataFrame
+    exact_names: bool = False
+    year_column: str | None = None
+
 
-    @cached_property
-    def account_count(self) -> int:
-        """Size of the chart of accounts; from Parquet or ORC this reads file footers only."""
-        return self.accounts.count()
+def money_type(*sources: T.DataType) -> T.DecimalType:
+    """One exact type for the sides of a line: decimals keep their scale, all else is FLOAT_MONEY."""
+    types = [t if isinstance(t, T.DecimalType) else schema.FLOAT_MONEY for t in sources if t != T.NullType()]
+    types = types or [schema.MONEY]
+    scale, digits = max(t.scale for t in types), max(t.precision - t.scale for t in types)
+    if scale > schema.MAX_SCALE or scale + digits > 38:
+        raise ValueError(f"amounts of {', '.join(t.simpleString() for t in types)} are beyond {schema.MAX_SCALE} decimals or 38 digits")
+    return T.DecimalType(scale + digits, scale)
+
+
+def exact_money(frame: DataFrame, name: str, target: T.DecimalType) -> Column:
+    """An amount in an exact type; one that does not fit raises, whatever the session's ANSI mode.
+
+    A NULL side is data, so nothing but a NULL may become one.
+    """
+    source = F.col(name)
+    if frame.schema[name].dataType in (target, T.NullType()):
+        return source.cast(target)
+    fitted = source.try_cast(target)
+    message = F.concat(F.lit(f"{name} is no amount of {target.simpleString()}: "), source.cast("string"))
+    return F.when(source.isNotNull() & fitted.isNull(), F.raise_error(message)).otherwise(fitted)
 
 
 def conform(frame: DataFrame, fields: T.StructType) -> DataFrame:
-    """Select the schema's columns in the schema's types.
+    """Select the schema's columns in the schema's types, amounts in one type that holds them exactly.
 
     A cast to a column's own type is a no-op for Catalyst, so filters on
     conformed columns still reach the scan. ``description`` is carried by no
@@ -44,21 +72,26 @@ def conform(frame: DataFrame, fields: T.StructType) -> DataFrame:
     """
     columns = []
     for field in fields:
-        if field.name == "description" and field.name not in frame.columns:
-            column = F.lit(None)
+        if field.name in MONEY_COLUMNS:
+            column = exact_money(frame, field.name, money_type(*(frame.schema[c].dataType for c in MONEY_COLUMNS)))
+        elif field.name == "description" and field.name not in frame.columns:
+            column = F.lit(None).cast(field.dataType)
         else:
-            column = F.col(field.name)
-        columns.append(column.cast(field.dataType).alias(field.name))
+            column = F.col(field.name).cast(field.dataType)
+        columns.append(column.alias(field.name))
     return frame.select(*columns)
 
 
-def ledger(lines: DataFrame, entries: DataFrame, accounts: DataFrame, sections: DataFrame) -> Ledger:
+def ledger(
+    lines: DataFrame, entries: DataFrame, accounts: DataFrame, sections: DataFrame, exact_names: bool = False
+) -> Ledger:
     """A ledger over any four frames that carry the schema's columns."""
     return Ledger(
         conform(lines, schema.LINES),
         conform(entries, schema.ENTRIES),
         conform(accounts, schema.ACCOUNTS),
         conform(sections, schema.SECTIONS),
+        exact_names,
     )
 
 
@@ -70,13 +103,15 @@ def from_parquet(spark: SparkSession, folder: str) -> Ledger:
 def from_files(spark: SparkSession, folder: str, source: str, **options) -> Ledger:
     """Read the four tables with any of Spark's file sources (orc, json, csv ...).
 
-    CSV and JSON get the schema: inferring it would read the fact twice.
+    CSV and JSON get the schema: inferring it would read the fact twice. Amounts
+    are read as text there and turned into FLOAT_MONEY, so that none is rounded unseen.
     """
     frames = {}
     for role, (table, fields) in TABLES.items():
         reader = spark.read.format(source).options(**options)
         if source in ("csv", "json"):
-            reader = reader.schema(fields)
+            text = {name: T.StructField(name, T.StringType()) for name in MONEY_COLUMNS}
+            reader = reader.schema(T.StructType([text.get(field.name, field) for field in fields]))
         frames[role] = reader.load(f"{folder.rstrip('/')}/{table}")
     return ledger(**frames)
 
@@ -87,6 +122,28 @@ def from_tables(spark: SparkSession, database: str | None = None) -> Ledger:
     return ledger(**{role: spark.table(prefix + table) for role, (table, _) in TABLES.items()})
 
 
+def save_ledger(book: Ledger, folder: str) -> None:
+    """Write a ledger as Parquet with the year of its entry on each line, one folder of lines per year.
+
+    A report of one year then reads the lines of that year only. Lines without an entry or
+    a date have no year, as in every report. A year is split over tasks by its size.
+    """
+    year = F.year("entry_date").alias(YEAR_COLUMN)
+    dated = book.lines.join(book.entries.select("journal_entry_id", year), "journal_entry_id", "left")
+    for role, (table, _) in TABLES.items():
+        path = f"{folder.rstrip('/')}/{table}"
+        if role == "lines":
+            dated.hint("rebalance", YEAR_COLUMN).write.partitionBy(YEAR_COLUMN).parquet(path)
+        else:
+            getattr(book, role).write.parquet(path)
+
+
+def load_ledger(spark: SparkSession, folder: str, exact_names: bool = False) -> Ledger:
+    """Read what ``save_ledger`` wrote."""
+    frames = {role: spark.read.parquet(f"{folder.rstrip('/')}/{table}") for role, (table, _) in TABLES.items()}
+    return Ledger(**frames, exact_names=exact_names, year_column=YEAR_COLUMN)
+
+
 def register_views(book: Ledger) -> None:
     """Make the ledger queryable with ``spark.sql`` under its table names."""
     for role, (table, _) in TABLES.items():

@@ -9,6 +9,17 @@ from decimal import ROUND_HALF_UP, Decimal
 from finstat.schema import ASSET_SECTIONS, EQUITY_SECTIONS, LIABILITY_SECTIONS
 
 
+def key(name):
+    """What names match and group by."""
+    return None if name is None else name.rstrip(" ").upper()
+
+
+def spelling(sections):
+    """The name as the section with the smallest id spells it, of (id, name) pairs."""
+    known = [pair for pair in sections if pair[0] is not None]
+    return min(known)[1] if known else None
+
+
 def nonzero(value):
     """SQL ``value != 0`` as a filter sees it."""
     return value is not None and value != 0
@@ -29,7 +40,7 @@ class Book:
             line = {
                 "item": item, "debit": debit, "credit": credit,
                 "account": account, "entry": entry, "pl": pl, "bs": bs,
-                "name": pl[1] if pl[1] not in (None, "") else bs[1],
+                "name": pl[1] if key(pl[1]) not in (None, "") else bs[1],
                 "year": entry[3].year if entry[3] else None,
             }
             line["kept"] = entry[4] == 1 and nonzero(entry[5]) and entry[7] == 0
@@ -47,7 +58,7 @@ def pl_amount(line):
 
 def sides(line):
     """(assets, liabilities, equity) of one line."""
-    debit, credit, name = line["debit"], line["credit"], line["name"]
+    debit, credit, name = line["debit"], line["credit"], key(line["name"])
     if credit is None:
         up = debit or Decimal(0)
     elif debit is None:
@@ -70,7 +81,11 @@ def sheet_amount(line):
 
 def total(values):
     known = [value for value in values if value is not None]
-    return float(sum(known)) if known else None
+    return float(sum(known).quantize(Decimal("0.01"), ROUND_HALF_UP)) if known else None
+
+
+def as_float(value):
+    return None if value is None else float(value)
 
 
 def growth(current, previous):
@@ -87,6 +102,11 @@ def grouped(lines, key):
     return groups
 
 
+def named(line):
+    """The section that gives a line its aligned name."""
+    return line["pl"][:2] if key(line["pl"][1]) not in (None, "") else line["bs"][:2]
+
+
 def either(line):
     return nonzero(line["pl"][0]) or nonzero(line["bs"][0])
 
@@ -98,44 +118,46 @@ def line_count(book, fy):
 def section_totals(book, fy):
     lines = [x for x in book.lines if x["kept"] and x["year"] == fy and nonzero(x["pl"][0])]
     return [
-        (*key, len(group), total(x["debit"] for x in group), total(x["credit"] for x in group))
-        for key, group in grouped(lines, lambda x: (x["pl"][1], x["pl"][2])).items()
+        (spelling(x["pl"][:2] for x in group), flag, len(group), total(x["debit"] for x in group), total(x["credit"] for x in group))
+        for (_, flag), group in grouped(lines, lambda x: (key(x["pl"][1]), x["pl"][2])).items()
     ]
 
 
 def pl_by_year(book):
-    lines = [x for x in book.posted() if x["pl"][1] not in (None, "")]
+    lines = [x for x in book.posted() if key(x["pl"][1]) not in (None, "")]
     return [
-        (*key, total(pl_amount(x) for x in group))
-        for key, group in grouped(lines, lambda x: (x["pl"][1], x["year"])).items()
+        (spelling(x["pl"][:2] for x in group), year, total(pl_amount(x) for x in group))
+        for (_, year), group in grouped(lines, lambda x: (key(x["pl"][1]), x["year"])).items()
     ]
 
 
+def by_section(lines):
+    groups = grouped([x for x in lines if nonzero(x["pl"][0])], lambda x: (x["pl"][0], key(x["pl"][1])))
+    return [(spelling(x["pl"][:2] for x in groups[k]), groups[k]) for k in sorted(groups)]
+
+
 def pl_one_year(book, fy):
-    lines = [x for x in book.posted(fy) if nonzero(x["pl"][0])]
-    groups = grouped(lines, lambda x: (x["pl"][0], x["pl"][1]))
-    return [(key[1], total(pl_amount(x) for x in groups[key])) for key in sorted(groups)]
+    return [(name, total(pl_amount(x) for x in group)) for name, group in by_section(book.posted(fy))]
 
 
 def pl_yoy(book, fy):
-    groups = grouped([x for x in book.posted() if nonzero(x["pl"][0])], lambda x: (x["pl"][0], x["pl"][1]))
     result = []
-    for key in sorted(groups):
-        current, previous = (total(pl_amount(x) for x in groups[key] if x["year"] == y) for y in (fy, fy - 1))
-        result.append((key[1], current, previous, growth(current, previous)))
+    for name, group in by_section(book.posted()):
+        current, previous = (total(pl_amount(x) for x in group if x["year"] == y) for y in (fy, fy - 1))
+        result.append((name, current, previous, growth(current, previous)))
     return result
 
 
 def section_crosstab(book, fy):
-    groups = grouped(filter(either, book.posted(fy)), lambda x: (x["pl"][1], x["bs"][1]))
-    return [(*key, len(group)) for key, group in groups.items()]
+    groups = grouped(filter(either, book.posted(fy)), lambda x: (key(x["pl"][1]), key(x["bs"][1])))
+    return [(spelling(x["pl"][:2] for x in g), spelling(x["bs"][:2] for x in g), len(g)) for g in groups.values()]
 
 
 def master_lines(book, fy):
     return [
         (
             x["name"], x["account"][1], x["account"][0], x["account"][2], x["item"], x["account"][3],
-            x["entry"][1], x["entry"][2], x["bs"][0], x["bs"][3], total([x["debit"]]), total([x["credit"]]),
+            x["entry"][1], x["entry"][2], x["bs"][0], x["bs"][3], as_float(x["debit"]), as_float(x["credit"]),
         )
         for x in book.posted(fy) if either(x)
     ]
@@ -143,7 +165,7 @@ def master_lines(book, fy):
 
 def master_classified(book, fy):
     return [
-        (x["account"][3], x["name"], x["account"][1], x["entry"][2], x["entry"][1], x["item"], *map(float, sides(x)))
+        (x["account"][3], x["name"], x["account"][1], x["entry"][2], x["entry"][1], x["item"], *(total([side]) for side in sides(x)))
         for x in book.posted(fy) if either(x)
     ]
 
@@ -151,8 +173,8 @@ def master_classified(book, fy):
 def bs_by_account(book, fy):
     lines = [x for x in book.posted(fy) if x["bs"][3] == 1]
     return [
-        (*key, *(total(column) for column in zip(*map(sides, group))))
-        for key, group in grouped(lines, lambda x: (x["account"][2], x["name"])).items()
+        (code, spelling(named(x) for x in group), *(total(column) for column in zip(*map(sides, group))))
+        for (code, _), group in grouped(lines, lambda x: (x["account"][2], key(x["name"]))).items()
     ]
 
 
@@ -163,11 +185,11 @@ def accounting_equation(book, fy):
 
 
 def bs_yoy(book, fy):
-    groups = grouped([x for x in book.posted() if x["bs"][3] == 1], lambda x: x["name"])
+    groups = grouped([x for x in book.posted() if x["bs"][3] == 1], lambda x: key(x["name"]))
     result = []
     for name in sorted(groups, key=lambda name: (name is not None, name or "")):
         current, previous = (
             total(sheet_amount(x) if x["year"] == y else Decimal(0) for x in groups[name]) for y in (fy, fy - 1)
         )
-        result.append((name, current, previous, growth(current, previous)))
+        result.append((spelling(named(x) for x in groups[name]), current, previous, growth(current, previous)))
     return result

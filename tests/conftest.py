@@ -5,13 +5,16 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+import finstat  # noqa: E402
 from finstat import Ledger, schema  # noqa: E402
 from finstat.session import local_session  # noqa: E402
 from finstat.sources import tpch  # noqa: E402
+from finstat.sources.ledger import TABLES  # noqa: E402
 
 TESTDATA = "/root/testdata"
 
@@ -120,12 +123,18 @@ def local_frame(spark, data, fields):
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=target), fields)
 
 
-def make_ledger(spark, lines=LINES, entries=ENTRIES, accounts=ACCOUNTS, sections=tpch.SECTION_ROWS):
+def line_fields(money):
+    sides = ("debit", "credit")
+    return T.StructType([T.StructField(f.name, money) if f.name in sides else f for f in schema.LINES])
+
+
+def make_ledger(spark, lines=LINES, entries=ENTRIES, accounts=ACCOUNTS, sections=tpch.SECTION_ROWS, money=None, **options):
     return Ledger(
-        lines=local_frame(spark, lines, schema.LINES),
+        lines=local_frame(spark, lines, line_fields(money or schema.MONEY)),
         entries=local_frame(spark, entries, schema.ENTRIES),
         accounts=local_frame(spark, accounts, schema.ACCOUNTS),
         sections=local_frame(spark, sections, schema.SECTIONS),
+        **options,
     )
 
 
@@ -134,6 +143,29 @@ def micro(spark):
     return make_ledger(spark)
 
 
+@pytest.fixture(scope="session")
+def staged(tmp_path_factory):
+    """Store a ledger's rollup and read it back."""
+
+    def stage(book):
+        path = str(tmp_path_factory.mktemp("rollup") / "stored")
+        finstat.save_rollup(finstat.rollup(book), path)
+        return finstat.load_rollup(book.lines.sparkSession, path)
+
+    return stage
+
+
+@pytest.fixture(scope="session")
+def stored_folders(spark, tmp_path_factory):
+    """The generated ledger in files: as a database would export it, and in the layout by year."""
+    book = tpch.load_ledger(spark, f"{TESTDATA}/sf0.1")
+    plain, by_year = (str(tmp_path_factory.mktemp("ledger") / name) for name in ("plain", "by_year"))
+    for role, (table, _) in TABLES.items():
+        getattr(book, role).write.parquet(f"{plain}/{table}")
+    finstat.save_ledger(book, by_year)
+    return plain, by_year
+
+
 @pytest.fixture(scope="session")
 def book(spark):
     return tpch.load_ledger(spark, f"{TESTDATA}/sf0.001")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from finstat.functions import measures as M
 from finstat.functions import predicates as P
-from finstat.operators.amounts import cents, sum_cents
+from finstat.operators.amounts import sum_units, units
 from finstat.schema import ASSET_SECTIONS, EQUITY_SECTIONS, LIABILITY_SECTIONS, MONEY
 from tests.conftest import amount, local_frame, rows
 
@@ -31,7 +31,7 @@ def test_sum_of_cents_is_exact(spark):
     for key, value, _ in data:
         expected[key].append(value)
     frame = local_frame(spark, data, PAIR).repartition(5)
-    sums = dict(rows(frame.groupBy("key").agg(sum_cents(cents(F.col("a"))))))
+    sums = dict(rows(frame.groupBy("key").agg(sum_units(units(F.col("a"), 2), 2))))
     for key, values in expected.items():
         known = [value for value in values if value is not None]
         with localcontext(prec=60):
@@ -91,7 +91,7 @@ def test_every_section_counts_to_one_side(spark):
     names = [*ASSET_SECTIONS, *LIABILITY_SECTIONS, *EQUITY_SECTIONS, "LONG TERM LIABILITIES", "", None]
     frame = spark.createDataFrame([(name,) for name in names], "name string")
     debit, credit = F.lit(5), F.lit(2)
-    measures = [m(F.col("name"), debit, credit) for m in (M.asset_amount, M.liability_amount, M.equity_amount, M.bs_amount)]
+    measures = [m(P.name_key(F.col("name")), debit, credit) for m in (M.asset_amount, M.liability_amount, M.equity_amount, M.bs_amount)]
     expected = (
         [(3, 0, 0, 5)] * len(ASSET_SECTIONS)
         + [(0, -3, 0, -3)] * len(LIABILITY_SECTIONS)
@@ -101,9 +101,12 @@ def test_every_section_counts_to_one_side(spark):
     assert rows(frame.select(*measures)) == expected
 
 
-@pytest.mark.parametrize("name, by_name, nonblank", [("A", True, True), ("", False, False), (" ", True, False), (None, False, False)])
-def test_has_section_by_name(spark, name, by_name, nonblank):
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("name, by_name, nonblank", [("A", True, True), ("", False, False), (" ", None, False), (None, False, False)])
+def test_has_section_by_name(spark, name, by_name, nonblank, exact):
+    by_name = exact if by_name is None else by_name
     frame = spark.createDataFrame([(1, name)], "pl_section_id int, pl_section string")
+    frame = frame.withColumn("pl_key", P.name_key(F.col("pl_section"), exact))
     assert frame.filter(P.has_section("name")).count() == by_name
     assert frame.filter(P.has_section("nonblank")).count() == nonblank
 

@@ -8,9 +8,9 @@ from tests.conftest import ENTRIES, LINES, make_ledger, ordered, rows
 
 
 @pytest.fixture(scope="module", params=["lines", "rollup"])
-def amounts(request, micro):
+def amounts(request, micro, staged):
     """Summed reports run on the lines and on a staged rollup."""
-    return None if request.param == "lines" else finstat.staged_rollup(micro)
+    return None if request.param == "lines" else staged(micro)
 
 
 def test_line_count_ignores_status(micro):
@@ -159,27 +159,89 @@ def test_bs_yoy_asset_credits_option(micro, amounts):
     assert result[0] == ("CURRENT ASSETS", 70.0, 60.0, 14.29)
 
 
-def test_ignore_case_option(spark, micro):
-    sections = [(n, name.lower(), flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
-    lower = make_ledger(spark, sections=sections)
-    assert rows(finstat.accounting_equation(lower, 2016)) == [(0.0, "=", 0.0, "+", 0.0)]
-    assert rows(finstat.accounting_equation(lower, 2016, ignore_case=True)) == [(70.0, "=", 20.0, "+", 78.0)]
+SPELLED = {1: "Current Assets", 3: "current liabilities  ", 4: "equity", 6: "Revenue", 9: "other expenses "}
 
 
-def test_blank_section_name(spark, micro):
-    """A name of blanks is a section by id and by name, but not under padding."""
+@pytest.fixture(scope="module")
+def spelled(spark, micro):
+    """The same ledger with section names in other cases and with trailing blanks."""
+    sections = [(n, SPELLED.get(n, name), flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
+    return {exact: make_ledger(spark, sections=sections, exact_names=exact) for exact in (False, True)}
+
+
+def test_spelling_of_names_makes_no_difference(micro, spelled):
+    def keys(frame):
+        return ordered([tuple(v.rstrip().upper() if isinstance(v, str) else v for v in row) for row in rows(frame)])
+
+    for name in ("section_totals", "pl_one_year", "pl_yoy", "section_crosstab", "bs_by_account", "accounting_equation", "bs_yoy"):
+        report = getattr(finstat, name)
+        assert keys(report(spelled[False], 2016)) == keys(report(micro, 2016)), name
+    parts, plain = (finstat.financial_statements(book, 2016) for book in (spelled[False], micro))
+    for part in ("profit_loss", "balance_sheet", "equation"):
+        assert keys(getattr(parts, part)) == keys(getattr(plain, part))
+
+
+def test_exact_names_are_an_option(spelled):
+    assert rows(finstat.accounting_equation(spelled[True], 2016)) == [(0.0, "=", 0.0, "+", 0.0)]
+    assert rows(finstat.financial_statements(spelled[True], 2016).equation) == [(0.0, "=", 0.0, "+", 0.0)]
+
+
+@pytest.mark.parametrize("exact, names", [(False, 11), (True, 13)])
+def test_section_names_by_the_rule(spark, micro, exact, names):
+    same = {2: "current assets ", 5: "Equity"}
+    sections = [(n, same.get(n, name), flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
+    assert finstat.section_names(make_ledger(spark, sections=sections, exact_names=exact)).count() == names
+
+
+def test_two_spellings_of_a_name_are_one_group(spark, micro):
+    sections = [(n, "current assets " if n == 2 else name, flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
+    result = rows(finstat.bs_yoy(make_ledger(spark, sections=sections), 2016))
+    assert result[0] == ("CURRENT ASSETS", 100.0, 60.0, 40.0)
+    assert [row[0] for row in result] == ["CURRENT ASSETS", "CURRENT LIABILITIES", "EQUITY", "LONG TERM LIABILITIES", "REVENUE"]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_blank_section_name(spark, micro, exact):
+    """A name of blanks is a section by id; by name only where names are exact."""
     sections = [(n, "  " if n == 6 else name, flag, sheet) for n, name, flag, sheet in rows(micro.sections)]
-    blank = make_ledger(spark, sections=sections)
-    assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016))] == ["  ", "OTHER EXPENSES"]
-    assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016, section_filter="name"))] == ["  ", "OTHER EXPENSES"]
-    assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016, section_filter="nonblank"))] == ["OTHER EXPENSES"]
+    blank = make_ledger(spark, sections=sections, exact_names=exact)
+    both, one = ["  ", "OTHER EXPENSES"], ["OTHER EXPENSES"]
+    for section_filter, names in (("id", both), ("name", both if exact else one), ("nonblank", one)):
+        assert [row[0] for row in rows(finstat.pl_yoy(blank, 2016, section_filter=section_filter))] == names
+
+
+def test_a_blank_profit_loss_name_gives_way_to_the_balance_sheet_name(spark):
+    """The account with both roles goes by its balance-sheet name once the other is blank."""
+    from finstat.sources import tpch
+
+    sections = [(n, "  " if n == 6 else name, flag, sheet) for n, name, flag, sheet in tpch.SECTION_ROWS]
+    result = rows(finstat.bs_by_account(make_ledger(spark, sections=sections), 2016))
+    assert ("E-200", "EQUITY", 0.0, 0.0, 8.0) in result
+
+
+def test_building_statements_runs_and_writes_nothing(spark, micro):
+    group = "building statements"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        finstat.financial_statements(micro, 2016, base="previous", netting=True, asset_credits=True)
+        for report in (finstat.pl_yoy, finstat.bs_yoy, finstat.master_classified, finstat.section_crosstab):
+            report(micro, 2016)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_options_reach_the_statements(micro):
+    parts = finstat.financial_statements(micro, 2016, section_filter="id", base="previous", netting=True, asset_credits=True)
+    assert rows(parts.profit_loss) == rows(finstat.pl_yoy(micro, 2016, "id", "previous", True))
+    assert rows(parts.balance_sheet) == rows(finstat.bs_yoy(micro, 2016, "previous", True))
 
 
-def test_entries_without_a_date(spark):
+def test_entries_without_a_date(spark, staged):
     """They count to no year, yet their section is listed in the two-year report."""
     entries = [(*entry[:3], None, *entry[4:]) if entry[0] == 1 else entry for entry in ENTRIES]
     undated = make_ledger(spark, entries=entries)
-    for amounts in (None, finstat.staged_rollup(undated)):
+    for amounts in (None, staged(undated)):
         names = [row[0] for row in rows(finstat.bs_yoy(undated, 2016, amounts=amounts))]
         assert "FIXED ASSETS" in names
         assert rows(finstat.accounting_equation(undated, 2016, amounts=amounts)) == [(None, "=", None, "+", None)]

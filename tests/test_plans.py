@@ -5,11 +5,8 @@ import re
 import pytest
 
 import finstat
-from finstat.operators import joins
 from finstat.plans import statements
-from finstat.sources import tpch
 from finstat.sources.ledger import TABLES
-from tests.conftest import TESTDATA
 
 
 def plan(frame):
@@ -23,11 +20,10 @@ def formatted(frame):
 
 
 @pytest.fixture
-def big(conf, spark):
-    """Plans as on a cluster: dimensions small enough to broadcast, header and fact not."""
-    book = tpch.load_ledger(spark, f"{TESTDATA}/sf0.1")
-    conf(spark__sql__autoBroadcastJoinThreshold="200000")
-    return book
+def big(conf, spark, stored_folders):
+    """Plans on a stored ledger as on a cluster: dimensions small enough to broadcast, header and fact not."""
+    conf(spark__sql__autoBroadcastJoinThreshold="150000")
+    return finstat.from_parquet(spark, stored_folders[0])
 
 
 SUMMED = {
@@ -59,7 +55,7 @@ def test_no_cartesian_and_no_python(big, name):
 def test_fact_is_scanned_once_and_shuffled_once(big, name):
     """The only shuffle of single lines is the one of the join with their entries."""
     text = plan(ALL[name](big))
-    assert text.count("lineitem.parquet") == 1
+    assert text.count("journal_entry_line_item]") == 1
     assert text.count("SortMergeJoin") == 1
     assert len(re.findall(r"Exchange hashpartitioning\(journal_entry_id", text)) == 2
 
@@ -83,48 +79,77 @@ def test_accounts_beyond_a_broadcast(conf, big, name):
     lines = text.splitlines()
     shuffled = [lines[n + 1] for n, line in enumerate(lines) if "Exchange hashpartitioning(account_id" in line]
     assert len(shuffled) >= 2
-    assert all("HashAggregate" in line or "Project [p_partkey" in line for line in shuffled)
+    assert all(re.search(r"HashAggregate|section_id|Filter isnotnull\(account_id", line) for line in shuffled)
 
 
-@pytest.mark.parametrize("name", ["pl_by_year", "pl_one_year", "pl_yoy", "section_totals", "bs_by_account", "bs_yoy"])
-def test_lines_out_of_scope_are_dropped_before_the_shuffle(big, name, monkeypatch):
-    assert plan(SUMMED[name](big)).count("LeftSemi") == 1
-    monkeypatch.setattr(joins, "MAX_BROADCAST_ACCOUNTS", 19_999)
-    assert "LeftSemi" not in plan(SUMMED[name](big))
+ONE_YEAR = sorted(set(ALL) - {"pl_by_year", "pl_yoy", "bs_yoy"})
+
+
+@pytest.mark.parametrize("name", ONE_YEAR)
+def test_lines_of_other_years_are_dropped_before_the_shuffle(big, conf, name):
+    """Nothing is broadcast; a Bloom filter of the year's entries stands on the lines' side."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0",
+    )
+    text = formatted(ALL[name](big))
+    filters = [line for line in text.splitlines() if "might_contain" in line]
+    assert any("xxhash64(journal_entry_id" in line for line in filters)
+
+
+@pytest.mark.parametrize("name", ONE_YEAR)
+def test_a_ledger_stored_by_year_prunes_its_lines(spark, stored_folders, name):
+    text = formatted(ALL[name](finstat.load_ledger(spark, stored_folders[1])))
+    assert re.search(r"PartitionFilters: \[isnotnull\(entry_year#\d+\), \(entry_year#\d+ = 2000\)\]", text)
+
+
+@pytest.mark.parametrize("key", ["op_derived_table", "op_outer_filter"])
+def test_counts_are_taken_before_the_dimensions(big, conf, key):
+    """With accounts beyond a broadcast, no single line is shuffled a second time."""
+    from finstat.registry.queries import REPORTS
+
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    text = plan(REPORTS[key](big))
+    lines = text.splitlines()
+    shuffled = [lines[n + 1] for n, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\((journal_entry_id|account_id)", line)]
+    assert sum("journal_entry_id" in line and "HashAggregate" not in line for line in shuffled) == 2
+    assert sum("HashAggregate" in line for line in shuffled) >= 1
 
 
 def test_null_rejecting_filters_make_inner_joins(big):
-    assert "LeftOuter" not in plan(finstat.pl_yoy(big, 2000))
+    # The one outer join left gives the sections of the result their names.
+    assert plan(finstat.pl_yoy(big, 2000)).count("LeftOuter") == 1
 
 
 def test_either_section_keeps_the_dimension_joins_outer(big):
     text = plan(finstat.section_crosstab(big, 2000))
-    assert text.count("LeftOuter") == 3
+    # Three joins with the dimensions, and two that give the groups their names.
+    assert text.count("LeftOuter") == 5
     assert re.search(r"SortMergeJoin \[journal_entry_id.*Inner", text)
 
 
 def test_year_reaches_the_scan_as_a_range(big):
     pushed = [line for line in formatted(finstat.accounting_equation(big, 2000)).splitlines() if "PushedFilters" in line]
-    ranges = [line for line in pushed if "GreaterThanOrEqual(o_orderdate,2000-01-01" in line and "LessThan(o_orderdate,2001-01-01" in line]
+    ranges = [line for line in pushed if "GreaterThanOrEqual(entry_date,2000-01-01" in line and "LessThan(entry_date,2001-01-01" in line]
     assert len(ranges) == 1
 
 
 def test_only_used_columns_are_read(big):
     text = formatted(finstat.accounting_equation(big, 2000))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
-    assert any(s.startswith("p_partkey") and "p_name" not in s and "p_brand" not in s for s in schemas)
-    assert not any("l_shipdate" in s or "o_totalprice" in s for s in schemas)
+    assert any("profit_loss_section_id" in s and "account_code" not in s for s in schemas)
+    assert not any("description" in s or "journal_entry_code" in s for s in schemas)
 
 
-def test_stored_rollup_prunes_years(spark, book):
-    stored = finstat.staged_rollup(book)
+def test_stored_rollup_prunes_years(book, staged):
+    stored = staged(book)
     text = formatted(statements.accounting_equation(book, 2000, amounts=stored))
     assert re.search(r"PartitionFilters: \[isnotnull\(fiscal_year#\d+\), \(fiscal_year#\d+ = 2000\)\]", text)
     assert "lineitem" not in text
 
 
-def test_statements_read_the_stored_rollup_only(book):
-    parts = finstat.financial_statements(book, 2000)
+def test_statements_read_the_stored_rollup_only(book, staged):
+    parts = finstat.financial_statements(book, 2000, amounts=staged(book))
     for frame in (parts.profit_loss, parts.balance_sheet, parts.equation):
         text = plan(frame)
         assert "lineitem" not in text and "orders" not in text

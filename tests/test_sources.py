@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import finstat
 from finstat import schema
-from finstat.session import shared_folder, shuffle_partitions
+from finstat.session import shared_folder
 from finstat.sources.ledger import TABLES
 from tests.conftest import rows
 
@@ -40,7 +40,7 @@ def test_parquet_with_foreign_types(spark, micro, tmp_path):
     for role, (table, _) in TABLES.items():
         frames[role].write.parquet(str(tmp_path / table))
     book = finstat.from_parquet(spark, str(tmp_path))
-    assert book.lines.schema["debit"].dataType == schema.MONEY
+    assert book.lines.schema["debit"].dataType == schema.FLOAT_MONEY
     assert rows(finstat.accounting_equation(book, 2016)) == [(70.0, "=", 20.0, "+", 78.0)]
 
 
@@ -103,10 +103,91 @@ def test_shared_folder_is_the_session_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_shuffle_partitions():
-    assert shuffle_partitions(0, cores=8) == 8
-    assert shuffle_partitions(100 << 40, cores=8) == 819_200
-    assert shuffle_partitions((256 << 20) + 1, cores=1) == 3
+def posted_to_cash(spark, micro, debits, kind):
+    """A ledger of one entry of 2016 with the given debits on the cash account."""
+    lines = spark.createDataFrame([(1, 101, n, d) for n, d in enumerate(debits)], f"journal_entry_id long, account_id long, line_item int, debit {kind}")
+    return finstat.ledger(lines.withColumn("credit", F.lit(None)), micro.entries, micro.accounts, micro.sections)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    "debits, kind, assets",
+    [
+        ([0.005] * 4, "double", 0.02),
+        ([0.004] * 100, "double", 0.4),
+        ([Decimal("0.005")] * 4, "decimal(18,3)", 0.02),
+        ([Decimal("0.004")] * 100, "decimal(30,8)", 0.4),
+        (["0.005", "0.005", "1.99"], "string", 2.0),
+        ([3, 4], "long", 7.0),
+        ([0.1, 0.2, None], "double", 0.3),
+    ],
+)
+def test_amounts_are_rounded_after_the_sum(spark, micro, conf, debits, kind, assets, ansi):
+    conf(spark__sql__ansi__enabled=ansi)
+    book = posted_to_cash(spark, micro, debits, kind)
+    assert rows(finstat.accounting_equation(book, 2016))[0][0] == assets
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    "debit, kind",
+    [(1e17, "double"), (float("nan"), "double"), (float("inf"), "double"), ("1,000.00", "string"), ("", "string"), (10**13, "long")],
+)
+def test_amounts_that_do_not_fit_raise(spark, micro, conf, debit, kind, ansi):
+    conf(spark__sql__ansi__enabled=ansi)
+    book = posted_to_cash(spark, micro, [5, debit] if kind == "long" else [debit], kind)
+    with pytest.raises(Exception, match="no amount of"):
+        rows(finstat.accounting_equation(book, 2016))
+
+
+def test_text_files_keep_decimals(spark, micro, tmp_path):
+    for role, (table, _) in TABLES.items():
+        frame = getattr(micro, role)
+        if role == "lines":
+            frame = frame.withColumn("debit", F.when(F.col("debit").isNotNull(), F.lit("0.005")))
+        frame.write.option("nullValue", "NULL").option("emptyValue", "").csv(str(tmp_path / table))
+    book = finstat.from_files(spark, str(tmp_path), "csv", nullValue="NULL", emptyValue="")
+    assert finstat.rollup(book).filter("account_id = 101 AND fiscal_year = 2016").first().debit == Decimal("0.005")
+
+
+def test_scales_beyond_the_totals_are_refused(spark, micro):
+    with pytest.raises(ValueError, match="decimals"):
+        posted_to_cash(spark, micro, [Decimal(1)], "decimal(38,18)")
+
+
+def test_stored_by_year(spark, micro, tmp_path):
+    """The layout by year gives equal results, also for lines without an entry or a date."""
+    from pyspark.sql.types import DateType
+
+    undated = finstat.Ledger(
+        micro.lines,
+        micro.entries.withColumn("entry_date", F.when(F.col("journal_entry_id") != 2, F.col("entry_date")).cast(DateType())),
+        micro.accounts,
+        micro.sections,
+    )
+    folder = str(tmp_path / "ledger")
+    finstat.save_ledger(undated, folder)
+    stored = finstat.load_ledger(spark, folder)
+    assert stored.lines.count() == undated.lines.count()
+    for name in ("line_count", "section_totals", "pl_one_year", "pl_yoy", "section_crosstab", "master_lines", "bs_by_account", "accounting_equation", "bs_yoy"):
+        report = getattr(finstat, name)
+        for fy in (2016, "2015", 1990):
+            fy = int(fy) if name == "line_count" else fy
+            assert sorted(map(repr, rows(report(stored, fy)))) == sorted(map(repr, rows(report(undated, fy)))), (name, fy)
+
+
+def test_refreshed_year_equals_a_rebuild(spark, micro, tmp_path):
+    path, rebuilt = str(tmp_path / "rollup"), str(tmp_path / "rebuilt")
+    finstat.save_rollup(finstat.rollup(micro), path)
+    changed = finstat.Ledger(micro.lines.filter("line_item <> 1").union(micro.lines.filter("line_item = 7")), micro.entries, micro.accounts, micro.sections)
+    finstat.refresh_rollup(changed, path, "2016")
+    finstat.save_rollup(finstat.rollup(changed), rebuilt)
+    got, want = (sorted(map(repr, rows(finstat.load_rollup(spark, p)))) for p in (path, rebuilt))
+    assert got == want
+    gone = finstat.Ledger(micro.lines.limit(0), micro.entries, micro.accounts, micro.sections)
+    finstat.refresh_rollup(gone, path, 2016)
+    assert finstat.load_rollup(spark, path).filter("fiscal_year = 2016").count() == 0
+    assert finstat.load_rollup(spark, path).count() > 0
 
 
 def test_dates_at_year_ends(spark, micro):
