@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +14,6 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from finstat.llm.common import or_empty
 
 SPACE = "▁"  # fixed value: how a blank is written inside pieces
-CACHED_CHARS = 64  # longer segments are encoded each time
-CACHE_SIZE = 200_000  # segments a worker keeps
 OUT_BYTES = 8 << 20  # text that goes into one batch of results
 
 
@@ -120,47 +117,18 @@ class Encoder:
         )
         self.unknown = self.library.unk_id()
         self.end = self.library.eos_id()
-        blank = self.library.piece_to_id(SPACE)
-        # Where no piece has a blank after anything but blanks, no merge crosses the start
-        # of a run of blanks, and the parts between can be encoded, and kept, by themselves.
-        self.by_segment = (
-            self.normalize.plain
-            and self.normalize.dummy
-            and blank != self.unknown
-            and not model.trainer_spec.treat_whitespace_as_suffix
-            and not any(p.type == kinds.USER_DEFINED for p in model.pieces)
-            and not any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces if p.type == kinds.NORMAL)
-        )
-        self.first = {SPACE: np.array([blank], dtype=np.int32).tobytes()}
-        self.cache = dict(self.first)
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}]*")
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> list[int]:
         """The ids of the whole text, without an end id."""
-        if not self.by_segment:
-            return np.array(self.library.encode(text), dtype=np.int32)
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        cache = self.cache
-        segments = self.segments.findall(SPACE + text.replace(" ", SPACE))
-        new = [s for s in set(segments) if s not in cache]
-        own = {}
-        # The library puts one blank in front of each segment; the first blank is left to it.
-        for segment, ids in zip(new, self.library.encode([s[1:] for s in new], num_threads=1), strict=True):
-            (cache if len(segment) <= CACHED_CHARS else own)[segment] = np.array(ids, dtype=np.int32).tobytes()
-        parts = [cache[s] if s in cache else own[s] for s in segments] if own else [cache[s] for s in segments]
-        if len(cache) > CACHE_SIZE:
-            self.cache = dict(self.first)
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
-
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.library.encode(text)
+
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-end byte of each piece in the UTF-8 text."""
         form, source = self.normalize(text.encode())
-        if (ids == self.unknown).any():
+        lengths = self.lengths[np.array(ids, dtype=np.int32)]
+        if self.unknown in ids:  # an unknown piece is as long as what it stands for
             pieces = self.library.encode(text, out_type=str)
-            lengths = [len(p.encode()) if i == self.unknown else self.lengths[i] for p, i in zip(pieces, ids, strict=True)]
-        else:
-            lengths = self.lengths[ids]
+            lengths = np.array([len(p.encode()) if i == self.unknown else n for p, i, n in zip(pieces, ids, lengths, strict=True)])
         ends = np.cumsum(lengths, dtype=np.int64)
         if (ends[-1] if len(ends) else 0) != len(form):
             raise ValueError("the pieces do not cover the normalised text")
@@ -187,7 +155,7 @@ def encode_pieces(
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        end = np.array([encoder.end] if add_end else [], dtype=np.int32)
+        end = [encoder.end] if add_end else []
         for batch in batches:
             rows, size = [], 0
             for number, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -195,8 +163,9 @@ def encode_pieces(
                 ids = encoder.ids(text)
                 begins, ends = encoder.spans(text, ids)
                 last = np.full(len(end), len(text.encode()), dtype=np.int32)
-                ids, begins, ends = (np.concatenate(x) for x in ((ids, end), (begins, last), (ends, last)))
-                rows.append((number, ids, begins, ends, encoder.library.decode(ids.tolist())))
+                begins, ends = (np.concatenate(x) for x in ((begins, last), (ends, last)))
+                ids += end
+                rows.append((number, np.array(ids, dtype=np.int32), begins, ends, encoder.library.decode(ids)))
                 size += len(text)
                 if size >= OUT_BYTES:
                     yield _batch(rows)

@@ -28,13 +28,20 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=default_model())
 
 
-@pytest.mark.parametrize("by_segment", [True, False])
-def test_ids_are_the_librarys(library, by_segment):
+def test_ids_are_the_librarys(library):
     encoder = Encoder(default_model())
-    assert encoder.by_segment
-    encoder.by_segment = by_segment
     for text in TEXTS:
-        assert encoder.ids(text).tolist() == library.encode(text)
+        assert encoder.ids(text) == library.encode(text)
+
+
+def test_unknown_pieces_are_as_long_as_what_they_stand_for():
+    encoder = Encoder(default_model())
+    text = "one two"
+    pieces = encoder.library.encode(text)
+    encoder.unknown = pieces[1]
+    encoder.lengths[pieces[1]] = 999
+    begins, ends = encoder.spans(text, pieces)
+    assert ends.tolist()[-1] == len(text) and begins[1] == ends[0]
 
 
 def test_spans_stand_for_their_pieces(library):
