@@ -309,17 +309,18 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         weights, language = model.weights, model.language
+        single = collapsed_features(weights)
 
         def weigh(token: str) -> float:
             """What a token adds to the log odds.
 
-            Doubled letters are mostly spelling: they are decoded only where one letter each would
-            make a telling word, as no other reading could change the score.
+            Doubled letters are mostly spelling: they are decoded only where the token and a telling feature
+            are the same with one letter for each double, as no other reading could change the score.
             """
             value = evidence(restore(token, language).split(), weights)
             if not value and DOUBLED.search(token):
                 core = token.strip(EDGES)
-                if evidence([DOUBLED.sub(r"\1", core)], weights):
+                if may_tell(core, single):
                     return evidence(viterbi(lattice(core), language).split(), weights)
             return value
 
@@ -346,6 +347,27 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
+def collapsed_features(weights: dict[str, float]) -> set[str]:
+    """The lexicon's words and beginnings with one letter for each double, beginnings with a hyphen at their end."""
+    return {collapsed(f.rstrip("-")) + "-" * f.endswith("-") for f in weights}
+
+
+def collapsed(word: str) -> str:
+    return re.sub(r"([^\W\d_])\1+", r"\1", word)
+
+
+def may_tell(core: str, single: set[str]) -> bool:
+    """Whether some reading of a token's doubles may be a word, or have a beginning, of the lexicon collapsed to ``single``.
+
+    A reading's beginning, collapsed, is a beginning of the collapsed token: any length, as doubles in it shorten it.
+    Signs have readings of their own.
+    """
+    if not core.isalpha():
+        return True
+    word = collapsed(core)
+    return word in single or any(word[:n] + "-" in single for n in range(1, min(len(word), PREFIXES[-1]) + 1))
+
+
 def evidence(words: Iterable[str], weights: dict[str, float]) -> float:
     """The log odds that the words add, each by its most telling feature."""
     return sum(max(weights.get(f, 0.0) for f in features(word)) for word in words)

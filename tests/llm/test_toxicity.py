@@ -141,3 +141,12 @@ def test_messy_rows(messy, spark):
     nothing = X.op6(messy, labels.limit(0)).collect()
     assert {r.predicted for r in nothing} == {0}
     assert X.op6(messy.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("token", ["kkiller", "aasshole", "puussy", "kkillers", "Kkiller!"])
+def test_a_word_with_a_double_of_its_own_is_found_under_another(make_docs, token):
+    texts = ["the killer and the pussy met an asshole", "killers and killer whales"] * 50
+    language = X.log_probabilities(X.trigram_counts(texts).astype(float))
+    model = X.Model(language, {"killer": 5.0, "kille-": 5.0, "asshole": 5.0, "pussy": 5.0}, -3.0)
+    scores = [r.score for r in X.with_score(make_docs([(1, f"some {token} here"), (2, "some glass here")]), model).collect()]
+    assert scores[0] > 0.5 > scores[1]
