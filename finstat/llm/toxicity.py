@@ -198,9 +198,10 @@ def words_of(text: str, language: np.ndarray, cache: dict[str, tuple[str, ...]])
 
 
 def spelled_out(tokens: list[str], least: int = 3) -> Iterator[list[str]]:
-    """Runs of at least ``least`` tokens of one character."""
+    """Runs of at least ``least`` tokens of one character, whatever punctuation stands around it."""
     if len(tokens) < least:
         return
+    tokens = [lone(token) for token in tokens]
     single = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) == 1
     if not (single[:-2] & single[1:-1] & single[2:]).any():
         return
@@ -210,6 +211,16 @@ def spelled_out(tokens: list[str], least: int = 3) -> Iterator[list[str]]:
             yield tokens[start:end]
 
 
+def lone(token: str) -> str:
+    """The one letter or digit of a token, or the token as it is: a sign by itself may be a letter."""
+    if len(token) == 1:
+        return token
+    core = token.strip(EDGES)
+    if len(core) > 1:
+        core = core.strip("!*$+|_")
+    return core if len(core) == 1 else token
+
+
 @dataclass(frozen=True)
 class Model:
     language: np.ndarray

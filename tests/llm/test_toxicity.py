@@ -150,3 +150,13 @@ def test_a_word_with_a_double_of_its_own_is_found_under_another(make_docs, token
     model = X.Model(language, {"killer": 5.0, "kille-": 5.0, "asshole": 5.0, "pussy": 5.0}, -3.0)
     scores = [r.score for r in X.with_score(make_docs([(1, f"some {token} here"), (2, "some glass here")]), model).collect()]
     assert scores[0] > 0.5 > scores[1]
+
+
+@pytest.mark.parametrize("spelled", ["i d i o t.", "m o r o n,", "(m o r o n", '"i d i o t"', "i d i o t!!", "'m o r o n',", "i, d, i, o, t"])
+def test_spaced_letters_with_punctuation(language, spelled):
+    tokens = f"you {spelled} there".split()
+    assert [X.viterbi(X.spaced(run), language) for run in X.spelled_out(tokens)] == ["".join(c for c in spelled if c.isalpha())]
+
+
+def test_a_sign_by_itself_stays_in_a_run():
+    assert list(X.spelled_out("you $ t u p 1 d. there --".split())) == [["$", "t", "u", "p", "1", "d"]]
