@@ -64,8 +64,16 @@ TABLE = bytes.maketrans(
 )
 TYPOGRAPHIC = re.compile("[‐‑‒–—―‘’‚“”„«»•… ]")
 LINE_BYTES = 16  # of a line's SHA-256 that are kept: 128 bits tell any number of lines apart
-# A line that states a copyright, or reserves all rights, in canonical form.
-COPYRIGHT = re.compile(rb"(?:copyright|\xc2\xa9|c copyright|c \d{4}|all rights reserved)(?: |$)")
+# A line that states a copyright, or reserves all rights, in canonical form; the words of license prose that may follow
+# 'copyright' where a line happens to break before it are no holder's name.
+PROSE = rb"""and|are|as|be|by law|claim|claims|disclaimer|for|grant|granted|has|have|header|headers|holder|holders|in|information|interest
+|interests|is|law|laws|license|licenses|line|lines|management|may|notice|notices|of|on|or|owner|owners|ownership|patent
+|permission|protection|right|rights|shall|statement|statements|that|the|this|to|trademark|treaties|treaty|under|which|with"""
+COPYRIGHT = re.compile(
+    rb"(?:copyright(?! (?:" + PROSE.replace(b"\n", b"") + rb")(?: |$))|\xc2\xa9|c copyright|c \d{4}|all rights reserved)(?: |$)"
+)
+# A line that only names the license, as stands above its text.
+TITLE = re.compile(rb"(?:the )?(?:mit|x11|expat|isc|0bsd|bsd zero clause|zero clause bsd)(?: (?:mit|isc|0bsd|expat))? license(?: (?:mit|x11|isc|0bsd|expat))?$")
 
 # Short licenses and the notices by which documents point to longer ones.
 KNOWN = {
@@ -114,6 +122,12 @@ def canonical_lines(text: str) -> list[bytes]:
 SPELLING_BYTES = {k.encode(): v.encode() for k, v in SPELLINGS.items()}
 
 
+def body_digest(lines: list[bytes]) -> str:
+    """The digest that the known texts are looked up by: of the lines below the license's title, if they have one."""
+    below = lines[1:] if len(lines) > 1 and TITLE.match(lines[0]) else lines
+    return hashlib.sha256(b" ".join(below)).hexdigest()
+
+
 def canonical(text: str) -> bytes:
     """Case, punctuation, white space, line breaks, copyright lines and spelling variants make no difference."""
     return b" ".join(canonical_lines(text))
@@ -127,7 +141,7 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) ->
     """The catalogue as rows (license, license_digest); texts of one canonical form are one license."""
     first: dict[str, str] = {}
     for name, text in sorted((texts or KNOWN).items()):
-        first.setdefault(digest(text), name)
+        first.setdefault(body_digest(canonical_lines(text)), name)
     return spark.createDataFrame([(n, d) for d, n in first.items()], "license string, license_digest string")
 
 
@@ -136,7 +150,7 @@ def license_scan(
 ) -> DataFrame:
     """One row per document: id, canonical_digest, license, line_licenses.
 
-    ``license`` is the known license that the whole text is; ``line_licenses`` are those that one
+    ``license`` is the known license that the whole text is, with or without its title line; ``line_licenses`` are those that one
     of its lines is, sorted (with ``lines`` off: none are looked for). Both are equality joins on digests with
     ``known`` (license, license_digest), which may have any size.
 
@@ -147,22 +161,23 @@ def license_scan(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, parts = [], []
+            whole, below, parts = [], [], []
             for text in batch.column(1):
                 rows = canonical_lines(text.as_py())
                 whole.append(hashlib.sha256(b" ".join(rows)).hexdigest())
+                below.append(body_digest(rows))
                 parts.append([hashlib.sha256(r).digest()[:LINE_BYTES] for r in dict.fromkeys(rows)] if lines else [])
-            columns = [batch.column(0), pa.array(whole), pa.array(parts, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "canonical_digest", "lines"])
+            columns = [batch.column(0), pa.array(whole), pa.array(below), pa.array(parts, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "canonical_digest", "body_digest", "lines"])
 
     nothing = hashlib.sha256(b"").hexdigest()
     known = known.groupBy("license_digest").agg(F.min("license").alias("license"))
     known = known.filter(F.col("license_digest") != nothing)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), or_empty(text_col).alias("text"))
-    scanned = texts.mapInArrow(run, "id long, canonical_digest string, lines array<binary>")
+    scanned = texts.mapInArrow(run, "id long, canonical_digest string, body_digest string, lines array<binary>")
     if lines:
         scanned = staged(scanned, "lines")  # it is read twice
-    found = scanned.join(known.withColumnRenamed("license_digest", "canonical_digest"), "canonical_digest", "left")
+    found = scanned.join(known.withColumnRenamed("license_digest", "body_digest"), "body_digest", "left")
     if not lines:
         return found.select("id", "canonical_digest", "license", F.array().cast("array<string>").alias("line_licenses"))
     # Rows get a number, as ids may be null or repeated; few lines are licenses, so little is grouped.
