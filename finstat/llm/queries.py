@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finstat.llm import exact, histogram, lattice, licenses, mixing, pieces, simhash, toxicity, warc, windows
+from finstat.llm import exact, filter_audit, histogram, lattice, licenses, mixing, nbsvm, pieces, repair, simhash, toxicity, warc, windows
 from finstat.llm.common import read_table
 
 
@@ -14,8 +14,8 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
     return lambda spark, sf_dir: operator(read_table(spark, sf_dir, table))
 
 
-def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.op6(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+def _with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
@@ -24,11 +24,14 @@ QUERIES = {
     "op3_simhash": _over("documents", simhash.op3),
     "op4_sharding": _over("documents", histogram.op4),
     "op5_license_scan": _over("documents", licenses.op5),
-    "op6_toxicity": op6,
+    "op6_toxicity": _with_labels(toxicity.op6),
     "op7_substring_dedup": _over("documents", windows.op7),
     "op8_sentencepiece": _over("documents", pieces.op8),
     "op9_mixing": _over("documents", mixing.op9),
     "op10_exact_dedup": _over("documents", exact.op10),
+    "op11_filter_audit": _with_labels(filter_audit.op11),
+    "op12_quality": _with_labels(nbsvm.op12),
+    "op13_repair": _over("conversations", repair.op13),
 }
 
 SQL = {
@@ -37,4 +40,6 @@ SQL = {
     "op5_license_scan": licenses.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op13_repair": repair.SQL,
 }

@@ -1,0 +1,94 @@
+"""The quality classifier: its parts against plain computation, and held-out accuracy."""
+
+import math
+
+import numpy as np
+import pytest
+
+from finstat.llm import nbsvm
+from tests.llm.conftest import prose
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_ratios():
+    good, bad = np.array([8.0, 2.0, 0.0]), np.array([1.0, 2.0, 5.0])
+    want = [math.log((8 + 1) / 13 / ((1 + 1) / 11)), math.log(3 / 13 / (3 / 11)), math.log(1 / 13 / (6 / 11))]
+    assert nbsvm.log_count_ratios(good, bad) == pytest.approx(want)
+
+
+def test_descent_reaches_the_least_loss():
+    """No step away from the weights lowers the loss, and it equals the dual's value."""
+    random = np.random.default_rng(1)
+    x = random.normal(size=(60, 5))
+    signs = np.where(x @ np.array([1.0, -2, 0, 0.5, 0]) + random.normal(scale=0.5, size=60) > 0, 1.0, -1.0)
+    cost = np.where(signs > 0, 0.5, 2.0)
+    places = np.arange(5)
+    weights = nbsvm.dual_coordinate_descent(lambda i: (places, x[i]), signs, 5, cost, 2000, 1e-9, 3)
+
+    def loss(w):
+        return 0.5 * w @ w + cost @ np.maximum(0, 1 - signs * (x @ w))
+
+    for direction in random.normal(size=(200, 5)):
+        assert loss(weights + 1e-3 * direction) >= loss(weights) - 1e-9
+
+
+def test_curve_gives_the_share_of_good_ones():
+    random = np.random.default_rng(2)
+    margins = random.normal(size=20_000)
+    good = random.random(20_000) < 1 / (1 + np.exp(-(2 * margins + 0.7)))
+    assert nbsvm.sigmoid_fit(margins, good) == pytest.approx((2, 0.7), abs=0.1)
+
+
+def test_indicators_by_hand():
+    """All n-grams of each view, whatever the length of a block."""
+    text = "The THE the!! the, (x9) é".encode()
+    whole = nbsvm.indicators(text, nbsvm.Words())
+    assert not nbsvm.indicators(b" \n", nbsvm.Words()).any()
+    assert (nbsvm.indicators(b"  The\tTHE  the!! the, (x9) \xc3\xa9\n", nbsvm.Words()) == whole).all()
+    values = np.arange(50, dtype=np.uint64) * np.uint64(977)
+    parts = {n: set() for n in range(3)}
+    for start in range(50):
+        for n, found in enumerate(nbsvm.grams(values[start : start + 3], 3, 16)):
+            parts[n].add(int(found[0]))
+    assert [set(f.tolist()) for f in nbsvm.grams(values, 3, 16)] == list(parts.values())
+    assert [nbsvm.shape(w) for w in (b"The", b"THE!!!", b"(the", b"x9", b"***", b"iPod.")] == [b"T  ", b"X  !!", b"x ( ", b"x9  ", b"-  **", b"m  ."]
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    text = prose(3000).encode()
+    whole = nbsvm.indicators(text, nbsvm.Words())
+    monkeypatch.setattr(nbsvm, "BLOCK", 64)
+    assert (nbsvm.indicators(text, nbsvm.Words()) == whole).all()
+
+
+def test_messy_rows(spark, messy, make_docs):
+    labels = spark.createDataFrame([(1, 1), (7, 1), (7, 0), (8, 1), (4, 0), (5, 0), (None, 1), (10, None), (77, 1), (3, 0)], "doc_id long, quality int").selectExpr(
+        "*", "'x' AS id", "1 AS label", "2 AS fold"
+    )
+    got = nbsvm.op12(messy, labels).collect()
+    assert len(got) == messy.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id in (3, 4, 6)}) == 1  # null, empty and blank texts
+    again = nbsvm.op12(messy.repartition(3), labels).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    # An old score is no input; other columns stay.
+    scored = nbsvm.with_score(messy, nbsvm.fit(messy, labels))
+    assert scored.columns == [c for c in messy.columns if c != "score"] + ["score"]
+    assert nbsvm.op12(make_docs([]), labels).count() == 0
+    # Without labels of both classes all scores are one number.
+    for few in (labels.filter("quality = 1"), labels.limit(0)):
+        assert len({r.score for r in nbsvm.op12(messy, few).collect()}) == 1
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = nbsvm.op12(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    good, bad = ([r.predicted for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 600 and np.mean(good) >= 0.99
+    assert len(bad) > 100 and np.mean(bad) <= 0.05
+
+
+def test_labels_are_bounded_by_a_parameter(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    few = nbsvm.fit(docs, labels, max_labelled=40)
+    assert 0 < np.count_nonzero(few.weights) < np.count_nonzero(nbsvm.fit(docs, labels).weights)

@@ -36,7 +36,7 @@ def test_query_equals_its_sql(spark, con, key):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_equals_its_stages_by_hand(spark):
