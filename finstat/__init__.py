@@ -1,6 +1,6 @@
 """Financial statements from a double-entry ledger, on Spark."""
 
-from finstat.plans.rollup import load_rollup, refresh_rollup, rollup, save_rollup
+from finstat.plans.rollup import change_rollup, load_rollup, refresh_rollup, rollup, save_rollup
 from finstat.plans.statements import (
     Statements,
     accounting_equation,
@@ -16,6 +16,7 @@ from finstat.plans.statements import (
     section_crosstab,
     section_names,
     section_totals,
+    statement_rows,
 )
 from finstat.sources import Ledger, from_files, from_parquet, from_tables, ledger, load_ledger, register_views, save_ledger
 
@@ -25,6 +26,7 @@ __all__ = [
     "accounting_equation",
     "bs_by_account",
     "bs_yoy",
+    "change_rollup",
     "financial_statements",
     "from_files",
     "from_parquet",
@@ -46,4 +48,5 @@ __all__ = [
     "section_crosstab",
     "section_names",
     "section_totals",
+    "statement_rows",
 ]

@@ -88,11 +88,14 @@ def yoy_pct(current: Column, previous: Column, base: str = "current") -> Column:
 
     The default base is the *current* year; ``base='previous'`` is the textbook form.
     Both operands of the division are whole cents, so it is the only inexact step
-    and a quotient that ends in a 5 rounds away from zero, as an exact one would.
+    and a quotient that ends in a 5 rounds away from zero, as an exact one would. Amounts of more than
+    thirty digits, whose cents do not fit a decimal, are divided as doubles.
     """
     bases = {"current": current, "previous": previous}
     if base not in bases:
         raise ValueError(f"unknown base {base!r}")
-    change = ((F.round(current, 2) - F.round(previous, 2)) * 10_000).cast("double")
-    cents = (F.round(bases[base], 2) * 100).cast("double")
+    now, then, below = (F.round(c, 2) for c in (current, previous, bases[base]))
+    exact = F.try_multiply(F.try_subtract(now, then), F.lit(10_000)).cast("double")
+    change = F.coalesce(exact, (now.cast("double") - then.cast("double")) * 10_000)
+    cents = F.coalesce(F.try_multiply(below, F.lit(100)).cast("double"), below.cast("double") * 100)
     return F.round(change / F.nullif(cents, F.lit(0.0)), 2)

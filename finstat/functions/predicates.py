@@ -15,15 +15,15 @@ def fiscal_year(value: int | str) -> int:
     return int(value)
 
 
-def in_year(column: str, fy: int | str) -> Column:
-    """``year(column) = fy``, written as a half-open range so that it prunes files.
+def in_year(column: str, fy: int | str, before: int = 0) -> Column:
+    """``year(column)`` is fy, or one of so many years before it, written as a half-open range so that it prunes files.
 
     Spark pushes a range on the bare column into the scan; ``year(column)`` it does not.
     """
     fy = fiscal_year(fy)
-    if not 1 <= fy < datetime.MAXYEAR:
-        return F.year(column) == fy
-    return (F.col(column) >= F.lit(datetime.date(fy, 1, 1))) & (F.col(column) < F.lit(datetime.date(fy + 1, 1, 1)))
+    if not 1 <= fy - before <= fy < datetime.MAXYEAR:
+        return F.year(column).between(fy - before, fy)
+    return (F.col(column) >= F.lit(datetime.date(fy - before, 1, 1))) & (F.col(column) < F.lit(datetime.date(fy + 1, 1, 1)))
 
 
 def posted(check_cancelled: bool = True) -> Column:

@@ -5,7 +5,7 @@ An *amounts* frame has the columns
 and comes in two forms: one row per posting with money in whole units of its scale
 (bigint; cents for two decimals), or rows with money as decimal, such as the stored
 account-year rollup. Amounts too long for a bigint are decimals in single postings, too. Every measure is linear in them, so a statement is one
-formula for both.
+formula for both. A sum that does not fit raises, in ANSI mode or not.
 
 Statements first total the amounts per account and join the dimensions to those
 totals. That keeps the fact out of every join but the one with its header: a hot
@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 from finstat.functions.measures import gross, lone_credit, lone_debit, net
 from finstat.functions.predicates import fiscal_year
 from finstat.operators.joins import posted_lines
-from finstat.schema import MONEY_SUM
-from finstat.sources.ledger import Ledger, money_type
+from finstat.schema import money_sum
+from finstat.sources.ledger import Ledger, exact_money, money_type
 
 KEYS = ("account_id", "fiscal_year")
-SUMS = ("n_lines", "debit", "credit", "lone_debit", "lone_credit")
+COUNTS = ("n_lines", "n_debit", "n_credit")
+SUMS = (*COUNTS, "debit", "credit", "lone_debit", "lone_credit")
 
 _LOW_BITS = 20
 _BIGINT_DIGITS = 18  # that always fit a bigint
@@ -40,16 +41,15 @@ def units(money: Column, scale: int) -> Column:
 
 def as_amounts(rows: DataFrame) -> DataFrame:
     """Lines joined to their entries, as an amounts frame of single postings."""
-    debit, credit = F.col("debit"), F.col("credit")
     kind = money_type(*(rows.schema[side].dataType for side in ("debit", "credit")))
+    debit, credit = (exact_money(rows, side, kind) for side in ("debit", "credit"))
     if kind.precision <= _BIGINT_DIGITS:
         debit, credit = units(debit, kind.scale), units(credit, kind.scale)
-    else:
-        debit, credit = debit.cast(MONEY_SUM), credit.cast(MONEY_SUM)
     return rows.select(
         "account_id",
         F.year("entry_date").alias("fiscal_year"),
         F.lit(1).cast("long").alias("n_lines"),
+        *[F.when(side.isNotNull(), 1).otherwise(0).cast("long").alias(name) for name, side in (("n_debit", debit), ("n_credit", credit))],
         debit.alias("debit", metadata={"scale": kind.scale}),
         credit.alias("credit"),
         lone_debit(debit, credit).alias("lone_debit"),
@@ -73,12 +73,45 @@ def sum_units(column: Column, scale: int) -> Column:
 
     Summing the high and the low bits as two bigints is several times cheaper
     than a decimal sum, whose buffer does not fit a machine word. The low parts
-    cannot overflow below 2**43 rows per group, nor the high parts below a total of 9e24 units.
+    cannot overflow below 2**43 rows per group; high parts that do, beyond a total of 9e24 units, raise.
     """
     low = F.sum(column.bitwiseAND((1 << _LOW_BITS) - 1))
-    high = F.sum(F.shiftright(column, _LOW_BITS)).cast("decimal(19,0)")
+    high = fitting(F.try_sum(F.shiftright(column, _LOW_BITS)), low.isNotNull()).cast("decimal(19,0)")
     whole = (high * F.lit(Decimal(1 << _LOW_BITS)) + low.cast("decimal(19,0)")).cast("decimal(28,0)")
-    return (whole * F.lit(Decimal(1).scaleb(-scale))).cast(MONEY_SUM)
+    return (whole * F.lit(Decimal(1).scaleb(-scale))).cast(money_sum(scale))
+
+
+def fitting(value: Column, given: Column) -> Column:
+    """The sum, which is NULL where nothing was summed; NULL in spite of ``given`` rows, it did not fit and raises."""
+    return F.when(given & value.isNull(), F.raise_error(F.lit("a total of amounts does not fit"))).otherwise(value)
+
+
+def sum_money(column: Column, scale: int) -> Column:
+    """The exact sum of decimal money."""
+    # Partial sums have two digits more than totals. A decimal sum that overflows gives NULL, or raises in ANSI mode.
+    added = fitting(F.sum(column), F.count(column) > 0)
+    return fitting(added.try_cast(money_sum(scale)), added.isNotNull())
+
+
+def two_years(book: Ledger, fy: int, amounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The amounts that a report of a year and the year before needs, and the accounts that have lines in any year.
+
+    Where the accounts are known (``posted_accounts`` of a stored ledger), lines of two years are read. Else the
+    amounts are those of all years, and tell by themselves.
+    """
+    if amounts is not None or book.posted_accounts is None:
+        return amounts_of(book, None, amounts), None
+    return as_amounts(posted_lines(book, fy, before=1)), book.posted_accounts
+
+
+def with_posted(totals: DataFrame, posted: DataFrame | None, otherwise: dict[str, Column] | None = None) -> DataFrame:
+    """The totals, and a row without amounts for each account that has lines in any year."""
+    if posted is None:
+        return totals
+    empty = [
+        (otherwise or {}).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in totals.schema if f.name != "account_id"
+    ]
+    return totals.unionByName(posted.select("account_id", *empty))
 
 
 def per_account(amounts: DataFrame, measures: dict[str, Column], keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
@@ -86,16 +119,21 @@ def per_account(amounts: DataFrame, measures: dict[str, Column], keys: tuple[str
     debit = amounts.schema["debit"]
     sums = []
     for name, column in measures.items():
-        if name == "n_lines":
+        if name in COUNTS:
             added = F.sum(column)
         elif debit.dataType == T.LongType():
             added = sum_units(column, debit.metadata["scale"])
         else:
-            added = F.sum(column).cast(MONEY_SUM)
+            added = sum_money(column, debit.dataType.scale)
         sums.append(added.alias(name))
     return amounts.groupBy(*keys).agg(*sums)
 
 
+def added(column: Column | str) -> Column:
+    """The sum of totals; one that does not fit raises."""
+    return fitting(F.sum(column), F.count(column) > 0)
+
+
 def plain(*names: str) -> dict[str, Column]:
     return {name: F.col(name) for name in names}
 

@@ -65,21 +65,23 @@ def chart(book: Ledger) -> DataFrame:
     return with_aligned_name(with_bs_section(with_pl_section(book.accounts, book), book))
 
 
-def lines_of(book: Ledger, fy: int | None) -> DataFrame:
-    """The lines that can belong to a year: a stored layout prunes the others, else all of them."""
+def lines_of(book: Ledger, fy: int | None, before: int = 0) -> DataFrame:
+    """The lines that can belong to a year, or to so many before it: a stored layout prunes the others, else all of them."""
     if fy is None or book.year_column is None:
         return book.lines
-    return book.lines.filter(F.col(book.year_column) == fiscal_year(fy))
+    last = fiscal_year(fy)
+    return book.lines.filter(F.col(book.year_column).between(last - before, last) if before else F.col(book.year_column) == last)
 
 
 def posted_lines(
     book: Ledger,
     fy: int | None = None,
     check_cancelled: bool = True,
+    before: int = 0,
 ) -> DataFrame:
-    """Lines of entries that count, of one year or of all."""
-    rows = with_entries(lines_of(book, fy), book).filter(posted(check_cancelled))
-    return rows if fy is None else rows.filter(in_year("entry_date", fy))
+    """Lines of entries that count, of one year (and so many before it) or of all."""
+    rows = with_entries(lines_of(book, fy, before), book).filter(posted(check_cancelled))
+    return rows if fy is None else rows.filter(in_year("entry_date", fy, before))
 
 
 def master(book: Ledger, fy: int | None = None) -> DataFrame:

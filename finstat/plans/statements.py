@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finstat.functions.measures import (
     asset_amount,
@@ -20,10 +21,23 @@ from finstat.functions.measures import (
     lone_credit,
     lone_debit,
     money,
+    pl_amount,
     yoy_pct,
 )
 from finstat.functions.predicates import fiscal_year, has_any_section, has_section, in_year, name_key, on_balance_sheet
-from finstat.operators.amounts import amounts_of, as_amounts, lone_measures, per_account, pl_measures, plain, total
+from finstat.operators.amounts import (
+    KEYS,
+    added,
+    amounts_of,
+    as_amounts,
+    lone_measures,
+    per_account,
+    pl_measures,
+    plain,
+    total,
+    two_years,
+    with_posted,
+)
 from finstat.operators.joins import (
     lines_of,
     master,
@@ -33,6 +47,7 @@ from finstat.operators.joins import (
     with_entries,
     with_pl_section,
 )
+from finstat.schema import MAX_DIGITS
 from finstat.sources.ledger import Ledger
 
 
@@ -72,8 +87,8 @@ def section_totals(book: Ledger, fy: int) -> DataFrame:
         .agg(
             F.min("pl_section_id").alias("number"),
             total("n_lines"),
-            money(F.sum("debit")).alias("debit"),
-            money(F.sum("credit")).alias("credit"),
+            money(added("debit")).alias("debit"),
+            money(added("credit")).alias("credit"),
         )
     )
     named = with_spelling(sums, book, "number", "statement_section")
@@ -107,7 +122,7 @@ def pl_by_year(book: Ledger, netting: bool = False, amounts: DataFrame | None =
         _with_pl(totals, book)
         .filter(has_section("name"))
         .groupBy("pl_key", F.col("fiscal_year").alias("entry_year"))
-        .agg(F.min("pl_section_id").alias("number"), money(F.sum(_signed(netting=netting))).alias("amount"))
+        .agg(F.min("pl_section_id").alias("number"), money(added(_signed(netting=netting))).alias("amount"))
     )
     named = with_spelling(sums, book, "number", "statement_section")
     return named.select("statement_section", "entry_year", "amount")
@@ -120,7 +135,7 @@ def pl_one_year(book: Ledger, fy: int, netting: bool = False, amounts: DataFrame
         _with_pl(totals, book)
         .filter(has_section())
         .groupBy("pl_key", "pl_section_id")
-        .agg(money(F.sum(_signed(netting=netting))).alias("amount"))
+        .agg(money(added(_signed(netting=netting))).alias("amount"))
     )
     named = with_spelling(per_section, book, "pl_section_id", "statement_section")
     return named.orderBy("pl_section_id").select("statement_section", "amount")
@@ -136,19 +151,20 @@ def pl_yoy(
 ) -> DataFrame:
     """P&L per section: a year, the year before, and the % change, in statement order.
 
-    A section with lines in any year is listed, so lines of all years are read;
-    a year without lines gives NULL.
+    A section with lines in any year is listed, so lines of all years are read, unless the
+    ledger knows its posted accounts; a year without lines gives NULL.
     """
     fy = fiscal_year(fy)
     measures = pl_measures(fy, "query_") | pl_measures(fy - 1, "previous_")
-    totals = per_account(amounts_of(book, None, amounts), measures)
+    rows, posted = two_years(book, fy, amounts)
+    totals = with_posted(per_account(rows, measures), posted)
     per_section = (
         _with_pl(totals, book)
         .filter(has_section(section_filter))
         .groupBy("pl_key", "pl_section_id")
         .agg(
-            F.sum(_signed("query_", netting)).alias("query"),
-            F.sum(_signed("previous_", netting)).alias("previous"),
+            added(_signed("query_", netting)).alias("query"),
+            added(_signed("previous_", netting)).alias("previous"),
         )
     )
     named = with_spelling(per_section, book, "pl_section_id", "statement_section")
@@ -258,11 +274,12 @@ def bs_yoy(
     """
     fy = fiscal_year(fy)
     measures = lone_measures(fy, "query_") | lone_measures(fy - 1, "previous_")
-    totals = per_account(amounts_of(book, None, amounts), measures)
+    rows, posted = two_years(book, fy, amounts)
+    totals = with_posted(per_account(rows, measures), posted, dict.fromkeys(measures, F.lit(0)))
 
     def amount(prefix: str) -> Column:
         debit, credit = F.col(prefix + "lone_debit"), F.col(prefix + "lone_credit")
-        return F.sum(bs_amount(F.col("name_key"), debit, credit, asset_credits))
+        return added(bs_amount(F.col("name_key"), debit, credit, asset_credits))
 
     per_name = (
         with_both_sections(totals, book)
@@ -283,17 +300,93 @@ def _sides() -> dict[str, Column]:
 
 
 def _side_sums() -> list[Column]:
-    return [money(F.sum(side)).alias(label) for label, side in _sides().items()]
+    return [money(added(side)).alias(label) for label, side in _sides().items()]
 
 
 # --- all statements of a year -----------------------------------------------
 
 
+PROFIT_LOSS, BALANCE_SHEET, EQUATION = "profit and loss", "balance sheet", "equation"
+
+
 @dataclass(frozen=True)
 class Statements:
+    """The statements of a year: each as a frame of its own, and all of them as the rows of one."""
+
     profit_loss: DataFrame
     balance_sheet: DataFrame
     equation: DataFrame
+    rows: DataFrame
+
+
+def statement_rows(
+    book: Ledger,
+    fy: int | str,
+    amounts: DataFrame | None = None,
+    section_filter: str = "nonblank",
+    base: str = "current",
+    netting: bool = False,
+    asset_credits: bool = False,
+) -> DataFrame:
+    """P&L with change, balance sheet with change, and the accounting equation, from one pass over the lines.
+
+    Rows: statement, item, query_year, previous_year, yoy_growth_pct, in the order of the statements. The
+    equation's items are assets, liabilities and equity, with an amount each.
+
+    The lines are totalled once per account and year; each total then makes a row for every statement
+    that it counts to, and all statements are one aggregate of those.
+    """
+    fy = fiscal_year(fy)
+    rows, posted = two_years(book, fy, amounts)
+    # All years but the two are one, without amounts that count: it tells that an account has lines.
+    rows = rows.withColumn("fiscal_year", F.when(F.col("fiscal_year").between(fy - 1, fy), F.col("fiscal_year")))
+    totals = with_posted(per_account(rows, plain("debit", "credit", "lone_debit", "lone_credit"), KEYS), posted)
+    scale = totals.schema["debit"].dataType.scale
+    query, previous = F.col("fiscal_year") == fy, F.col("fiscal_year") == fy - 1
+
+    def row(keep: Column, statement: int, key: Column, place: Column, number: Column, this: Column, last: Column) -> Column:
+        kind = T.DecimalType(MAX_DIGITS + 1, scale)
+        return F.struct(
+            keep.alias("keep"),
+            F.lit(statement).alias("statement"),
+            key.cast("string").alias("key"),
+            place.cast("int").alias("place"),
+            number.cast("int").alias("number"),
+            this.cast(kind).alias("this"),
+            last.cast(kind).alias("last"),
+        )
+
+    debit, credit = F.col("debit"), F.col("credit")
+    result = pl_amount(debit, credit, F.col("debit_is_positive"), netting)
+    sheet = bs_amount(F.col("name_key"), F.col("lone_debit"), F.col("lone_credit"), asset_credits)
+    none = F.lit(None)
+    counted = [
+        row(
+            has_section(section_filter), 0, F.col("pl_key"), F.col("pl_section_id"), F.col("pl_section_id"),
+            F.when(query, result), F.when(previous, result),
+        ),
+        row(
+            on_balance_sheet(), 1, F.col("name_key"), F.lit(0), F.col("name_id"),
+            F.when(query, sheet).otherwise(0), F.when(previous, sheet).otherwise(0),
+        ),
+        *[row(query, 2, F.lit(side), F.lit(n), none, amount, none) for n, (side, amount) in enumerate(_sides().items())],
+    ]
+    found = with_both_sections(totals, book).select(F.inline(F.array(*counted))).filter("keep").drop("keep")
+    # The equation has its items in a year without lines, too.
+    items = ", ".join(f"(2, '{side}', {n})" for n, side in enumerate(_sides()))
+    listed = book.sections.sparkSession.sql(f"SELECT * FROM VALUES {items} AS t(statement, key, place)")
+    sums = (
+        found.unionByName(listed, allowMissingColumns=True)
+        .groupBy("statement", "key", "place")
+        .agg(F.min("number").alias("number"), added("this").alias("query"), added("last").alias("previous"))
+    )
+    named = with_spelling(sums, book, "number", "spelling")
+    change = [c if n == 0 else F.when(F.col("statement") < 2, c) for n, c in enumerate(_two_years(base))]
+    return named.orderBy("statement", "place", "key").select(
+        F.element_at(F.array(*map(F.lit, (PROFIT_LOSS, BALANCE_SHEET, EQUATION))), F.col("statement") + 1).alias("statement"),
+        F.when(F.col("statement") < 2, F.col("spelling")).otherwise(F.col("key")).alias("item"),
+        *[c.alias(name) for c, name in zip(change, ("query_year", "previous_year", "yoy_growth_pct"), strict=True)],
+    )
 
 
 def financial_statements(
@@ -307,7 +400,8 @@ def financial_statements(
 ) -> Statements:
     """P&L with change, balance sheet with change, and the accounting equation of a year.
 
-    Building them runs nothing and writes nothing. Each passes over the lines, unless ``amounts``
+    Building them runs nothing and writes nothing. ``rows`` has all of them from one pass over the lines. The frames
+    of their own pass over the lines one by one when they are run, unless ``amounts``
     gives a rollup stored before (``save_rollup``, ``load_rollup``): then no one does.
     """
     fy = fiscal_year(fy)
@@ -315,4 +409,5 @@ def financial_statements(
         profit_loss=pl_yoy(book, fy, section_filter, base, netting, amounts),
         balance_sheet=bs_yoy(book, fy, base, asset_credits, amounts),
         equation=accounting_equation(book, fy, amounts=amounts),
+        rows=statement_rows(book, fy, amounts, section_filter, base, netting, asset_credits),
     )

@@ -21,6 +21,9 @@ CHARGED = (
     "* (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,6))"
 )
 
+# Sums of more digits than a bigint or a double tells apart: the cents stay at the end of thirty digits.
+WIDE = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST('10000000000000000000001' AS DECIMAL(23,0)) AS DECIMAL(38,2))"
+
 # name -> (needed CTEs, definition); FIXTURES.md section 2 gives the first four.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sections": (
@@ -140,9 +143,16 @@ def rounded(expression: str, alias: str) -> str:
     return double(f"round({expression}, 2)", alias)
 
 
-def subcent(text: str) -> str:
-    """The same query over amounts with decimals below a cent."""
-    return text.replace(PRICE, CHARGED)
+def priced(text: str, prices: str) -> str:
+    """The same query over amounts made in another way (tpch.PRICES)."""
+    return text.replace(PRICE, {"cents": PRICE, "subcent": CHARGED, "wide": WIDE}[prices])
+
+
+def exact(text: str) -> str:
+    """The same query with names that match and group as they are spelled."""
+    return text.replace("upper(rtrim(pl.statement_section))", "pl.statement_section").replace(
+        "upper(rtrim(bs.statement_section))", "bs.statement_section"
+    )
 
 
 def cents(expression: str) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +32,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(key: str, oracle_text: str, subcent: bool = False):
+def register(key: str, oracle_text: str, prices: str = "cents", exact_names: bool = False):
     """Register a function of a ledger under a key, with its SQL twin.
 
-    ``subcent``: the ledger's amounts have decimals below a cent.
+    ``prices``: how the ledger's amounts are made (tpch.PRICES). ``exact_names``: names go by their spelling.
     """
 
     def wrap(function: Callable[[Ledger], DataFrame]):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(tpch.load_ledger(spark, sf_dir, subcent))
+            return function(tpch.load_ledger(spark, sf_dir, prices, exact_names))
 
         REPORTS[key] = function
         QUERIES[key] = query
-        ORACLES[key] = oracle.subcent(oracle_text) if subcent else oracle_text
+        text = oracle.priced(oracle_text, prices)
+        ORACLES[key] = oracle.exact(text) if exact_names else text
         return function
 
     return wrap
@@ -72,10 +72,11 @@ register("r06_section_crosstab", oracle.section_crosstab(YEAR))(lambda b: S.sect
 register("r07_master_lines", oracle.master_lines(YEAR))(lambda b: S.master_lines(b, YEAR))
 register("r08_distinct_sections", oracle.section_names())(S.section_names)
 register("r09_master_classified", oracle.master_classified(YEAR))(lambda b: S.master_classified(b, YEAR))
-register("r05_pl_yoy_subcent", oracle.pl_yoy(YEAR), subcent=True)(lambda b: S.pl_yoy(b, YEAR))
-register("r11_equation_subcent", oracle.accounting_equation(YEAR), subcent=True)(
+register("r05_pl_yoy_subcent", oracle.pl_yoy(YEAR), prices="subcent")(lambda b: S.pl_yoy(b, YEAR))
+register("r11_equation_subcent", oracle.accounting_equation(YEAR), prices="subcent")(
     lambda b: S.accounting_equation(b, YEAR)
 )
+register("r11_equation_wide", oracle.accounting_equation(YEAR), prices="wide")(lambda b: S.accounting_equation(b, YEAR))
 register("r10_bs_by_account", oracle.bs_by_account(YEAR))(lambda b: S.bs_by_account(b, YEAR))
 
 # --- the statements by parameter --------------------------------------------
@@ -95,26 +96,13 @@ for _fy, _suffix in ((YEAR, ""), (FIRST_YEAR, "_1995")):
 @register("p_financial_statements", oracle.financial_statements(YEAR))
 def statements_as_rows(book: Ledger, amounts: DataFrame | None = None) -> DataFrame:
     """All three statements, as rows of one table."""
-    parts = S.financial_statements(book, YEAR, amounts)
-    figures = ("query_year", "previous_year", "yoy_growth_pct")
-    no_figure = F.lit(None).cast("double")
-    sides = F.array(
-        *[F.struct(F.lit(side).alias("item"), F.col(side).alias("amount")) for side in ("assets", "liabilities", "equity")]
+    return S.financial_statements(book, YEAR, amounts).rows
+
+
+for _fy, _suffix in ((FIRST_YEAR, "_1995"), (EMPTY_YEAR, "_2002")):
+    register("p_financial_statements" + _suffix, oracle.financial_statements(_fy))(
+        lambda b, fy=_fy: S.statement_rows(b, str(fy))
     )
-    rows = [
-        parts.profit_loss.select(
-            F.lit("profit and loss").alias("statement"), F.col("statement_section").alias("item"), *figures
-        ),
-        parts.balance_sheet.select(F.lit("balance sheet").alias("statement"), F.col("name").alias("item"), *figures),
-        parts.equation.select(F.inline(sides)).select(
-            F.lit("equation").alias("statement"),
-            "item",
-            F.col("amount").alias("query_year"),
-            no_figure.alias("previous_year"),
-            no_figure.alias("yoy_growth_pct"),
-        ),
-    ]
-    return reduce(DataFrame.unionByName, rows)
 
 
 @register("rollup_account_year", oracle.rollup())
@@ -237,6 +225,14 @@ register("op_filter_nonblank", sql(_SECTION_COLUMNS + "pl_key <> ''", "chart"))(
 register("op_filter_nonblank_padded", sql(_SECTION_COLUMNS + "pl_key <> ''", "chart"))(
     lambda b: _accounts_with(b, "nonblank")
 )
+# With exact names the two differ: a name of blanks alone is not empty, but blank.
+register("op_filter_nonblank_exact", sql(_SECTION_COLUMNS + "pl_section <> ''", "chart"), exact_names=True)(
+    lambda b: _accounts_with(b, "name")
+)
+register("op_filter_nonblank_padded_exact", sql(_SECTION_COLUMNS + "trim(pl_section) <> ''", "chart"), exact_names=True)(
+    lambda b: _accounts_with(b, "nonblank")
+)
+register("r08_distinct_sections_exact", sql("SELECT DISTINCT statement_section FROM sections", "sections"), exact_names=True)(S.section_names)
 
 
 @register(
@@ -440,7 +436,7 @@ def ratio(book: Ledger) -> DataFrame:
 @register(
     "op_round_sum",
     sql(f"SELECT entry_year, {double('round(sum(debit), 2)', 'debit')} FROM book GROUP BY 1", "book"),
-    subcent=True,
+    prices="subcent",
 )
 def round_sum(book: Ledger) -> DataFrame:
     rows = A.as_amounts(J.with_entries(book.lines, book))

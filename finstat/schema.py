@@ -9,9 +9,15 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(18, 2)
 # What amounts that are no decimals are held as: exact to a millionth, below 10**12.
 FLOAT_MONEY = T.DecimalType(18, 6)
-# Totals, of amounts of any scale up to MAX_SCALE.
-MAX_SCALE = 8
-MONEY_SUM = T.DecimalType(34, MAX_SCALE)
+# The most digits of an amount or a total, and the most decimals. Two digits of a decimal stay free, so
+# that the sum or difference of two of them always fits.
+MAX_DIGITS, MAX_SCALE = 36, 8
+
+
+def money_sum(scale: int) -> T.DecimalType:
+    """The type of totals of amounts of a scale."""
+    return T.DecimalType(MAX_DIGITS, scale)
+
 
 LINES = T.StructType(
     [
@@ -58,18 +64,21 @@ SECTIONS = T.StructType(
     ]
 )
 
-# One row per (account, year); also the shape of a single posting (see operators.amounts).
-ROLLUP = T.StructType(
-    [
-        T.StructField("account_id", T.LongType()),
-        T.StructField("n_lines", T.LongType()),
-        T.StructField("debit", MONEY_SUM),
-        T.StructField("credit", MONEY_SUM),
-        T.StructField("lone_debit", MONEY_SUM),
-        T.StructField("lone_credit", MONEY_SUM),
-        T.StructField("fiscal_year", T.IntegerType()),
-    ]
-)
+
+def rollup(scale: int) -> T.StructType:
+    """One row per (account, year); also the shape of a single posting (see operators.amounts)."""
+    money = money_sum(scale)
+    counts = ("n_lines", "n_debit", "n_credit")
+    sums = ("debit", "credit", "lone_debit", "lone_credit")
+    return T.StructType(
+        [
+            T.StructField("account_id", T.LongType()),
+            *[T.StructField(name, T.LongType()) for name in counts],
+            *[T.StructField(name, money) for name in sums],
+            T.StructField("fiscal_year", T.IntegerType()),
+        ]
+    )
+
 
 # Which side of A = L + E a section name counts to.
 # A name in none of the three counts to no side.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finstat import schema
+from finstat.functions.predicates import posted
 
 # The table names a ledger database uses.
 TABLES = {
@@ -21,6 +23,8 @@ TABLES = {
 MONEY_COLUMNS = ("debit", "credit")
 # The column of stored lines that holds the year of their entry.
 YEAR_COLUMN = "entry_year"
+# The table of accounts with lines that count, beside a stored ledger.
+POSTED_ACCOUNTS = "posted_account"
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,7 @@ class Ledger:
     ``exact_names``: section names match and group as they are spelled. By default case and trailing
     blanks make no difference, as under the padded, case-blind collations of ledger databases.
     ``year_column``: a column of the lines that holds the year of their entry (see ``load_ledger``).
+    ``posted_accounts``: the ids of the accounts that have lines that count, in any year (see ``save_ledger``).
     """
 
     lines: DataFrame
@@ -38,16 +43,20 @@ class Ledger:
     sections: DataFrame
     exact_names: bool = False
     year_column: str | None = None
+    posted_accounts: DataFrame | None = None
 
 
 def money_type(*sources: T.DataType) -> T.DecimalType:
-    """One exact type for the sides of a line: decimals keep their scale, all else is FLOAT_MONEY."""
+    """One exact type for the sides of a line: decimals keep their scale, all else is FLOAT_MONEY.
+
+    Decimals of more than MAX_DIGITS digits are held in that many; an amount that needs them all raises.
+    """
     types = [t if isinstance(t, T.DecimalType) else schema.FLOAT_MONEY for t in sources if t != T.NullType()]
     types = types or [schema.MONEY]
     scale, digits = max(t.scale for t in types), max(t.precision - t.scale for t in types)
-    if scale > schema.MAX_SCALE or scale + digits > 38:
-        raise ValueError(f"amounts of {', '.join(t.simpleString() for t in types)} are beyond {schema.MAX_SCALE} decimals or 38 digits")
-    return T.DecimalType(scale + digits, scale)
+    if scale > schema.MAX_SCALE:
+        raise ValueError(f"amounts of {', '.join(t.simpleString() for t in types)} are beyond {schema.MAX_SCALE} decimals")
+    return T.DecimalType(min(scale + digits, schema.MAX_DIGITS), scale)
 
 
 def exact_money(frame: DataFrame, name: str, target: T.DecimalType) -> Column:
@@ -127,6 +136,10 @@ def save_ledger(book: Ledger, folder: str) -> None:
 
     A report of one year then reads the lines of that year only. Lines without an entry or
     a date have no year, as in every report. A year is split over tasks by its size.
+
+    The two-year reports list what has lines in any year. The accounts that do are stored beside the ledger: one id for
+    each, at most as many as there are accounts. So these reports read two years, not all. Whoever adds
+    lines to the folder by other means also rewrites that table (``save_posted_accounts``).
     """
     year = F.year("entry_date").alias(YEAR_COLUMN)
     dated = book.lines.join(book.entries.select("journal_entry_id", year), "journal_entry_id", "left")
@@ -136,12 +149,31 @@ def save_ledger(book: Ledger, folder: str) -> None:
             dated.hint("rebalance", YEAR_COLUMN).write.partitionBy(YEAR_COLUMN).parquet(path)
         else:
             getattr(book, role).write.parquet(path)
+    save_posted_accounts(book.lines.sparkSession, folder)
+
+
+def save_posted_accounts(spark: SparkSession, folder: str) -> None:
+    """Write the ids of the accounts with lines that count, from the lines as they are stored.
+
+    Two columns of the lines and the flags of the entries are read. Ids are sorted, so that they pack well.
+    """
+    stored = _read(spark, folder)
+    kept = stored["entries"].filter(posted()).select("journal_entry_id")
+    ids = stored["lines"].join(kept, "journal_entry_id").select("account_id").filter("account_id IS NOT NULL").distinct()
+    ids.orderBy("account_id").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{POSTED_ACCOUNTS}")
+
+
+def _read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {role: spark.read.parquet(f"{folder.rstrip('/')}/{table}") for role, (table, _) in TABLES.items()}
 
 
 def load_ledger(spark: SparkSession, folder: str, exact_names: bool = False) -> Ledger:
-    """Read what ``save_ledger`` wrote."""
-    frames = {role: spark.read.parquet(f"{folder.rstrip('/')}/{table}") for role, (table, _) in TABLES.items()}
-    return Ledger(**frames, exact_names=exact_names, year_column=YEAR_COLUMN)
+    """Read what ``save_ledger`` wrote. Without the table of posted accounts, two-year reports read all years."""
+    try:
+        accounts = spark.read.schema("account_id long").parquet(f"{folder.rstrip('/')}/{POSTED_ACCOUNTS}")
+    except AnalysisException:
+        accounts = None
+    return Ledger(**_read(spark, folder), exact_names=exact_names, year_column=YEAR_COLUMN, posted_accounts=accounts)
 
 
 def register_views(book: Ledger) -> None:

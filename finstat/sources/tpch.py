@@ -7,8 +7,11 @@ on the derived columns still reach the files where Catalyst can rewrite them.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finstat.schema import FLOAT_MONEY, MONEY
 from finstat.sources.ledger import Ledger
@@ -90,32 +93,34 @@ def entries(orders: DataFrame) -> DataFrame:
     )
 
 
-def price_type(subcent: bool):
-    return FLOAT_MONEY if subcent else MONEY
+# How amounts are made of prices, and their type: as they are; what was charged, to six decimals; prices times
+# a number of 23 digits, so that no amount fits a bigint.
+PRICES = {"cents": MONEY, "subcent": FLOAT_MONEY, "wide": T.DecimalType(38, 2)}
+WIDE_FACTOR = 10**22 + 1
 
 
-def _price(subcent: bool) -> Column:
-    """The extended price, or what was charged for it: an amount of up to six decimals."""
-    if not subcent:
-        return F.col("l_extendedprice").cast(MONEY)
-    discount, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
-    return (F.col("l_extendedprice").cast("decimal(11,2)") * (1 - discount) * (1 + tax)).cast(FLOAT_MONEY)
+def _price(prices: str) -> Column:
+    if prices == "subcent":
+        discount, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
+        return (F.col("l_extendedprice").cast("decimal(11,2)") * (1 - discount) * (1 + tax)).cast(FLOAT_MONEY)
+    price = F.col("l_extendedprice").cast(MONEY)
+    return price if prices == "cents" else (price.cast("decimal(14,2)") * F.lit(Decimal(WIDE_FACTOR))).cast(PRICES[prices])
 
 
-def _sides(subcent: bool) -> tuple[Column, Column]:
+def _sides(prices: str) -> tuple[Column, Column]:
     """Which sides of a line are filled: (debit, credit)."""
     flag, status, number = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
-    price = _price(subcent)
+    price = _price(prices)
     returned = flag == "R"
     early = returned & (number <= 5)
     both = returned & (number == 6)
     debit = F.when((flag == "A") | (early & (status == "F")) | both, price)
-    credit = F.when((flag == "N") | (early & (status == "O")), price).when(both, F.col("l_quantity").cast(price_type(subcent)))
+    credit = F.when((flag == "N") | (early & (status == "O")), price).when(both, F.col("l_quantity").cast(PRICES[prices]))
     return debit, credit
 
 
-def lines(lineitem: DataFrame, subcent: bool = False) -> DataFrame:
-    debit, credit = _sides(subcent)
+def lines(lineitem: DataFrame, prices: str = "cents") -> DataFrame:
+    debit, credit = _sides(prices)
     entry, account = F.col("l_orderkey"), F.col("l_partkey")
     return lineitem.select(
         F.when(entry % NO_ENTRY == 13, -entry).otherwise(entry).alias("journal_entry_id"),
@@ -127,14 +132,15 @@ def lines(lineitem: DataFrame, subcent: bool = False) -> DataFrame:
     )
 
 
-def load_ledger(spark: SparkSession, sf_dir: str, subcent: bool = False) -> Ledger:
-    """The ledger of a folder of tables; ``subcent`` gives its amounts decimals below a cent."""
+def load_ledger(spark: SparkSession, sf_dir: str, prices: str = "cents", exact_names: bool = False) -> Ledger:
+    """The ledger of a folder of tables, with amounts made of prices as PRICES says."""
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
     return Ledger(
-        lines=lines(table("lineitem"), subcent),
+        lines=lines(table("lineitem"), prices),
         entries=entries(table("orders")),
         accounts=accounts(table("part")),
         sections=sections(table("part")),
+        exact_names=exact_names,
     )

@@ -19,6 +19,11 @@ def formatted(frame):
     )
 
 
+def scans(text, *columns):
+    """How many scans read all of the columns; locations are cut in a plan's text, the columns of a scan are not."""
+    return sum(all(f"{c}#" in read for c in columns) for read in re.findall(r"FileScan parquet \[([^\]]*)\]", text))
+
+
 @pytest.fixture
 def big(conf, spark, stored_folders):
     """Plans on a stored ledger as on a cluster: dimensions small enough to broadcast, header and fact not."""
@@ -36,6 +41,7 @@ SUMMED = {
     "accounting_equation": lambda b: finstat.accounting_equation(b, 2000),
     "bs_yoy": lambda b: finstat.bs_yoy(b, 2000),
     "line_count": lambda b: finstat.line_count(b, 2000),
+    "statement_rows": lambda b: finstat.statement_rows(b, 2000),
 }
 DETAIL = {
     "master_lines": lambda b: finstat.master_lines(b, 2000),
@@ -55,7 +61,7 @@ def test_no_cartesian_and_no_python(big, name):
 def test_fact_is_scanned_once_and_shuffled_once(big, name):
     """The only shuffle of single lines is the one of the join with their entries."""
     text = plan(ALL[name](big))
-    assert text.count("journal_entry_line_item]") == 1
+    assert scans(text, "journal_entry_id", "account_id") == 1
     assert text.count("SortMergeJoin") == 1
     assert len(re.findall(r"Exchange hashpartitioning\(journal_entry_id", text)) == 2
 
@@ -82,7 +88,8 @@ def test_accounts_beyond_a_broadcast(conf, big, name):
     assert all(re.search(r"HashAggregate|section_id|Filter isnotnull\(account_id", line) for line in shuffled)
 
 
-ONE_YEAR = sorted(set(ALL) - {"pl_by_year", "pl_yoy", "bs_yoy"})
+TWO_YEARS = ["bs_yoy", "pl_yoy", "statement_rows"]
+ONE_YEAR = sorted(set(ALL) - {"pl_by_year", *TWO_YEARS})
 
 
 @pytest.mark.parametrize("name", ONE_YEAR)
@@ -103,6 +110,38 @@ def test_a_ledger_stored_by_year_prunes_its_lines(spark, stored_folders, name):
     assert re.search(r"PartitionFilters: \[isnotnull\(entry_year#\d+\), \(entry_year#\d+ = 2000\)\]", text)
 
 
+@pytest.mark.parametrize("name", TWO_YEARS)
+def test_two_year_reports_read_two_years_of_a_stored_ledger(spark, stored_folders, name):
+    """What has lines in other years comes from the stored ids of posted accounts."""
+    stored = finstat.load_ledger(spark, stored_folders[1])
+    text = formatted(ALL[name](stored))
+    years = r"PartitionFilters: \[isnotnull\(entry_year#\d+\), \(entry_year#\d+ >= 1999\), \(entry_year#\d+ <= 2000\)\]"
+    assert re.search(years, text)
+    pushed = [line for line in text.splitlines() if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(entry_date,1999-01-01" in p and "LessThan(entry_date,2001-01-01" in p for p in pushed)
+    assert scans(plan(ALL[name](stored)), "journal_entry_id", "account_id") == 1
+
+
+def test_all_statements_come_from_one_pass(big, tmp_path):
+    """One scan of the lines and of the entries, one shuffle of each; nothing is written."""
+    rows = finstat.financial_statements(big, 2000).rows
+    text = plan(rows)
+    assert scans(text, "journal_entry_id") == 2
+    assert text.count("SortMergeJoin") == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(journal_entry_id", text)) == 2
+    assert text.count("Generate inline") == 1
+    before = {p: p.stat().st_mtime for p in tmp_path.parent.rglob("*.parquet")}
+    rows.collect()
+    assert {p: p.stat().st_mtime for p in tmp_path.parent.rglob("*.parquet")} == before
+
+
+def test_scans_are_counted_under_a_long_folder(spark, micro, tmp_path):
+    folder = str(tmp_path / ("long" * 40))
+    for role, (table, _) in TABLES.items():
+        getattr(micro, role).write.parquet(f"{folder}/{table}")
+    assert scans(plan(finstat.pl_yoy(finstat.from_parquet(spark, folder), 2016)), "journal_entry_id", "account_id") == 1
+
+
 @pytest.mark.parametrize("key", ["op_derived_table", "op_outer_filter"])
 def test_counts_are_taken_before_the_dimensions(big, conf, key):
     """With accounts beyond a broadcast, no single line is shuffled a second time."""

@@ -74,6 +74,6 @@ def test_a_big_year_of_the_rollup_is_written_by_several_tasks(skewed, conf, tmp_
     conf(spark__sql__adaptive__coalescePartitions__minPartitionSize="1000")
     path = tmp_path / "rollup"
     finstat.save_rollup(finstat.rollup(skewed), str(path))
-    files = {year.name: len(list(year.glob("*.parquet"))) for year in path.glob("fiscal_year=*")}
+    files = {year.name: len(list(year.glob("*.parquet"))) for year in path.rglob("fiscal_year=*")}
     assert len(files) == 7
     assert max(files.values()) > 1
