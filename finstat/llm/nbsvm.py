@@ -47,7 +47,7 @@ def shape(word: bytes) -> bytes:
         kind = b"T" if letters[1:].islower() or len(letters) == 1 else b"M"
     else:
         kind = b"x" if letters.islower() else b"m"
-    if any(c.isdigit() for c in letters):
+    if len(core.translate(None, b"0123456789")) < len(core):
         kind += b"9"
     at = word.find(core) if core else 0
     return kind + b" " + word[: min(at, 2)] + b" " + word[at + len(core) :][:2]
@@ -57,14 +57,18 @@ SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 REPEAT = np.uint64(0x2545F4914F6CDD1D)
 
 
+SHAPE_BITS = 24
+
+
 class Words(dict):
-    """The hash of a word in lower case, and of its shape. Kept for the words seen, up to a number of them."""
+    """The hash of a word in lower case, with that of its shape in the low bits. Kept for the words seen, up to a number of them."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
         low = word.lower()
-        found = (zlib.crc32(low) << 32 | zlib.adler32(low), zlib.crc32(shape(word)))
+        own = (zlib.crc32(low) << 32 | zlib.adler32(low)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        found = own >> SHAPE_BITS << SHAPE_BITS | zlib.crc32(shape(word)) >> 32 - SHAPE_BITS
         if len(word) <= 64:
             self[word] = found
         return found
@@ -77,8 +81,8 @@ def indicators(text: bytes, seen: Words) -> np.ndarray:
     if not words:
         return flags
     joined = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
-    hashed = np.array([seen[w] for w in words], dtype=np.uint64)
-    own, shapes = hashed[:, 0], hashed[:, 1]
+    hashed = np.fromiter((seen[w] for w in words), dtype=np.uint64, count=len(words))
+    own, shapes = hashed >> np.uint64(SHAPE_BITS), hashed & np.uint64((1 << SHAPE_BITS) - 1)
     again = np.concatenate(([False], own[1:] == own[:-1]))
     base = 0
     for values, (bits, longest) in ((joined, BYTES), (np.where(again, REPEAT, shapes), SHAPES), (own, WORDS)):
