@@ -1,6 +1,7 @@
 """Financial statements from a double-entry ledger, on Spark."""
 
 from finstat.plans.rollup import change_rollup, load_rollup, refresh_rollup, rollup, save_rollup
+from finstat.plans.sql_functions import register_functions
 from finstat.plans.statements import (
     Statements,
     accounting_equation,
@@ -41,6 +42,7 @@ __all__ = [
     "pl_one_year",
     "pl_yoy",
     "refresh_rollup",
+    "register_functions",
     "register_views",
     "rollup",
     "save_ledger",

@@ -39,15 +39,18 @@ def units(money: Column, scale: int) -> Column:
     return (money * F.lit(Decimal(10**scale))).cast("long")
 
 
-def as_amounts(rows: DataFrame) -> DataFrame:
-    """Lines joined to their entries, as an amounts frame of single postings."""
+def as_amounts(rows: DataFrame, year_column: str | None = None) -> DataFrame:
+    """Lines joined to their entries, as an amounts frame of single postings.
+
+    ``year_column`` has the year of the entry where it is stored on the lines; filters on the year then prune folders.
+    """
     kind = money_type(*(rows.schema[side].dataType for side in ("debit", "credit")))
     debit, credit = (exact_money(rows, side, kind) for side in ("debit", "credit"))
     if kind.precision <= _BIGINT_DIGITS:
         debit, credit = units(debit, kind.scale), units(credit, kind.scale)
     return rows.select(
         "account_id",
-        F.year("entry_date").alias("fiscal_year"),
+        (F.col(year_column).cast("int") if year_column else F.year("entry_date")).alias("fiscal_year"),
         F.lit(1).cast("long").alias("n_lines"),
         *[F.when(side.isNotNull(), 1).otherwise(0).cast("long").alias(name) for name, side in (("n_debit", debit), ("n_credit", credit))],
         debit.alias("debit", metadata={"scale": kind.scale}),
@@ -64,33 +67,33 @@ def amounts_of(
 ) -> DataFrame:
     """The amounts of one year or of all, from a stored rollup if one is given."""
     if amounts is None:
-        return as_amounts(posted_lines(book, fy))
+        return as_amounts(posted_lines(book, fy), book.year_column)
     return amounts if fy is None else amounts.filter(F.col("fiscal_year") == fiscal_year(fy))
 
 
-def sum_units(column: Column, scale: int) -> Column:
-    """The exact sum of whole units, as decimal money.
+def sum_units(units: str, scale: int) -> Column:
+    """The exact sum of whole units (a bigint, as SQL text), as decimal money.
 
     Summing the high and the low bits as two bigints is several times cheaper
     than a decimal sum, whose buffer does not fit a machine word. The low parts
     cannot overflow below 2**43 rows per group; high parts that do, beyond a total of 9e24 units, raise.
     """
-    low = F.sum(column.bitwiseAND((1 << _LOW_BITS) - 1))
-    high = fitting(F.try_sum(F.shiftright(column, _LOW_BITS)), low.isNotNull()).cast("decimal(19,0)")
-    whole = (high * F.lit(Decimal(1 << _LOW_BITS)) + low.cast("decimal(19,0)")).cast("decimal(28,0)")
-    return (whole * F.lit(Decimal(1).scaleb(-scale))).cast(money_sum(scale))
+    low = f"sum({units} & {(1 << _LOW_BITS) - 1})"
+    high = fitting(f"try_sum(shiftright({units}, {_LOW_BITS}))", f"{low} IS NOT NULL")
+    whole = f"CAST(CAST({high} AS DECIMAL(19,0)) * {1 << _LOW_BITS}BD + CAST({low} AS DECIMAL(19,0)) AS DECIMAL(28,0))"
+    return F.expr(f"CAST({whole} * {Decimal(1).scaleb(-scale):f}BD AS {money_sum(scale).simpleString()})")
 
 
-def fitting(value: Column, given: Column) -> Column:
-    """The sum, which is NULL where nothing was summed; NULL in spite of ``given`` rows, it did not fit and raises."""
-    return F.when(given & value.isNull(), F.raise_error(F.lit("a total of amounts does not fit"))).otherwise(value)
+def sum_money(amount: str, scale: int) -> Column:
+    """The exact sum of decimal money (as SQL text)."""
+    # Partial sums have two digits more than totals. A decimal sum that overflows gives NULL, or raises in ANSI mode.
+    total = fitting(f"sum({amount})", f"count({amount}) > 0")
+    return F.expr(fitting(f"try_cast({total} AS {money_sum(scale).simpleString()})", f"count({amount}) > 0"))
 
 
-def sum_money(column: Column, scale: int) -> Column:
-    """The exact sum of decimal money."""
-    # Partial sums have two digits more than totals. A decimal sum that overflows gives NULL, or raises in ANSI mode.
-    added = fitting(F.sum(column), F.count(column) > 0)
-    return fitting(added.try_cast(money_sum(scale)), added.isNotNull())
+def fitting(value: str, given: str) -> str:
+    """The sum, which is NULL where nothing was summed; NULL in spite of ``given`` rows, it did not fit and raises."""
+    return f"CASE WHEN {given} AND {value} IS NULL THEN raise_error('a total of amounts does not fit') ELSE {value} END"
 
 
 def two_years(book: Ledger, fy: int, amounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -101,7 +104,7 @@ def two_years(book: Ledger, fy: int, amounts: DataFrame | None = None) -> tuple[
     """
     if amounts is not None or book.posted_accounts is None:
         return amounts_of(book, None, amounts), None
-    return as_amounts(posted_lines(book, fy, before=1)), book.posted_accounts
+    return as_amounts(posted_lines(book, fy, before=1), book.year_column), book.posted_accounts
 
 
 def with_posted(totals: DataFrame, posted: DataFrame | None, otherwise: dict[str, Column] | None = None) -> DataFrame:
@@ -118,20 +121,23 @@ def per_account(amounts: DataFrame, measures: dict[str, Column], keys: tuple[str
     """The measures summed per account: counts as bigint, money as decimal."""
     debit = amounts.schema["debit"]
     sums = []
-    for name, column in measures.items():
+    for name in measures:
         if name in COUNTS:
-            added = F.sum(column)
+            summed = F.sum(name)
         elif debit.dataType == T.LongType():
-            added = sum_units(column, debit.metadata["scale"])
+            summed = sum_units(name, debit.metadata["scale"])
         else:
-            added = sum_money(column, debit.dataType.scale)
-        sums.append(added.alias(name))
-    return amounts.groupBy(*keys).agg(*sums)
+            summed = sum_money(name, debit.dataType.scale)
+        sums.append(summed.alias(name))
+    # Named below the aggregate, so that a sum can be put down as one piece of SQL.
+    return amounts.select(*keys, *[column.alias(name) for name, column in measures.items()]).groupBy(*keys).agg(*sums)
 
 
 def added(column: Column | str) -> Column:
     """The sum of totals; one that does not fit raises."""
-    return fitting(F.sum(column), F.count(column) > 0)
+    summed = F.sum(column)
+    short = (F.count(column) > 0) & summed.isNull()
+    return F.when(short, F.raise_error(F.lit("a total of amounts does not fit"))).otherwise(summed)
 
 
 def plain(*names: str) -> dict[str, Column]:

@@ -7,10 +7,10 @@ the result is the same. Reports without that argument need rows a rollup lacks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from finstat.functions.measures import (
     asset_amount,
@@ -311,12 +311,34 @@ PROFIT_LOSS, BALANCE_SHEET, EQUATION = "profit and loss", "balance sheet", "equa
 
 @dataclass(frozen=True)
 class Statements:
-    """The statements of a year: each as a frame of its own, and all of them as the rows of one."""
+    """The statements of a year: each as a frame of its own, and all of them as the rows of one.
 
-    profit_loss: DataFrame
-    balance_sheet: DataFrame
-    equation: DataFrame
-    rows: DataFrame
+    A frame is planned when it is asked for. ``rows`` passes over the lines once; the others do so one by one.
+    """
+
+    book: Ledger
+    fy: int
+    amounts: DataFrame | None = None
+    section_filter: str = "nonblank"
+    base: str = "current"
+    netting: bool = False
+    asset_credits: bool = False
+
+    @cached_property
+    def profit_loss(self) -> DataFrame:
+        return pl_yoy(self.book, self.fy, self.section_filter, self.base, self.netting, self.amounts)
+
+    @cached_property
+    def balance_sheet(self) -> DataFrame:
+        return bs_yoy(self.book, self.fy, self.base, self.asset_credits, self.amounts)
+
+    @cached_property
+    def equation(self) -> DataFrame:
+        return accounting_equation(self.book, self.fy, self.amounts)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return statement_rows(self.book, self.fy, self.amounts, self.section_filter, self.base, self.netting, self.asset_credits)
 
 
 def statement_rows(
@@ -342,36 +364,30 @@ def statement_rows(
     rows = rows.withColumn("fiscal_year", F.when(F.col("fiscal_year").between(fy - 1, fy), F.col("fiscal_year")))
     totals = with_posted(per_account(rows, plain("debit", "credit", "lone_debit", "lone_credit"), KEYS), posted)
     scale = totals.schema["debit"].dataType.scale
-    query, previous = F.col("fiscal_year") == fy, F.col("fiscal_year") == fy - 1
-
-    def row(keep: Column, statement: int, key: Column, place: Column, number: Column, this: Column, last: Column) -> Column:
-        kind = T.DecimalType(MAX_DIGITS + 1, scale)
-        return F.struct(
-            keep.alias("keep"),
-            F.lit(statement).alias("statement"),
-            key.cast("string").alias("key"),
-            place.cast("int").alias("place"),
-            number.cast("int").alias("number"),
-            this.cast(kind).alias("this"),
-            last.cast(kind).alias("last"),
-        )
+    measured = with_both_sections(totals, book).select(
+        F.col("fiscal_year").alias("year"),
+        "pl_key",
+        "pl_section_id",
+        "name_key",
+        "name_id",
+        has_section(section_filter).alias("in_result"),
+        on_balance_sheet().alias("on_sheet"),
+        pl_amount(F.col("debit"), F.col("credit"), F.col("debit_is_positive"), netting).alias("result"),
+        bs_amount(F.col("name_key"), F.col("lone_debit"), F.col("lone_credit"), asset_credits).alias("sheet"),
+        *[amount.alias(side) for side, amount in _sides().items()],
+    )
+    kind = f"DECIMAL({MAX_DIGITS + 1},{scale})"
+
+    def row(keep: str, statement: int, key: str, place: str, number: str, this: str, last: str) -> str:
+        figures = f"CAST({this} AS {kind}) AS this, CAST({last} AS {kind}) AS last"
+        return f"struct({keep} AS keep, {statement} AS statement, {key} AS key, {place} AS place, CAST({number} AS INT) AS number, {figures})"
 
-    debit, credit = F.col("debit"), F.col("credit")
-    result = pl_amount(debit, credit, F.col("debit_is_positive"), netting)
-    sheet = bs_amount(F.col("name_key"), F.col("lone_debit"), F.col("lone_credit"), asset_credits)
-    none = F.lit(None)
     counted = [
-        row(
-            has_section(section_filter), 0, F.col("pl_key"), F.col("pl_section_id"), F.col("pl_section_id"),
-            F.when(query, result), F.when(previous, result),
-        ),
-        row(
-            on_balance_sheet(), 1, F.col("name_key"), F.lit(0), F.col("name_id"),
-            F.when(query, sheet).otherwise(0), F.when(previous, sheet).otherwise(0),
-        ),
-        *[row(query, 2, F.lit(side), F.lit(n), none, amount, none) for n, (side, amount) in enumerate(_sides().items())],
+        row("in_result", 0, "pl_key", "pl_section_id", "pl_section_id", *(f"CASE WHEN year = {y} THEN result END" for y in (fy, fy - 1))),
+        row("on_sheet", 1, "name_key", "0", "name_id", *(f"CASE WHEN year = {y} THEN sheet ELSE 0 END" for y in (fy, fy - 1))),
+        *[row(f"year = {fy}", 2, f"'{side}'", str(n), "NULL", side, "NULL") for n, side in enumerate(_sides())],
     ]
-    found = with_both_sections(totals, book).select(F.inline(F.array(*counted))).filter("keep").drop("keep")
+    found = measured.selectExpr(f"inline(array({', '.join(counted)}))").filter("keep").drop("keep")
     # The equation has its items in a year without lines, too.
     items = ", ".join(f"(2, '{side}', {n})" for n, side in enumerate(_sides()))
     listed = book.sections.sparkSession.sql(f"SELECT * FROM VALUES {items} AS t(statement, key, place)")
@@ -404,10 +420,4 @@ def financial_statements(
     of their own pass over the lines one by one when they are run, unless ``amounts``
     gives a rollup stored before (``save_rollup``, ``load_rollup``): then no one does.
     """
-    fy = fiscal_year(fy)
-    return Statements(
-        profit_loss=pl_yoy(book, fy, section_filter, base, netting, amounts),
-        balance_sheet=bs_yoy(book, fy, base, asset_credits, amounts),
-        equation=accounting_equation(book, fy, amounts=amounts),
-        rows=statement_rows(book, fy, amounts, section_filter, base, netting, asset_credits),
-    )
+    return Statements(book, fiscal_year(fy), amounts, section_filter, base, netting, asset_credits)

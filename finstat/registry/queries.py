@@ -380,9 +380,9 @@ def count_grouped(book: Ledger) -> DataFrame:
     return J.with_entries(book.lines, book).groupBy("entry_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _money_sum(cents):
+def _money_sum(amount: str):
     """A sum of amounts with two decimals, as reported."""
-    return M.money(A.sum_units(A.units(cents, 2), 2))
+    return M.money(A.sum_units(f"CAST({amount} * 100 AS BIGINT)", 2))
 
 
 @register(
@@ -394,7 +394,7 @@ def _money_sum(cents):
     ),
 )
 def sum_column(book: Ledger) -> DataFrame:
-    sums = [_money_sum(F.col(side)).alias(side) for side in ("debit", "credit")]
+    sums = [_money_sum(side).alias(side) for side in ("debit", "credit")]
     return book.lines.groupBy("journal_entry_id").agg(*sums)
 
 
@@ -404,8 +404,7 @@ def sum_column(book: Ledger) -> DataFrame:
         FROM lines GROUP BY 1""", "lines"),
 )
 def sum_case_null(book: Ledger) -> DataFrame:
-    debit, credit = _c("debit", "credit")
-    return book.lines.groupBy("account_id").agg(_money_sum(F.when(debit > credit, debit)).alias("amount"))
+    return book.lines.groupBy("account_id").agg(_money_sum("CASE WHEN debit > credit THEN debit END").alias("amount"))
 
 
 @register(
@@ -414,8 +413,7 @@ def sum_case_null(book: Ledger) -> DataFrame:
         FROM lines GROUP BY 1""", "lines"),
 )
 def sum_case_zero(book: Ledger) -> DataFrame:
-    debit, credit = _c("debit", "credit")
-    picked = F.when(debit > credit, debit).otherwise(0)
+    picked = "CASE WHEN debit > credit THEN debit ELSE 0 END"
     return book.lines.groupBy("account_id").agg(_money_sum(picked).alias("amount"))
 
 
