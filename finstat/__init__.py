@@ -1,5 +1,6 @@
 """Financial statements from a double-entry ledger, on Spark."""
 
+from finstat.plans.ordered import load_sorted, save_sorted, sorted_files
 from finstat.plans.rollup import change_rollup, load_rollup, refresh_rollup, rollup, save_rollup
 from finstat.plans.sql_functions import register_functions
 from finstat.plans.statements import (
@@ -19,7 +20,19 @@ from finstat.plans.statements import (
     section_totals,
     statement_rows,
 )
-from finstat.sources import Ledger, from_files, from_parquet, from_tables, ledger, load_ledger, register_views, save_ledger
+from finstat.sources import (
+    Ledger,
+    from_files,
+    from_parquet,
+    from_tables,
+    ledger,
+    load_buckets,
+    load_ledger,
+    register_views,
+    save_buckets,
+    save_ledger,
+    unsalted,
+)
 
 __all__ = [
     "Ledger",
@@ -34,8 +47,10 @@ __all__ = [
     "from_tables",
     "ledger",
     "line_count",
+    "load_buckets",
     "load_ledger",
     "load_rollup",
+    "load_sorted",
     "master_classified",
     "master_lines",
     "pl_by_year",
@@ -45,10 +60,14 @@ __all__ = [
     "register_functions",
     "register_views",
     "rollup",
+    "save_buckets",
     "save_ledger",
     "save_rollup",
+    "save_sorted",
     "section_crosstab",
     "section_names",
     "section_totals",
+    "sorted_files",
     "statement_rows",
+    "unsalted",
 ]

@@ -18,7 +18,8 @@ from finstat.sources.ledger import Ledger
 
 
 def with_entries(lines: DataFrame, book: Ledger) -> DataFrame:
-    return lines.join(book.entries, "journal_entry_id", "left")
+    salt = [book.salt_column] if book.salt_column else []
+    return lines.join(book.entries, ["journal_entry_id", *salt], "left")
 
 
 def with_accounts(frame: DataFrame, book: Ledger) -> DataFrame:

@@ -13,11 +13,14 @@ from finstat.functions import predicates as P
 from finstat.operators import amounts as A
 from finstat.operators import joins as J
 from finstat.plans import statements as S
+from finstat.plans.ordered import load_sorted, save_sorted
 from finstat.plans.rollup import rollup
 from finstat.registry import oracle
 from finstat.registry.oracle import double, sql
 from finstat.schema import ASSET_SECTIONS, EQUITY_SECTIONS, LIABILITY_SECTIONS
+from finstat.session import staging_path
 from finstat.sources import tpch
+from finstat.sources.buckets import load_buckets, save_buckets
 from finstat.sources.ledger import Ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,6 +334,25 @@ def left_join_entries(book: Ledger) -> DataFrame:
     )
 
 
+@register(
+    "op_left_join_buckets",
+    sql(
+        """SELECT l.journal_entry_id, l.line_item, l.account_id, e.entry_date, e.journal_entry_code
+        FROM lines l LEFT JOIN entries e ON e.journal_entry_id = l.journal_entry_id""",
+        "lines",
+        "entries",
+    ),
+)
+def left_join_buckets(book: Ledger) -> DataFrame:
+    """The same join of tables that are bucketed and salted, so that no line is shuffled for it."""
+    spark = book.lines.sparkSession
+    path = staging_path(spark, "buckets")
+    database = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    save_buckets(book, database, buckets=16)
+    return left_join_entries(load_buckets(spark, database))
+
+
 @register(
     "op_left_join_accounts",
     sql(
@@ -518,6 +540,22 @@ def sort_multi(book: Ledger) -> DataFrame:
     return J.chart(book).orderBy(*keys, "account_id").select("account_id", "account_code", "name")
 
 
+@register(
+    "op_sort_stored",
+    sql(
+        """SELECT row_number() OVER (ORDER BY is_balance_sheet_section DESC NULLS LAST, bs_section_id NULLS FIRST,
+            account_code NULLS FIRST, account_id) AS position, account_id, account_code, name FROM chart""",
+        "chart",
+    ),
+)
+def sort_stored(book: Ledger) -> DataFrame:
+    """The order of a sorted report, as its files keep it."""
+    spark = book.accounts.sparkSession
+    path = staging_path(spark, "sorted")
+    save_sorted(sort_multi(book), path)
+    return load_sorted(spark, path)
+
+
 # --- expressions ------------------------------------------------------------
 
 _LINE_KEY = "journal_entry_id, account_id, line_item"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,7 @@ class Ledger:
     blanks make no difference, as under the padded, case-blind collations of ledger databases.
     ``year_column``: a column of the lines that holds the year of their entry (see ``load_ledger``).
     ``posted_accounts``: the ids of the accounts that have lines that count, in any year (see ``save_ledger``).
+    ``salt_column``: lines meet entries on this column, too (see ``buckets.save_buckets``).
     """
 
     lines: DataFrame
@@ -44,6 +45,15 @@ class Ledger:
     exact_names: bool = False
     year_column: str | None = None
     posted_accounts: DataFrame | None = None
+    salt_column: str | None = None
+
+
+def unsalted(book: Ledger) -> Ledger:
+    """The ledger with one row for each entry, whatever its layout."""
+    if book.salt_column is None:
+        return book
+    entries = book.entries.filter(F.col(book.salt_column) == 0).drop(book.salt_column)
+    return replace(book, lines=book.lines.drop(book.salt_column), entries=entries, salt_column=None)
 
 
 def money_type(*sources: T.DataType) -> T.DecimalType:
@@ -141,8 +151,9 @@ def save_ledger(book: Ledger, folder: str) -> None:
     each, at most as many as there are accounts. So these reports read two years, not all. Whoever adds
     lines to the folder by other means also rewrites that table (``save_posted_accounts``).
     """
+    book = unsalted(book)
     year = F.year("entry_date").alias(YEAR_COLUMN)
-    dated = book.lines.join(book.entries.select("journal_entry_id", year), "journal_entry_id", "left")
+    dated = book.lines.drop(YEAR_COLUMN).join(book.entries.select("journal_entry_id", year), "journal_entry_id", "left")
     for role, (table, _) in TABLES.items():
         path = f"{folder.rstrip('/')}/{table}"
         if role == "lines":
@@ -178,5 +189,6 @@ def load_ledger(spark: SparkSession, folder: str, exact_names: bool = False) ->
 
 def register_views(book: Ledger) -> None:
     """Make the ledger queryable with ``spark.sql`` under its table names."""
+    book = unsalted(book)
     for role, (table, _) in TABLES.items():
         getattr(book, role).createOrReplaceTempView(table)

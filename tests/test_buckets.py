@@ -1,0 +1,123 @@
+"""Bucketed tables whose hot entries are dealt over salts: no shuffle of lines, even tasks, equal results."""
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import finstat
+from finstat import schema
+from finstat.sources import tpch
+from finstat.sources.buckets import HOT_ENTRIES, PARTS
+from tests.conftest import TESTDATA, local_frame, rows
+
+BUCKETS = 8
+REPORTS = ("section_totals", "pl_one_year", "pl_yoy", "section_crosstab", "master_lines", "bs_by_account", "accounting_equation", "bs_yoy", "line_count")
+
+
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    """The generated lines of one year with a third of them on one entry, among them 2,000 that are all alike; and stored."""
+    book = tpch.load_ledger(spark, f"{TESTDATA}/sf0.01")
+    entry = book.entries.filter(finstat_posted()).filter("year(entry_date) = 2000").agg(F.min("journal_entry_id")).first()[0]
+    year = book.entries.filter("year(entry_date) = 2000").select("journal_entry_id")
+    of_year = book.lines.join(year, "journal_entry_id")
+    third = F.pmod(F.xxhash64("journal_entry_id", "account_id", "line_item", "debit", "credit"), F.lit(3)) == 0
+    moved = of_year.withColumn("journal_entry_id", F.when(third, F.lit(entry)).otherwise(F.col("journal_entry_id")))
+    alike = of_year.limit(1).withColumn("journal_entry_id", F.lit(entry)).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(2000))))
+    lines = moved.select(*of_year.columns).union(alike.select(*of_year.columns)).repartition(16)
+    path = str(tmp_path_factory.mktemp("hot") / "lines")
+    lines.write.parquet(path)
+    plain = finstat.ledger(spark.read.parquet(path), book.entries, book.accounts, book.sections)
+    return entry, plain, stored(spark, plain, "hot_buckets", tmp_path_factory)
+
+
+def finstat_posted():
+    from finstat.functions.predicates import posted
+
+    return posted()
+
+
+def stored(spark, book, database, tmp_path_factory):
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{tmp_path_factory.mktemp(database)}'")
+    finstat.save_buckets(book, database, BUCKETS)
+    return finstat.load_buckets(spark, database)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcast(conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+
+
+def test_lines_are_not_exchanged_and_no_task_is_long(hot, no_broadcast):
+    from finstat.operators.joins import posted_lines
+
+    entry, plain, book = hot
+    joined = posted_lines(book, 2000)
+    assert "Exchange" not in plan_of(joined)
+    assert "SortMergeJoin [journal_entry_id" in plan_of(joined)
+    sizes = sorted(r[0] for r in rows(book.lines.groupBy(F.spark_partition_id()).count().select("count")))
+    tasks = sorted(r[0] for r in rows(joined.groupBy(F.spark_partition_id()).count().select("count")))
+    assert len(tasks) == BUCKETS
+    assert plain.lines.filter(F.col("journal_entry_id") == entry).count() * 3 > sum(sizes)
+    for found in (sizes, tasks):
+        assert found[-1] < 3 * found[len(found) // 2], found
+
+
+def test_results_are_whole(spark, hot, no_broadcast):
+    _, plain, book = hot
+    for name in REPORTS:
+        report = getattr(finstat, name)
+        assert sorted(map(repr, rows(report(book, 2000)))) == sorted(map(repr, rows(report(plain, 2000)))), name
+    assert book.lines.count() == plain.lines.count()
+
+
+def test_salts(spark, hot):
+    """Hot entries are few, and each has one copy for every salt that its lines can have."""
+    entry, plain, book = hot
+    found = {r.journal_entry_id: r.salts for r in spark.table(f"hot_buckets.{HOT_ENTRIES}").collect()}
+    assert entry in found
+    assert len(found) <= PARTS * BUCKETS
+    copies = book.entries.groupBy("journal_entry_id").count().filter("count > 1")
+    assert {tuple(r) for r in copies.collect()} == set(found.items())
+    assert book.lines.filter(F.col("journal_entry_id") == entry).select("salt").distinct().count() == found[entry]
+
+
+def test_a_year_reads_its_folder(hot):
+    _, _, book = hot
+    text = finstat.pl_one_year(book, 2000)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(entry_year" in text
+
+
+def test_plain_tables_come_back(spark, hot, tmp_path):
+    _, plain, book = hot
+    back = finstat.unsalted(book)
+    assert sorted(map(repr, rows(back.entries))) == sorted(map(repr, rows(plain.entries)))
+    names = plain.lines.columns
+    assert sorted(map(repr, rows(back.lines.select(*names)))) == sorted(map(repr, rows(plain.lines)))
+    finstat.save_ledger(book, str(tmp_path / "files"))
+    again = finstat.load_ledger(spark, str(tmp_path / "files"))
+    assert sorted(map(repr, rows(finstat.bs_yoy(again, 2000)))) == sorted(map(repr, rows(finstat.bs_yoy(plain, 2000))))
+    finstat.register_views(book)
+    assert spark.sql("SELECT count(*) FROM journal_entry").first()[0] == plain.entries.count()
+
+
+def test_lines_without_an_entry_are_dealt_too(spark, micro, tmp_path_factory):
+    """NULL and unknown entries, undated entries, repeated lines and empty tables."""
+    lonely = [(None, 101, 1, None, None, None)] * 60 + [(77, 106, 1, None, None, None)] * 60
+    undated = micro.entries.withColumn("entry_date", F.when(F.col("journal_entry_id") != 2, F.col("entry_date")).cast(T.DateType()))
+    lines = micro.lines.union(local_frame(spark, lonely, schema.LINES)).repartition(5)
+    plain = finstat.ledger(lines, undated, micro.accounts, micro.sections)
+    book = stored(spark, plain, "lonely_buckets", tmp_path_factory)
+    assert book.lines.count() == plain.lines.count()
+    assert book.lines.filter("journal_entry_id IS NULL").select("salt").distinct().count() > 1
+    for name in REPORTS:
+        report = getattr(finstat, name)
+        for fy in (2015, 2016, 1990):
+            assert sorted(map(repr, rows(report(book, fy)))) == sorted(map(repr, rows(report(plain, fy)))), (name, fy)
+    empty = finstat.Ledger(micro.lines.limit(0), micro.entries.limit(0), micro.accounts, micro.sections)
+    none = stored(spark, empty, "empty_buckets", tmp_path_factory)
+    assert rows(finstat.pl_yoy(none, 2016)) == rows(finstat.pl_yoy(empty, 2016))

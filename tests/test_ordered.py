@@ -1,0 +1,82 @@
+"""Sorted reports in files: read by their numbers they are the report, in order."""
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+import finstat
+from finstat.sources import tpch
+from tests.conftest import TESTDATA, rows
+
+
+@pytest.fixture(scope="module")
+def hot_book(spark, tmp_path_factory):
+    """A third of the lines on one entry of the year."""
+    book = tpch.load_ledger(spark, f"{TESTDATA}/sf0.01")
+    kept = "debit_credit_balanced = 1 AND user_id != 0 AND cancelled = 0 AND closing_type = 0 AND year(entry_date) = 2000"
+    entry = book.entries.filter(kept).agg(F.min("journal_entry_id")).first()[0]
+    third = F.pmod(F.xxhash64("journal_entry_id", "account_id", "line_item", "debit", "credit"), F.lit(3)) == 0
+    lines = book.lines.withColumn("journal_entry_id", F.when(third, entry).otherwise(F.col("journal_entry_id")))
+    path = str(tmp_path_factory.mktemp("ordered") / "lines")
+    lines.write.parquet(path)
+    return finstat.Ledger(spark.read.parquet(path), book.entries, book.accounts, book.sections)
+
+
+@pytest.fixture
+def eight_ranges(conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+
+
+def test_files_in_order_are_the_report(spark, hot_book, eight_ranges, tmp_path):
+    report, path = finstat.master_classified(hot_book, 2000), str(tmp_path / "report")
+    finstat.save_sorted(report, path, bounds=("journal_entry_code", "line_item"))
+    files = finstat.sorted_files(spark, path).orderBy("number").collect()
+    names = report.columns
+    stored = [tuple(row[c] for c in names) for f in files for row in pq.read_table(f"{path}/rows/{f.file}").to_pylist()]
+    keys = ["account", "journal_entry_code", "line_item"]
+    places = [names.index(c) for c in keys]
+    want = rows(report)
+    assert [[r[p] for p in places] for r in stored] == [[r[p] for p in places] for r in want]
+    assert sorted(map(repr, stored)) == sorted(map(repr, want))
+    # The ranges cut through the hot entry.
+    total = sum(f.n_rows for f in files)
+    assert total == len(want) and len(files) == 8
+    assert max(f.n_rows for f in files) < total / 3
+    position = 1
+    for number, f in enumerate(files, 1):
+        held = pq.read_table(f"{path}/rows/{f.file}").to_pylist()
+        assert (f.number, f.first_position, f.n_rows) == (number, position, len(held))
+        assert f.least_line_item == min(r["line_item"] for r in held)
+        assert f.greatest_journal_entry_code == max(r["journal_entry_code"] for r in held)
+        position += len(held)
+
+
+def test_a_page_reads_its_files(spark, hot_book, eight_ranges, conf, tmp_path):
+    # Several files from one range, too.
+    conf(spark__sql__files__maxRecordsPerFile="300")
+    path = str(tmp_path / "report")
+    finstat.save_sorted(finstat.master_classified(hot_book, 2000), path)
+    whole = rows(finstat.load_sorted(spark, path).orderBy("position"))
+    assert [r[0] for r in whole] == list(range(1, len(whole) + 1))
+    files = finstat.sorted_files(spark, path).orderBy("number").collect()
+    assert len(files) > 8
+    for first, last in ((1, 1), (290, 310), (files[3].first_position, files[3].first_position), (len(whole) - 3, None), (None, 5), (len(whole) + 1, None), (9, 3)):
+        page = finstat.load_sorted(spark, path, first, last)
+        want = [r for r in whole if r[0] >= (first or 1) and (last is None or r[0] <= last)]
+        assert rows(page.orderBy("position")) == want, (first, last)
+    assert len(finstat.load_sorted(spark, path, 290, 310).inputFiles()) <= 2 + 1
+
+
+def test_an_unfinished_write_is_not_seen(spark, micro, tmp_path):
+    path = str(tmp_path / "report")
+    finstat.master_classified(micro, 2016).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        finstat.load_sorted(spark, path)
+
+
+def test_empty_reports_and_clashing_names(spark, micro, tmp_path):
+    finstat.save_sorted(finstat.master_classified(micro, 1990), str(tmp_path / "none"))
+    assert finstat.load_sorted(spark, str(tmp_path / "none")).count() == 0
+    assert finstat.load_sorted(spark, str(tmp_path / "none"), 1, 5).count() == 0
+    with pytest.raises(ValueError, match="position"):
+        finstat.save_sorted(finstat.pl_yoy(micro, 2016).withColumn("position", F.lit(1)), str(tmp_path / "clash"))
