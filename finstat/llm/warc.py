@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -20,6 +22,9 @@ from finstat.session import staging_path
 CHUNK = 1 << 16
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
+ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512"}
+NO_BODY = (b"1", b"204", b"304")  # how the status of an HTTP response begins that has no body, whatever length it states
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 RECORD_URN = "urn:x-record:"
@@ -173,41 +178,109 @@ class Member:
         return self.inflate.unused_data
 
 
+class Stated:
+    """A digest field, ``label:value``: the value in hex or base32, upper or lower case.
+
+    Labels that this reader does not know are not verified.
+    """
+
+    def __init__(self, field: str | None) -> None:
+        label, _, self.value = (field or "").partition(":")
+        self.name = ALGORITHMS.get(label.strip().lower())
+        self.hash = hashlib.new(self.name) if self.name else None
+
+    def update(self, data: bytes) -> None:
+        if self.hash:
+            self.hash.update(data)
+
+    def bytes(self) -> bytes | None:
+        """The stated digest; None if the value is of neither form."""
+        # Padded base32 of MD5 is as long as its hex form.
+        value, size = self.value.strip().rstrip("="), hashlib.new(self.name).digest_size
+        try:
+            if len(value) == 2 * size:
+                return bytes.fromhex(value)
+            return base64.b32decode(value + "=" * (-len(value) % 8), casefold=True)
+        except (ValueError, binascii.Error):
+            return None
+
+    def check(self, what: str, of: str) -> None:
+        if self.hash and self.bytes() != self.hash.digest():
+            raise ValueError(f"{what} digest of {of} does not match")
+
+
+def header_fields(lines: list[bytes]) -> dict[str, str]:
+    """Names in lower case; a line that begins with a blank goes on with the one before."""
+    joined: list[str] = []
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and joined:
+            joined[-1] += " " + text.strip()
+        else:
+            joined.append(text)
+    return {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in joined)}
+
+
 def read_records(stream: BinaryIO, payloads: bool) -> Iterator[dict]:
-    """The records of an archive, one after the other, each verified against its digests."""
+    """The records of an archive, one after the other, each verified against its digests.
+
+    Records of WARC 1.0 and 1.1, one gzip member each, of any type. The payload of an HTTP block is what follows its
+    head; of any other block, all of it; a revisit has none. ``payload_bytes`` counts it, for a revisit it is what the HTTP
+    head states. A whole HTTP response whose payload is not as long as its head states raises; transfer-coded ones
+    and those marked as truncated are taken as they lie in the record. ``payload_digest`` is the SHA-256 of
+    the payload in hex; of a revisit, whose payload is elsewhere, the stated SHA-256 in hex or else the field as it stands.
+    """
     ahead = stream.read(CHUNK)
     while ahead:
         part = Member(stream, ahead)
         lines = part.until(END).split(b"\r\n")
-        if lines[0] != VERSION:
+        if lines[0] not in VERSIONS:
             raise ValueError(f"not a record of a known version: {lines[0][:20]!r}")
-        fields = {name.lower(): value.strip() for name, _, value in (x.decode().partition(":") for x in lines[1:])}
-        block, payload, head, kept = hashlib.sha256(), hashlib.sha256(), b"", []
-        in_head = True
+        fields = header_fields(lines[1:])
+        name, kind = fields.get("warc-record-id", "").strip("<> "), fields.get("warc-type", "")
+        if not fields.get("content-length", "").isdecimal():
+            raise ValueError(f"{name or 'a record'} has no Content-Length")
+        block, stated = Stated(fields.get("warc-block-digest")), Stated(fields.get("warc-payload-digest"))
+        payload, head, kept, size = hashlib.sha256(), bytearray(), [], 0
+        revisit = kind == "revisit"
+        http = in_head = fields.get("content-type", "").lower().startswith("application/http")
         for piece in part.take(int(fields["content-length"])):
             block.update(piece)
             if in_head:
+                seen = max(0, len(head) - len(END) + 1)
                 head += piece
-                if (at := head.find(END)) < 0:
+                if (at := head.find(END, seen)) < 0:
                     continue
-                in_head, piece, head = False, head[at + len(END) :], head[:at]
+                in_head, piece = False, bytes(head[at + len(END) :])
+                del head[at:]
+            if revisit:
+                continue
+            size += len(piece)
             payload.update(piece)
+            stated.update(piece)
             if payloads:
                 kept.append(piece)
-        if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha256:{block.hexdigest()}":
-            raise ValueError(f"block digest of {fields.get('warc-record-id')} does not match")
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-        revisit = fields["warc-type"] == "revisit"
-        if digest and not revisit and digest != payload.hexdigest():
-            raise ValueError(f"payload digest of {fields.get('warc-record-id')} does not match")
-        length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
+        block.check("block", name)
+        first, *rest = bytes(head).split(b"\r\n")
+        of_head = header_fields(rest) if http else {}
+        length = of_head.get("content-length", "")
+        length = int(length) if length.isdecimal() else None
+        if revisit:
+            whole = stated.bytes().hex() if stated.name == "sha256" and stated.bytes() else fields.get("warc-payload-digest")
+        else:
+            stated.check("payload", name)
+            whole = payload.hexdigest()
+            status = first.split(b" ")[1] if first.startswith(b"HTTP/") and b" " in first else b""
+            apart = "warc-truncated" in fields or "transfer-encoding" in of_head or status.startswith(NO_BODY)
+            if kind == "response" and length is not None and length != size and not apart:
+                raise ValueError(f"the payload of {name} has {size} bytes, its head states {length}")
         yield {
-            "record_id": fields["warc-record-id"].strip("<>"),
-            "record_type": fields["warc-type"],
+            "record_id": name,
+            "record_type": kind,
             "target_uri": fields.get("warc-target-uri"),
-            "refers_to": (fields.get("warc-refers-to") or "").strip("<>") or None,
-            "payload_bytes": int(length[1]) if length else None,
-            "payload_digest": digest or payload.hexdigest(),
+            "refers_to": fields.get("warc-refers-to", "").strip("<> ") or None,
+            "payload_bytes": length if revisit else size,
+            "payload_digest": whole,
             "payload": b"".join(kept) if payloads and not revisit else None,
         }
         ahead = part.close() or stream.read(CHUNK)

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -104,3 +105,97 @@ def test_members_that_are_no_gzip_raise():
 def test_empty(pages, tmp_path):
     folder = (tmp_path / "warc").as_uri()
     assert read_warc(write_warc(pages.limit(0), folder), folder).collect() == []
+
+
+# --- archives of other origin, records written by hand
+
+
+def by_hand(kind, block, version="WARC/1.0", **fields):
+    lines = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+    return member("\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6)
+
+
+def http(body, *lines, status="200 OK"):
+    return "\r\n".join([f"HTTP/1.1 {status}", *lines]).encode() + b"\r\n\r\n" + body
+
+
+RESPONSE = {"Content_Type": "application/http; msgtype=response", "WARC_Target_URI": "http://a"}
+BODY = b"<p>body"
+
+
+def base32(data, algorithm="sha1"):
+    return f"{algorithm}:{base64.b32encode(hashlib.new(algorithm, data).digest()).decode()}"
+
+
+@pytest.mark.parametrize(
+    "digest",
+    [
+        base32(BODY),
+        base32(BODY).lower(),
+        base32(BODY, "md5"),
+        base32(BODY, "md5").rstrip("="),
+        base32(BODY, "sha256"),
+        f"sha1:{hashlib.sha1(BODY).hexdigest()}",
+        f"SHA-256:{hashlib.sha256(BODY).hexdigest().upper()}",
+        f"sha512:{hashlib.sha512(BODY).hexdigest()}",
+        "unheard-of:anything",
+    ],
+)
+@pytest.mark.parametrize("version", ["WARC/1.0", "WARC/1.1"])
+def test_digests_by_label_and_encoding(digest, version):
+    block = http(BODY, f"Content-Length: {len(BODY)}")
+    (row,) = read(by_hand("response", block, version, **RESPONSE, WARC_Payload_Digest=digest, WARC_Block_Digest=base32(block)))
+    assert (row["payload"], row["payload_bytes"]) == (BODY, len(BODY))
+    assert row["payload_digest"] == hashlib.sha256(BODY).hexdigest()
+
+
+@pytest.mark.parametrize("digest", [base32(b"other"), "sha1:", "sha1:no-digest", "sha256:00", "md5:" + "0" * 32])
+def test_wrong_digests_raise(digest):
+    with pytest.raises(ValueError, match="payload digest"):
+        read(by_hand("response", http(BODY), **RESPONSE, WARC_Payload_Digest=digest))
+    with pytest.raises(ValueError, match="block digest"):
+        read(by_hand("resource", BODY, Content_Type="text/html", WARC_Block_Digest=digest))
+
+
+@pytest.mark.parametrize("kind", ["resource", "warcinfo", "metadata", "conversion"])
+@pytest.mark.parametrize("block", [b"", BODY, b"a: 1\r\n\r\nb: 2\r\n\r\n" * 9000])
+def test_blocks_that_are_not_http_are_payload(kind, block):
+    """Also without a content type; a blank line in them parts nothing."""
+    for fields in ({}, {"Content_Type": "text/html", "WARC_Payload_Digest": base32(block)}):
+        (row,) = read(by_hand(kind, block, **fields))
+        assert (row["payload"], row["payload_bytes"]) == (block, len(block))
+        assert row["payload_digest"] == hashlib.sha256(block).hexdigest()
+
+
+def test_payload_bytes_are_counted():
+    """A stated length that is not the payload's raises, unless the head or the record says why."""
+    false = http(b"ab", "Content-Length: 9")
+    with pytest.raises(ValueError, match="has 2 bytes, its head states 9"):
+        read(by_hand("response", false, **RESPONSE))
+    (cut,) = read(by_hand("response", false, **RESPONSE, WARC_Truncated="length"))
+    (coded,) = read(by_hand("response", http(b"2\r\nab\r\n0\r\n\r\n", "Content-Length: 9", "Transfer-Encoding: chunked"), **RESPONSE))
+    (unsent,) = read(by_hand("response", http(b"", "Content-Length: 9", status="304 Not Modified"), **RESPONSE))
+    (silent,) = read(by_hand("response", http(b"ab"), **RESPONSE))
+    (asked,) = read(by_hand("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request"))
+    assert [r["payload_bytes"] for r in (cut, coded, unsent, silent, asked)] == [2, 12, 0, 2, 0]
+
+
+def test_revisits_of_other_archives():
+    for block in (http(b"", "Content-Length: 70"), b"HTTP/1.1 200 OK\r\nContent-Length: 70\r\n"):
+        (row,) = read(by_hand("revisit", block, **RESPONSE, WARC_Payload_Digest=base32(BODY), WARC_Refers_To="<urn:uuid:7>"))
+        assert (row["payload"], row["payload_bytes"], row["payload_digest"]) == (None, 70, base32(BODY))
+        assert row["refers_to"] == "urn:uuid:7"
+    (bare,) = read(by_hand("revisit", b""))
+    assert (bare["payload_bytes"], bare["payload_digest"], bare["refers_to"]) == (None, None, None)
+
+
+def test_headers_of_other_archives():
+    """Lines that go on, blanks before colons, text that is no UTF-8, heads over a piece's end."""
+    head = b"warc/1.0".upper() + b"\r\nWARC-Type : resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI:\r\n http://a/\xff\r\nContent-Length: 2"
+    (row,) = read(member(head + b"\r\n\r\nab\r\n\r\n", 6))
+    assert (row["record_type"], row["target_uri"], row["payload"]) == ("resource", "http://a/\ufffd", b"ab")
+    for wide in (65_400, 65_500, 65_536, 200_000):
+        (row,) = read(by_hand("response", http(BODY, "X: " + "x" * wide, f"content-length: {len(BODY)}"), **RESPONSE))
+        assert row["payload"] == BODY
+    with pytest.raises(ValueError, match="no Content-Length"):
+        read(member(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\n", 6))
