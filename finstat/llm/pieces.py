@@ -199,4 +199,7 @@ def op8(documents: DataFrame, model: str | None = None) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        # First bytes of all pieces, then their ends: the end id stands at the end of the text, which is the text's length.
+        F.sha2(F.concat_ws(" ", F.col("begins").cast("array<string>"), F.col("ends").cast("array<string>")), 256).alias("spans_sha256"),
+        F.element_at("ends", -1).cast("long").alias("text_bytes"),
     )

@@ -1,9 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from finstat.llm.pieces import Encoder, Normalizer, default_model, encode_pieces
+from finstat.llm.pieces import Encoder, Normalizer, default_model, encode_pieces, op8
 from tests.llm.conftest import MESSY, prose
 
 TEXTS = [
@@ -90,3 +92,31 @@ def test_rows(messy, library):
             assert r.ids[:-1] == library.encode(by_id[r.id])
             assert r.decoded == library.decode(r.ids)
     assert encode_pieces(messy.limit(0), default_model()).collect() == []
+
+
+def test_query_spans_equal_brute_force(spark, library):
+    """Piece after piece from its own spelling; the model's map is empty, so lengths add up to the text."""
+    frame = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op8(frame).collect()}
+    for number, text in [*enumerate(TEXTS), (99, "")]:
+        begins, ends, at = [], [], 0
+        for place, piece in enumerate(library.id_to_piece(library.encode(text))):
+            byte = len(piece) == 6 and piece.startswith("<0x")
+            raw = text.encode()[at:]
+            if byte:
+                length = 1
+            else:
+                # A mark stands for a blank, or for a mark of the text itself; the first may stand for nothing.
+                length = 0
+                for n, char in enumerate(piece):
+                    if char == "▁" and not (place == 0 and n == 0):
+                        length += 1 if raw[length : length + 1] == b" " else len(char.encode())
+                    elif char != "▁":
+                        length += len(char.encode())
+            begins.append(at)
+            at += length
+            ends.append(at)
+        assert at == len(text.encode())
+        joined = " ".join(map(str, [*begins, at, *ends, at]))
+        assert got[number].spans_sha256 == hashlib.sha256(joined.encode()).hexdigest(), text
+        assert got[number].text_bytes == at
