@@ -235,13 +235,12 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labelled: int = 20_000,
-    max_features: int = 20_000,
     significance: float = 1e-7,
 ) -> Model:
     """Learn from the labelled documents; the language model counts all documents.
 
     ``max_labelled`` bounds the labelled rows that the lexicon is learned from, chosen by a hash
-    of the id. A feature enters the lexicon if so many toxic documents, against so few
+    of the id; all telling features of those rows enter the lexicon, however many. A feature enters the lexicon if so many toxic documents, against so few
     clean ones, would have it by chance with a probability below ``significance``.
     """
     language = fit_language(docs, text_col)
@@ -281,7 +280,8 @@ def fit(
         return Model(language, {}, -20.0)
     share = n_toxic / (n_clean + n_toxic)
     telling = counts.filter(f"feature <> '' AND toxic >= 3 AND toxic * {n_clean} > 5 * clean * {n_toxic}")
-    rows = telling.orderBy(F.desc("toxic"), "clean", "feature").limit(max_features).collect()
+    # Features of at most max_labelled rows that three toxic ones at least share.
+    rows = telling.collect()
     weights: dict[str, float] = {}
     explained: dict[str, tuple[int, int]] = {}
     # Longer features first: a beginning counts for what the most telling longer one does not explain.
