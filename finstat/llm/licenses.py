@@ -212,7 +212,8 @@ def _sql() -> str:
     punctuation = quoted(PUNCTUATION + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     plain = quoted(" " * len(PUNCTUATION) + "abcdefghijklmnopqrstuvwxyz")
     spellings = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS.items())
-    known = ", ".join(f"({quoted(name)}, {quoted(digest(text))})" for name, text in KNOWN.items())
+    known = ", ".join(f"({quoted(name)}, {quoted(body_digest(canonical_lines(text)))})" for name, text in KNOWN.items())
+    prose, title = PROSE.replace(b"\n", b"").decode(), quoted(f"^{TITLE.pattern.decode()}")
     return rf"""
 WITH known(license, license_digest) AS (VALUES {known}),
 spelling AS (SELECT MAP {{{spellings}}} AS m),
@@ -224,15 +225,19 @@ cleaned AS (
 ), canon AS (
   SELECT doc_id, r, [l FOR l IN [
       array_to_string([coalesce(m[w], w) FOR w IN regexp_extract_all(x, '[^\x20\x09-\x0D]+')], ' ') FOR x IN raw]
-    IF l <> '' AND NOT regexp_matches(l, '^(copyright|©|c copyright|c \d{{4}}|all rights reserved)( |$)')] AS rows
+    IF l <> '' AND (NOT regexp_matches(l, '^(copyright|©|c copyright|c \d{{4}}|all rights reserved)( |$)')
+                    OR regexp_matches(l, '^copyright ({prose})( |$)'))] AS rows
   FROM cleaned, spelling
+), bodies AS (
+  SELECT doc_id, r, rows, CASE WHEN len(rows) > 1 AND regexp_matches(rows[1], {title}) THEN rows[2:] ELSE rows END AS below
+  FROM canon
 ), hits AS (
   SELECT r, list_sort(list(DISTINCT license)) AS line_licenses
   FROM (SELECT r, sha256(unnest(rows)) AS d FROM canon) JOIN known ON d = license_digest GROUP BY r
 )
 SELECT doc_id, sha256(array_to_string(rows, ' ')) AS canonical_digest, license,
        coalesce(array_to_string(line_licenses, '; '), '') AS line_licenses
-FROM canon LEFT JOIN known ON sha256(array_to_string(rows, ' ')) = license_digest LEFT JOIN hits USING (r)
+FROM bodies LEFT JOIN known ON sha256(array_to_string(below, ' ')) = license_digest LEFT JOIN hits USING (r)
 """
 
 
