@@ -14,7 +14,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from finstat.llm.common import or_empty
 
 SPACE = "▁"  # fixed value: how a blank is written inside pieces
-OUT_BYTES = 8 << 20  # text that goes into one batch of results
+OUT_BYTES = 2 << 20  # size of a batch of results, beyond which the next one begins: both ends of the pipe hold it whole
 
 
 class CharMap:
@@ -165,8 +165,9 @@ def encode_pieces(
                 last = np.full(len(end), len(text.encode()), dtype=np.int32)
                 begins, ends = (np.concatenate(x) for x in ((begins, last), (ends, last)))
                 ids += end
-                rows.append((number, np.array(ids, dtype=np.int32), begins, ends, encoder.library.decode(ids)))
-                size += len(text)
+                decoded = encoder.library.decode(ids)
+                rows.append((number, np.array(ids, dtype=np.int32), begins.astype(np.int32), ends.astype(np.int32), decoded))
+                size += 12 * len(ids) + len(decoded)
                 if size >= OUT_BYTES:
                     yield _batch(rows)
                     rows, size = [], 0

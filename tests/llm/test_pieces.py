@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
@@ -120,3 +121,24 @@ def test_query_spans_equal_brute_force(spark, library):
         joined = " ".join(map(str, [*begins, at, *ends, at]))
         assert got[number].spans_sha256 == hashlib.sha256(joined.encode()).hexdigest(), text
         assert got[number].text_bytes == at
+
+
+def test_batches_of_results_are_small(spark):
+    """Three lists of numbers outweigh the text they are of; a batch of them is held by the worker and by the executor."""
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+    docs = Docs()
+    encode_pieces(docs, default_model())
+    texts = [prose(400, n) for n in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    out = list(docs.function([batch]))
+    assert max(b.nbytes for b in out) < 4 << 20
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert [t for b in out for t in b.column(4).to_pylist()] == texts
